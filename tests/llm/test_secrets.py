@@ -1,0 +1,54 @@
+import hashlib
+import re
+
+from segspark.llm import queries
+from segspark.llm.secret_scan import base_spans, lexed_spans, listed, redact, scan, spans
+
+DATA = "/root/testdata/sf0.001"
+
+
+def brute(text):
+    text, found = text or "", []
+    for m in re.finditer("((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text):
+        if len(m[2]) >= 6:
+            found.append((m.start(), 0, m.end(), "assign"))
+    found += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return [(a, b, k) for a, _, b, k in sorted(found)]
+
+
+ODD = ["", None, "PassWord : 'abc123'", "api_key==abcdef token=abc secret=\"x/y+z9\"", "é🙂 token: a1b2c3d4 " + "ab" * 20, "AKIA" * 9, "ſecret=abcdefgh toKen=abcdefgh"]
+
+
+def test_base_spans_equal_brute_force():
+    for text in ODD:
+        assert base_spans(text or "") == brute(text), text
+
+
+def test_lexing_adds_literals_by_name_and_through_constants():
+    text = 'raw = "Zx81kQ07pLm2"\nlabel = "Zx81kQ07pLm3"\ndb_pwd = raw\nauth_bearer := \'9aLq-77Tz-001\'\nprivate_key: 7f3a9Kq2Lz\npwd = "changeme"\n'
+    assert {text[a:b] for a, b, _ in lexed_spans(text)} == {"Zx81kQ07pLm2", "9aLq-77Tz-001", "7f3a9Kq2Lz"}
+    base, every = spans('password = "hunter2222"')
+    assert base == every and len(base) == 1
+
+
+def test_odd_rows_and_redaction(spark):
+    docs = spark.createDataFrame([(i, t, "c", 1) for i, t in enumerate(ODD)] + [(None, "token=abcdef1", "c", 1)] * 2, "doc_id long, text string, spans string, base int")
+    got = scan(docs).select("doc_id", listed("base").alias("b")).collect()
+    assert sorted(r.b for r in got if r.doc_id is None) == ["assign:0:13"] * 2
+    assert {r.doc_id: r.b for r in got if r.doc_id is not None} == {i: ",".join(f"{k}:{a}:{b}" for a, b, k in brute(t)) for i, t in enumerate(ODD)}
+    assert scan(docs.limit(0)).count() == 0
+    clean = redact(docs)
+    assert clean.columns == docs.columns and clean.where("doc_id is null and text = '[secret]'").count() == 2 and clean.where("text is null").count() == 1
+
+
+def test_query_equals_brute_force(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = queries.op9_secrets(spark, DATA).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        want = brute(docs[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[2] == k for s in want) for k in ("assign", "access", "hex"))
+        text = ",".join(f"{k}:{a}:{b}" for a, b, k in want)
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert set(filter(None, text.split(","))) <= set(r.spans.split(","))
