@@ -184,11 +184,12 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
 
 
-def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Return (``id_col``, n_tokens, ids_sha256, decoded_sha256) of what ``decode`` returns."""
+def digests(decoded: DataFrame, id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """Return (``id_col``, n_tokens, ids_sha256, decoded_sha256) of what ``decode`` returns, and its columns ``keep``."""
     return decoded.select(
         id_col,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *(keep or []),
     )

@@ -41,6 +41,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from segspark.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from segspark.llm.decontaminate import contaminated
 
@@ -76,6 +82,6 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_round_trip, op2_token_counts, op3_toxicity, op4_simhash, op6_decontamination, op7_substring_dedup, op8_embedding_dedup, op9_secrets, op10_kd_shards)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_round_trip, op2_token_counts, op3_toxicity, op4_simhash, op5_license_scan, op6_decontamination, op7_substring_dedup, op8_embedding_dedup, op9_secrets, op10_kd_shards)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -46,15 +46,20 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return (``id_col``, fp long), a row for each row of ``docs``. Null and wordless texts have fingerprint zero."""
+    """Return (``id_col``, tag, fp), a row for each row of ``docs``: a hash of the text, and the fingerprint, as longs. Null and
+    wordless texts have fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["id", "fp"])
+            found = [fingerprint(t, shingle) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["id", "tag", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), _tag(F.col(text_col)).alias("tag"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, tag long, fp long").withColumnRenamed("id", id_col)
+
+
+def _tag(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _patterns(bits: int, within: int) -> list[tuple[int, int, bool]]:
@@ -113,17 +118,35 @@ def links(fps: DataFrame, threshold: int = 4, blocks: int = 3) -> DataFrame:
     return met.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
+def _grouped(docs: DataFrame, shingle: int, threshold: int, blocks: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, tag, fp) of all rows, and (fp, component, least id) of all fingerprints; components are named by fingerprints."""
+    found = checkpointed(fingerprints(docs, shingle, id_col, text_col).withColumnRenamed(id_col, "id"))
+    distinct = checkpointed(found.groupBy("fp").agg(F.min("id").alias("least")))
+    joined = components(links(distinct.select("fp"), threshold, blocks))
+    return found, distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 4, blocks: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return (``id_col``, fp long, component_id), a row for each row of ``docs``, in no order.
 
     component_id is the least id in the component; rows whose id is null take part and get the least id that isn't null
     (null if there is none). Texts without words link with each other, and with fingerprints of few bits, like any other.
-    Repeated rows and ids each keep their row. Copies meet in a grouping by fingerprint before any pair is looked for.
+    Repeated rows and ids each keep their row; other columns, whatever their names, are left out. An empty table gives no rows.
+    Copies meet in a grouping by fingerprint before any pair is looked for.
     """
-    found = checkpointed(fingerprints(docs, shingle, id_col, text_col))
-    distinct = checkpointed(found.groupBy("fp").agg(F.min(id_col).alias("least")))
-    joined = components(links(distinct.select("fp"), threshold, blocks))
-    named = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    found, named = _grouped(docs, shingle, threshold, blocks, id_col, text_col)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_fp = named.select("fp", "component").join(least, "component").select("fp", "component_id")
-    return found.join(of_fp, "fp").select(id_col, "fp", "component_id")
+    return found.join(of_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 4, threshold: int = 4, blocks: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs``, with all its columns, for each component: that with the least id (a null id only if there is no
+    other), then the least hash of its text; of rows with this id and text any one."""
+    found, named = _grouped(docs, shingle, threshold, blocks, id_col, text_col)
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "tag")
+    kept = found.join(named.select("fp", "component"), "fp").groupBy("component").agg(F.min(rank).alias("r"))
+    kept = kept.select(F.col("r.id").alias("__id"), F.col("r.tag").alias("__tag"))
+    out = docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]) & (_tag(docs[text_col]) == kept["__tag"]), "left_semi")
+    twice = found.groupBy("id", "tag").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return out.dropDuplicates([id_col, text_col]) if twice else out

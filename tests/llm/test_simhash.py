@@ -6,7 +6,7 @@ import xxhash
 
 from segspark.llm import queries
 from segspark.llm.common import components
-from segspark.llm.simhash import fingerprint, links, near_duplicates
+from segspark.llm.simhash import fingerprint, links, near_duplicates, one_of_each
 
 DATA = "/root/testdata/sf0.001"
 
@@ -69,6 +69,9 @@ def test_odd_rows(spark):
     got = sorted(((r.doc_id, r.component_id) for r in near_duplicates(docs).collect()), key=str)
     assert got == sorted([(1, 1), (1, 1), (None, 1), (2, 2), (3, 2), (9, 2)], key=str)
     assert near_duplicates(docs.limit(0)).count() == 0
+    kept = one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
+    assert one_of_each(docs.limit(0)).count() == 0 and one_of_each(docs.where("doc_id is null")).count() == 1
 
 
 def test_query_equals_brute_force(spark):
