@@ -1,3 +1,7 @@
-"""All queries of the library, by name, with their SQL."""
+"""All queries of the library, by name, with the SQL that gives the same rows where SQL can."""
 
-QUERIES, ORACLE_SQL = {}, {}
+from segspark.plans import axis, sites, windows
+
+_PARTS = (sites, axis, windows)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
