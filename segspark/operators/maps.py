@@ -17,10 +17,11 @@ def kernel_sum(grid: DataFrame, sources: DataFrame, reach: int, kernel: Column,
     width = width or 2 * reach + 1
     weighed = sources.groupBy(*by, pos).agg(F.count("*").alias("__w"))
     points = weighed.withColumn("__b", F.floor(F.col(pos) / width)).withColumnRenamed(pos, "__src")
+    grid = grid.select(*by, pos).distinct()
     near = grid.withColumn("__b", F.explode(F.sequence(F.floor((F.col(pos) - reach) / width), F.floor((F.col(pos) + reach) / width))))
     pairs = near.join(points, [*by, "__b"]).where(F.abs(F.col(pos) - F.col("__src")) <= reach).withColumn("dist", F.abs(F.col(pos) - F.col("__src")))
     sums = pairs.groupBy(*by, pos).agg(F.sum("__w").alias("sources"), F.sum(kernel * F.col("__w")).alias("total"))
-    return grid.select(*by, pos).distinct().join(sums, [*by, pos], "left").fillna(0, ["sources", "total"])
+    return grid.join(sums, [*by, pos], "left").fillna(0, ["sources", "total"])
 
 
 def composite(segments: DataFrame, log_b: Column, scale: int = 1000, by: list[str] = ["chrom"]) -> DataFrame:

@@ -1,0 +1 @@
+"""Streaming forms of windows and runs."""
