@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segspark.llm.common import slices
+from segspark.llm.common import checkpointed, map_texts, slices
 
 _SENTENCE = re.compile(r"[^\n]*?[.!?]+(?=\s)\s*|[^\n]*\n\s*|[^\n]+")
 
@@ -68,9 +68,11 @@ def repeated_runs(docs: DataFrame, sentences: int = 2, words: int = 20, alone: i
             yield pa.RecordBatch.from_arrays([ids, pa.array(where, pa.int64()), pa.array(many, pa.int32()), pa.array([int.from_bytes(h[:8], "big", signed=True) for h in hashes], pa.int64()), pa.array([int.from_bytes(h[8:], "big", signed=True) for h in hashes], pa.int64())], ["id", "at", "many", "h1", "h2"])
 
     rows = _tagged(docs, id_col, text_col)
-    runs = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, at long, many int, h1 long, h2 long")
-    firsts = runs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("first")).where("n > 1")
-    again = runs.join(firsts.select("h1", "h2", "first"), ["h1", "h2"]).where(~F.struct("id", "at").eqNullSafe(F.col("first")))
+    runs = map_texts(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, at long, many int, h1 long, h2 long")
+    firsts = runs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("first")).where("n > 1").select("h1", "h2", "first")
+    # Written out, so that both sides of the join are plain exchanges by hash and a hot run's rows can be split among tasks.
+    firsts = checkpointed(firsts)
+    again = runs.join(firsts, ["h1", "h2"]).where(~F.struct("id", "at").eqNullSafe(F.col("first")))
     return again.select("id", F.col("at").bitwiseAND(F.lit(2**32 - 1)).alias("tag"), F.shiftright("at", 32).cast("int").alias("place"), "many")
 
 
@@ -104,5 +106,5 @@ def without_repeats(docs: DataFrame, sentences: int = 2, words: int = 20, alone:
                 texts.append("".join(p for k, p in enumerate(parts) if k not in gone) if gone else text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["id", "n_sentences", "n_removed", "text"])
 
-    cleaned = joined.mapInArrow(run, f"id {kind}, n_sentences long, n_removed long, text string")
+    cleaned = map_texts(joined, run, f"id {kind}, n_sentences long, n_removed long, text string")
     return cleaned.select(F.col("id").alias(id_col), "n_sentences", "n_removed", F.col("text").alias(text_col))
