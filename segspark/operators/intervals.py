@@ -26,7 +26,7 @@ def merge(intervals: DataFrame, by: list[str] = BY, width: int = WIDTH) -> DataF
     """Join overlapping and touching intervals: a new run begins only where a start exceeds every end before it."""
     rows = scan.running_max(intervals.select(*by, "start", "end"), by, "start", "end", "__before", width, ["end"])
     rows = rows.withColumn("__new", F.when(F.col("__before").isNull() | (F.col("start") > F.col("__before")), 1).otherwise(0))
-    rows = scan.prefix_sum(rows, by, "start", {"__run": "__new"}, width, ["end"])
+    rows = scan.prefix_sum(rows.withColumn("__rest", 1 - F.col("__new")), by, "start", {"__run": "__new"}, width, ["end", "__rest"])  # of equal rows the new one first
     return rows.groupBy(*by, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(*by, "start", "end")
 
 
@@ -231,4 +231,5 @@ def overlap_groups(intervals: DataFrame, by: list[str] = BY, width: int = WIDTH)
     """Add group: the number of the run of strictly overlapping intervals that a row is in (transcripts of one gene)."""
     rows = scan.running_max(intervals, by, "start", "end", "__before", width, ["end"])
     rows = rows.withColumn("__new", F.when(F.col("__before").isNull() | (F.col("start") >= F.col("__before")), 1).otherwise(0))
-    return scan.prefix_sum(rows, by, "start", {"group": "__new"}, width, ["end"]).drop("__new", "__before")
+    rows = rows.withColumn("__rest", 1 - F.col("__new"))
+    return scan.prefix_sum(rows, by, "start", {"group": "__new"}, width, ["end", "__rest"]).drop("__new", "__before", "__rest")

@@ -21,7 +21,7 @@ def segment_sufficient_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def genome_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.genome_summary(v.segments(spark, sf_dir)).select("pairs", *[F.round(c, 6).alias(c) for c in ("mean_pi", "mean_nu", "tau")])
+    return stats.genome_summary(v.segments(spark, sf_dir)).select("pairs", *[F.round(c, 8).alias(c) for c in ("mean_pi", "mean_nu", "tau")])
 
 
 def weighted_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +139,7 @@ _BASE = "substr('ACGT', cast({c} % 4 + 1 as int), 1)"
 ORACLE_SQL = {
     "site_pair_counts": f"with {v.SITES} select chrom, cast(sum(alt * (n - alt)) as bigint) as het, cast(sum(n * (n - 1) // 2 - alt * (n - alt)) as bigint) as hom, round(avg(2.0::double * cast(alt * (n - alt) as double) / cast(n * (n - 1) as double)), 6) as mean_pi, count(*) as sites from sites group by chrom",
     "segment_sufficient_stats": f"with {v.SEGMENTS} select chrom, pos, het, hom, sites, poly, round(b1, 6) as b1, round(b2, 6) as b2, round(nu, 6) as nu from segs",
-    "genome_summary": f"with {v.SEGMENTS}, s as (select cast(sum(het + hom) as bigint) as pairs, cast(sum(het) as double) / cast(sum(het + hom) as double) as m, sum(nu * sites) / cast(sum(sites) as double) as r from segs) select pairs, round(m, 6) as mean_pi, round(r, 6) as mean_nu, round(r * (1 - m) / m, 6) as tau from s",
+    "genome_summary": f"with {v.SEGMENTS}, s as (select cast(sum(het + hom) as bigint) as pairs, cast(sum(het) as double) / cast(sum(het + hom) as double) as m, sum(nu * sites) / cast(sum(sites) as double) as r from segs) select pairs, round(m, 8) as mean_pi, round(r, 8) as mean_nu, round(r * (1 - m) / m, 8) as tau from s",
     "weighted_variance": f"with {v.SITES}, m as (select chrom, sum(nu * alt) / sum(alt) as mean from sites group by chrom) select s.chrom, round(any_value(mean), 6) as mean, round(sum((nu - mean) * (nu - mean) * alt) / sum(alt), 6) as variance from sites s join m on s.chrom = m.chrom group by s.chrom",
     "harmonic_and_relative_error": f"with {v.SITES}, s as (select chrom, cast(count(*) as double) / sum(1 / nu) as h, cast(sum(case when alt > 25 then 1 else 0 end) as double) / cast(count(*) as double) as p, cast(count(*) as double) as n from sites group by chrom) select chrom, round(h, 6) as harmonic, round(sqrt(p * (1 - p) / n) / p, 6) as relative_error from s",
     "outlier_rates_removed": f"with {v.SEGMENTS} select chrom, count(*) as segments, cast(sum(het) as bigint) as het from segs where sites > 0 and nu <= cast(0.15 as double) group by chrom",

@@ -32,6 +32,7 @@ def test_merge_and_intersect(spark, width):
     a = spans(spark, [(1, 10), (7, 12), (15, 30), (25, 55), (45, 51)])
     assert listed(iv.merge(a, width=width)) == [(1, 12), (15, 55)]
     assert listed(iv.merge(spans(spark, [(1, 3), (3, 5), (6, 7)]), width=width)) == [(1, 5), (6, 7)]
+    assert listed(iv.merge(spans(spark, [(1, 3), (5, 7), (9, 11), (20, 22)] * 40), width=width)) == [(1, 3), (5, 7), (9, 11), (20, 22)]
     x, y = spans(spark, [(1, 10), (25, 55)]), spans(spark, [(7, 12), (15, 30), (45, 51)])
     assert listed(iv.intersect(x, y, width=width)) == [(7, 10), (25, 30), (45, 51)]
     touch = spans(spark, [(10, 12)])
