@@ -2,6 +2,7 @@
 
 The axis is cut into buckets of ``width``. Each bucket is summed up by a grouped aggregate (small), the sums are scanned in a
 window over buckets, and the result is carried into a window within each bucket. Rows are shuffled once, by (key, bucket).
+Rows with a null key or place have no order and are left out.
 """
 
 from __future__ import annotations
