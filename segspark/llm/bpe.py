@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding by monoid tree reduction.
 
-Encodings of neighbouring byte strings form a monoid under ``join``: a pre-token is halved down to single bytes, and the two
+Encodings of neighbouring byte strings form a monoid under ``join``: a pre-token is halved down to a few bytes, and the two
 halves' encodings are joined upwards. A join re-encodes a window around the boundary, grown until the tokens on both of its
 edges are compatible with their outer neighbours. Two tokens are compatible if encoding their joined bytes gives these two
 again. That is enough: the first merge that crossed a token border in an encoding of the whole would also have been made
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segspark.llm.common import slices
+from segspark.llm.common import map_texts, slices
 from segspark.llm.pretokens import pretokens
 
-#: Entries that each cache of a worker may hold; a full cache is emptied. They bound memory and never change a result.
-PIECES, HALVES, PAIRS = 250_000, 200_000, 400_000
+#: Entries that each cache of a worker may hold (pre-tokens: in each of two generations). A full cache is emptied. They bound memory
+#: and never change a result.
+PIECES, HALVES, PAIRS, WINDOWS = 200_000, 80_000, 200_000, 120_000
 
 
 class TreeEncoder:
@@ -34,7 +36,8 @@ class TreeEncoder:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.halves: dict[bytes, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, tuple[int, ...]] = {}
+        self.windows: dict[bytes, tuple[int, ...]] = {}
         self.ids_of = _Pieces(self)
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
@@ -45,14 +48,14 @@ class TreeEncoder:
         return (whole,) if whole is not None else self._tree(piece)
 
     def _tree(self, piece: bytes) -> tuple[int, ...]:
-        if len(piece) == 1:
-            return (self.ranks[piece],)
+        if len(piece) <= 4:
+            return self._window(piece)
         known = self.halves.get(piece)
         if known is not None:
             return known
         at = len(piece) // 2
         ids = self.join(self._tree(piece[:at]), self._tree(piece[at:]))
-        if len(piece) <= 16:
+        if len(piece) <= 8:
             if len(self.halves) >= HALVES:
                 self.halves.clear()
             self.halves[piece] = ids
@@ -60,24 +63,41 @@ class TreeEncoder:
 
     def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of two neighbours' bytes, from the encodings of each."""
-        if not left or not right or self._compatible(left[-1], right[0]):
+        if not left or not right:
+            return left + right
+        window = self._pair(left[-1], right[0])
+        if window == (left[-1], right[0]):
             return left + right
         i = j = 1
         while True:
-            window = tuple(self._merge(b"".join(map(self.tokens.__getitem__, left[-i:] + right[:j]))))
             left_holds = i == len(left) or self._compatible(left[-i - 1], window[0])
             right_holds = j == len(right) or self._compatible(window[-1], right[j])
             if left_holds and right_holds:
                 return left[: len(left) - i] + window + right[j:]
             i = i if left_holds else min(2 * i, len(left))
             j = j if right_holds else min(2 * j, len(right))
+            window = self._window(b"".join(map(self.tokens.__getitem__, left[-i:] + right[:j])))
 
-    def _compatible(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
+    def _pair(self, a: int, b: int) -> tuple[int, ...]:
+        """The encoding of two tokens' joined bytes."""
+        known = self.pairs.get(a << 32 | b)
         if known is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self._merge(self.tokens[a] + self.tokens[b]) == [a, b]
+            known = self.pairs[a << 32 | b] = self._window(self.tokens[a] + self.tokens[b])
+        return known
+
+    def _compatible(self, a: int, b: int) -> bool:
+        return self._pair(a, b) == (a, b)
+
+    def _window(self, window: bytes) -> tuple[int, ...]:
+        known = self.windows.get(window)
+        if known is None:
+            known = tuple(self._merge(window))
+            if len(window) <= 24:
+                if len(self.windows) >= WINDOWS:
+                    self.windows.clear()
+                self.windows[window] = known
         return known
 
     def _merge(self, window: bytes) -> list[int]:
@@ -126,16 +146,22 @@ class TreeEncoder:
 
 
 class _Pieces(dict):
+    """Packed ids of pre-tokens, in two generations: a full one becomes the old one, and what is still used moves back."""
+
     def __init__(self, encoder: TreeEncoder):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.old = encoder, {}
 
     def __missing__(self, piece: str) -> bytes:
+        packed = self.old.get(piece)
+        if packed is None:
+            packed = array("i", self.encoder.encode(piece.encode())).tobytes()
+            if len(piece) > 64:
+                return packed
         if len(self) >= PIECES:
+            self.old = dict(self)
             self.clear()
-        packed = np.array(self.encoder.encode(piece.encode()), np.int32).tobytes()
-        if len(piece) <= 64:
-            self[piece] = packed
+        self[piece] = packed
         return packed
 
 
@@ -163,7 +189,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
+    return map_texts(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -181,7 +207,7 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(decoded, pa.binary())], ["id", "ids", "decoded"])
 
     rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
+    return map_texts(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
 
 
 def digests(decoded: DataFrame, id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:

@@ -31,6 +31,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def map_texts(rows: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with batches of at most 1,000 rows: texts may be long, and a batch is held by Spark and by the worker."""
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= 1000:
+        conf.set(name, "1000")
+    return rows.mapInArrow(run, schema)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows``, so that what a task builds from one batch stays small."""
     for batch in batches:

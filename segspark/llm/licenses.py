@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segspark.llm.common import slices
+from segspark.llm.common import map_texts, slices
 
 #: License texts, notices and short lines to look for. Fixed values.
 TEMPLATES = {
@@ -189,4 +189,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, license string, coverage double, matched long, start long, end long").withColumnRenamed("id", id_col)
+    return map_texts(rows, run, f"id {kind}, license string, coverage double, matched long, start long, end long").withColumnRenamed("id", id_col)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segspark.llm.common import slices
+from segspark.llm.common import map_texts, slices
 
 
 def _either_case(word: str) -> str:
@@ -113,7 +113,7 @@ def scan(docs: DataFrame, threshold: float = 4.0, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "base", "spans"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, base {_SPANS}, spans {_SPANS}").withColumnRenamed("id", id_col)
+    return map_texts(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, base {_SPANS}, spans {_SPANS}").withColumnRenamed("id", id_col)
 
 
 def listed(found: str):
@@ -141,4 +141,4 @@ def redact(docs: DataFrame, threshold: float = 4.0, text_col: str = "text", mark
             texts = pa.array([clean(t) for t in batch.column(place).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([texts if k == place else c for k, c in enumerate(batch.columns)], batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segspark.llm.common import checkpointed, components, slices
+from segspark.llm.common import checkpointed, components, map_texts, slices
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["id", "tag", "fp"])
 
     rows = docs.select(F.col(id_col).alias("id"), _tag(F.col(text_col)).alias("tag"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, tag long, fp long").withColumnRenamed("id", id_col)
+    return map_texts(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, tag long, fp long").withColumnRenamed("id", id_col)
 
 
 def _tag(text: Column) -> Column:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segspark.llm.common import slices
+from segspark.llm.common import map_texts, slices
 from segspark.llm.pretokens import pretokens
 
 #: Entries that a worker's own cache may hold; a full cache is emptied.
@@ -70,7 +70,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text", share: float = 1e-4,
         kept = [(w, n) for w, n in seen.items() if n >= max(2, share * total) and len(w) <= 32]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
 
-    found = docs.select(text_col).mapInArrow(run, "word string, n long")
+    found = map_texts(docs.select(text_col), run, "word string, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(entries)
 
 
@@ -105,5 +105,5 @@ def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str, limit: int
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(found, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counted = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long")
+    counted = map_texts(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long")
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

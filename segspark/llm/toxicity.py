@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segspark.llm.common import checkpointed, slices
+from segspark.llm.common import checkpointed, map_texts, slices
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Seed words of the weakly labelled categories, in the order of the chain. Fixed values.
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, vocabulary: in
     n1, n0 = sums.n1 or 0, sums.n - (sums.n1 or 0)
     p1, p0 = (F.col("n1") + 0.5) / (n1 + 1.0), (F.col("n0") + 0.5) / (n0 + 1.0)
     both = (F.col("n0") + F.col("n1")) / float(max(1, sums.n))
-    counted = rows.mapInArrow(count, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 3")
+    counted = map_texts(rows, count, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 3")
     z = F.abs(p1 - p0) / F.sqrt(both * (1.0001 - both) * (1 / (n1 + 1) + 1 / (n0 + 1)))  # of the difference of two shares
     chosen = counted.select("word", z.alias("z")).where(F.col("z") >= significance).orderBy(F.desc("z"), "word").limit(vocabulary)
     place = {w: i for i, w in enumerate(r.word for r in chosen.select("word").collect())}
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, vocabulary: in
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(flags, pa.int32()), pa.array([sorted(place[w] for w in known & f) for f in found], pa.list_(pa.int32()))], ["id", "y", "seeds", "places"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    marked = rows.mapInArrow(mark, f"id {kind}, y int, seeds int, places array<int>").withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(folds)))
+    marked = map_texts(rows, mark, f"id {kind}, y int, seeds int, places array<int>").withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(folds)))
     local = marked.select("y", "seeds", "places", "fold").toArrow().combine_chunks()
     y, seeds, fold = (np.asarray(local[c].to_pylist(), np.int64) for c in ("y", "seeds", "fold"))
     places = local["places"].combine_chunks() if len(local) else pa.array([], pa.list_(pa.int32()))
@@ -170,7 +170,7 @@ def score(docs: DataFrame, chain: Chain, threshold: float | None = None, id_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in p.T)], ["id", *names])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    scored = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names))
+    scored = map_texts(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names))
     return scored.select(F.col("id").alias(id_col), *names, (F.col(names[-1]) >= (chain.threshold if threshold is None else threshold)).alias("toxic"))
 
 
@@ -183,4 +183,4 @@ def without_toxic(docs: DataFrame, chain: Chain, threshold: float | None = None,
         for batch in slices(batches):
             yield batch.filter(pa.array(shared.value.predict(batch.column(place).to_pylist())[:, -1] < least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)
