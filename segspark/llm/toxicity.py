@@ -50,10 +50,13 @@ class Chain:
     threshold: float
 
     def predict(self, texts: list[str | None]) -> np.ndarray:
-        """Probabilities, a row for each text and a column for each category."""
+        """Probabilities, a row for each text and a column for each category; zero for texts without words."""
         known, out = self.place.keys(), np.zeros((len(texts), len(self.categories)))
         for i, text in enumerate(texts):
-            found = [self.place[w] for w in known & features(text)]
+            own = features(text)
+            if not own:
+                continue
+            found = [self.place[w] for w in known & own]
             score = self.weights[:, found].sum(axis=1) + self.bias
             for k in range(len(self.categories)):
                 out[i, k] = _sigmoid(score[k] + self.earlier[k, :k] @ out[i, :k])
@@ -99,8 +102,8 @@ def _fit(x: _Rows, dense: np.ndarray, y: np.ndarray, steps: int = 120, ridge: fl
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, vocabulary: int = 4096, significance: float = 7.0, folds: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Chain:
     """Fit the chain on at most ``sample`` labelled rows and ``vocabulary`` features, those whose shares among toxic and clean rows
-    differ by at least ``significance`` standard errors. Null labels, ids and texts don't train; without rows of both classes
-    nothing is toxic."""
+    differ by at least ``significance`` standard errors, or 0.7 of the most that so few rows can show. Null labels, ids and texts
+    don't train; without rows of both classes nothing is toxic."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -120,7 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, vocabulary: in
     both = (F.col("n0") + F.col("n1")) / float(max(1, sums.n))
     counted = map_texts(rows, count, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 3")
     z = F.abs(p1 - p0) / F.sqrt(both * (1.0001 - both) * (1 / (n1 + 1) + 1 / (n0 + 1)))  # of the difference of two shares
-    chosen = counted.select("word", z.alias("z")).where(F.col("z") >= significance).orderBy(F.desc("z"), "word").limit(vocabulary)
+    enough = min(significance, 0.7 * sums.n**0.5)  # a word in all toxic and no clean rows has about the root of the rows
+    chosen = counted.select("word", z.alias("z")).where(F.col("z") >= enough).orderBy(F.desc("z"), "word").limit(vocabulary)
     place = {w: i for i, w in enumerate(r.word for r in chosen.select("word").collect())}
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,8 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, vocabulary: in
 def score(docs: DataFrame, chain: Chain, threshold: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return (``id_col``, p_<category> for each, ``toxic``), a row for each row of ``docs``, in no order.
 
-    Null and empty texts hold no words and get the models' bias, far below any threshold. ids may be null or repeated. Other
-    columns, whatever their names, are left out. ``toxic``: the last category's probability is at least ``threshold`` (not given: the chain's).
+    Texts without words, null and empty ones among them, have probability zero and are never toxic. ids may be null or repeated.
+    Other columns, whatever their names, are left out. ``toxic``: the last category's probability is at least ``threshold`` (not given: the chain's).
     """
     names = [f"p_{c}" for c in chain.categories]
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # `vocabulary` words and their weights
