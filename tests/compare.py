@@ -10,7 +10,6 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def connect(data):
     con = duckdb.connect()
-    con.execute("set timezone = 'UTC'") if False else None
     for t in TABLES:
         if Path(f"{data}/{t}.parquet").exists():
             con.execute(f"create view {t} as select * from read_parquet('{data}/{t}.parquet')")
