@@ -26,7 +26,7 @@ from segspark.llm.pretokens import pretokens
 
 #: Entries that each cache of a worker may hold (pre-tokens: in each of two generations). A full cache is emptied. They bound memory
 #: and never change a result.
-PIECES, HALVES, PAIRS, WINDOWS = 200_000, 80_000, 200_000, 120_000
+PIECES, HALVES, PAIRS, WINDOWS = 60_000, 40_000, 60_000, 40_000
 
 
 class TreeEncoder:
