@@ -13,10 +13,9 @@ from segspark.llm.common import table
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from segspark.llm.bpe import decode, digests, encode
+    from segspark.llm.bpe import digests, round_trip
 
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return digests(decode(encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks))
+    return digests(round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
