@@ -1,9 +1,10 @@
 """Secret scans by assignment-aware lexing.
 
 Three base patterns are searched for everywhere. Beyond them, texts are lexed as source or configuration: lines such as
-``name = "literal"``, ``name: literal``, ``"name": "literal"``, ``NAME=literal`` and ``name := 'literal'`` give name-literal
-pairs, ``name = other`` gives an alias. Literals are propagated along aliases, in order of the text, and each literal is
-scored by the words of all names that hold it and by its own make-up. Literals that reach the threshold are spans of kind
+``name = "literal"``, ``name: literal``, ``"name": "literal"``, ``NAME=literal``, ``name := 'literal'`` and
+``name: type = "literal"`` give name-literal pairs, of names and literals of any length (quoted ones end with their line),
+``name = other`` gives an alias. Literals are propagated along aliases, in order of the text, and each literal is scored by
+the words of all names that hold it and by its own make-up. Literals that reach the threshold are spans of kind
 ``literal``, unless a base span covers them.
 """
 
@@ -32,7 +33,15 @@ _HEX = re.compile("[0-9a-f]{24,}")  # the maximal runs of 24 or more, as [0-9a-f
 _HINTS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 KINDS = ("assign", "access", "hex", "literal")
 
-_PAIR = re.compile(r"""(?<![\w$.-])["']?([A-Za-z_$][\w$.-]{0,63})["']?[ \t]*(?:=>|:=|=(?!=)|:)[ \t]*(?:(["'])((?:(?!\2)[^\\\n]|\\.){1,512})\2|([A-Za-z0-9+/_.=$~-]{1,512}))""")
+# Types in declarations: names with bracketed parts, three deep, and unions of them. No part holds a colon, so that work stays linear.
+_INNER = r"[\w$.,|?&'\" \t]"
+_BRACKETS = rf"(?:<{_INNER}*+>|\[{_INNER}*+\])"
+for _ in range(2):
+    _BRACKETS = rf"(?:<(?:{_INNER}|{_BRACKETS})*+>|\[(?:{_INNER}|{_BRACKETS})*+\])"
+_ATOM = rf"(?:&(?:'\w+[ \t]+)?)?[A-Za-z_$][\w$.]*+{_BRACKETS}*+\??"
+_TYPED = rf"[?!]?[ \t]*:[ \t]*({_ATOM}(?:[ \t]*\|[ \t]*{_ATOM})*+)(?:[ \t]*=(?=[ \t]*[\"'])|[ \t]+=(?=[ \t]))"
+#: Groups: name, type, quote, quoted literal (to the end of its line at most), bare literal.
+_PAIR = re.compile(rf"""(?<![\w$.-])["']?([A-Za-z_$][\w$.-]*+)["']?(?:{_TYPED}|[ \t]*(?:=>|:=|=(?!=)|:))[ \t]*(?:(["'])((?:(?!\3)[^\\\n]|\\.)++)\3|([A-Za-z0-9+/_.=$~-]++))""")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: Weights of words in names. Fixed values of this scanner.
 SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "token": 2, "credential": 3, "credentials": 3, "apikey": 3, "auth": 2, "bearer": 2, "private": 2, "signing": 1, "encryption": 1, "access": 1, "api": 1, "client": 1, "key": 1, "salt": 1, "cookie": 1, "session": 1, "dsn": 1}
@@ -70,12 +79,14 @@ def lexed_spans(text: str, threshold: float = 4.0) -> list[tuple[int, int, str]]
     held: dict[str, tuple[int, int]] = {}  # what each name holds at this point of the text
     names: dict[tuple[int, int], set[str]] = {}
     for m in _PAIR.finditer(text):
-        name, group = m[1], 3 if m[2] else 4
-        if group == 4 and m[4] in held:  # an alias: the literal gets this name too
-            held[name] = held[m[4]]
+        name, group = m[1], 4 if m[3] else 5
+        if group == 5 and m[5] in held:  # an alias: the literal gets this name too
+            held[name] = held[m[5]]
         else:
             held[name] = m.span(group)
         names.setdefault(held[name], set()).add(name)
+        if m[2] and any(c.isdigit() for c in m[2]):  # what looks like a type may be a literal: name: literal = ...
+            names.setdefault(m.span(2), set()).add(name)
     found = []
     for (start, end), own in names.items():
         literal = text[start:end]

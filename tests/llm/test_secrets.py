@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from segspark.llm import queries
 from segspark.llm.secret_scan import base_spans, lexed_spans, listed, redact, scan, spans
@@ -32,6 +33,32 @@ def test_lexing_adds_literals_by_name_and_through_constants():
     assert base == every and len(base) == 1
 
 
+def test_long_literals_are_found_and_redacted_whole(spark):
+    for size in (513, 2_000, 20_000):
+        secret = ("Zx81kQ07pLm2" * (size // 12 + 1))[:size]
+        texts = [f'private_key = "{secret}" # end', f"auth_bearer: {secret}\nnext", f"{'long_' * 20}credential = '{secret}'", f'const dbCredential: string = "{secret}";']
+        for text in texts:
+            at = text.index(secret)
+            assert (at, at + size, "literal") in spans(text)[1]
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        clean = [r.text for r in redact(frame).orderBy("doc_id").collect()]
+        assert clean == [t.replace(secret, "[secret]") for t in texts]
+
+
+def test_typed_declarations():
+    for text in ('const dbCredential: string = "Zx81kQ07pLm2"', 'auth: str = "Zx81kQ07pLm2"', "let bearer: &'static str = \"Zx81kQ07pLm2\";", 'auth: Optional[Dict[str, List[str]]] | None = "Zx81kQ07pLm2"', "auth?:Map<string, string[]>='Zx81kQ07pLm2'"):
+        assert [text[a:b] for a, b, _ in lexed_spans(text)] == ["Zx81kQ07pLm2"], text
+    text = 'raw: str = "Zx81kQ07pLm2"\ndb_pwd: str = raw\nprivate_key: 7f3a9Kq2Lz= \nsalt: q9Zx81kQ07 = "Zx81kQ07pLm3"\nsession_auth: a, auth = "Zx81kQ07pLm4"'
+    assert {text[a:b] for a, b, _ in lexed_spans(text)} >= {"Zx81kQ07pLm2", "7f3a9Kq2Lz=", "Zx81kQ07pLm4"}
+
+
+def test_lexing_takes_linear_time():
+    for part in ("a='b=\"", "token:b[", "auth: a<", "key ", "a-", "x='\\'", "a:b|"):
+        start = time.perf_counter()
+        spans("token " + part * (300_000 // len(part)))
+        assert time.perf_counter() - start < 5, part
+
+
 def test_odd_rows_and_redaction(spark):
     docs = spark.createDataFrame([(i, t, "c", 1) for i, t in enumerate(ODD)] + [(None, "token=abcdef1", "c", 1)] * 2, "doc_id long, text string, spans string, base int")
     got = scan(docs).select("doc_id", listed("base").alias("b")).collect()
