@@ -1,10 +1,12 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
 Texts become sequences of tokens, and tokens with a type become placeholders: numbers, names (capitalised words that don't
-begin a sentence) and units. Windows of canonical tokens of the documents are hash-joined with those of the benchmark items.
-Windows that meet on one alignment of an item and a document (the same difference of places) are counted, and on the
-alignments that hold enough of an item's windows the slots are compared: a re-parameterised question gives every value of the
-item one value in the document, and that everywhere. Alignments with inconsistent slots aren't reported.
+begin a sentence) and units. A capitalised word that begins a sentence may be a name or not, so windows that hold one are taken
+twice: with the word, and with a name in its place. Windows of canonical tokens of the documents are hash-joined with those of
+the benchmark items. The windows of an item that meet a document at nearly the same place (differences of places within a few
+tokens, as words may have been put in or left out) are chained in order, and where a chain holds enough of an item's windows its
+slots are compared: a re-parameterised question gives every value of the item one value in the document, and that everywhere.
+Chains with inconsistent slots aren't reported.
 """
 
 from __future__ import annotations
@@ -28,51 +30,98 @@ def canonical(token: Column) -> Column:
     return F.when(token < "!", NAME).when((token >= "0") & (token < ":"), NUMBER).when(low.isin(UNITS), UNIT).otherwise(low)
 
 
-def _windows(own: Column, width: int, skip: int) -> Column:
-    """Hashes of all windows of ``width`` canonical tokens from place ``skip`` on; a shorter sequence is one window."""
+def _first(token: Column) -> Column:
+    """True for capitalised words that aren't told to be names by what is before them: most begin a sentence."""
+    return token.rlike(r"^\p{Lu}")
+
+
+def _named(token: Column) -> Column:
+    """The canonical token, with names for the capitalised words that begin sentences."""
+    return F.when(_first(token), NAME).otherwise(canonical(token))
+
+
+def _windows(own: Column, named: Column, width: int, skip: int) -> Column:
+    """(at, h): places, from 0 at place ``skip`` on, and hashes of all windows of ``width`` tokens of ``own``, and of those of
+    ``named`` that differ; a shorter sequence is one window."""
     last = F.size(own) - width
-    slid = F.transform(F.sequence(F.lit(skip), F.greatest(last, F.lit(skip))), lambda i: F.xxhash64(F.slice(own, i + 1, width)))
-    return F.when(F.size(own) > skip, slid).otherwise(F.array().cast("array<bigint>"))
+    places = F.sequence(F.lit(skip), F.greatest(last, F.lit(skip)))
+
+    def hashes(tokens: Column, at: Column) -> Column:
+        return F.transform(at, lambda i: F.struct((i - skip).alias("at"), F.xxhash64(F.slice(tokens, i + 1, width)).alias("h")))
+
+    differ = F.filter(places, lambda i: F.slice(own, i + 1, width) != F.slice(named, i + 1, width))
+    slid = F.concat(hashes(own, places), hashes(named, differ))
+    return F.when(F.size(own) > skip, slid).otherwise(F.array().cast("array<struct<at:int,h:bigint>>"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, coverage: float = 0.6, broadcast_windows: int = 500_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def _chain(runs: Column) -> Column:
+    """(at, shift) of the windows of ``runs`` (windows, -shift, places of windows), from the run with most windows on: those that
+    are at a place not yet held and keep the order of item and document."""
+    none = F.array().cast("array<struct<at:int,shift:int>>")
+
+    def add(held: Column, run: Column) -> Column:
+        new = F.transform(F.array_except(run["ats"], F.transform(held, lambda c: c["at"])), lambda at: F.struct(at.alias("at"), (-run["back"]).alias("shift")))
+        ordered = F.filter(new, lambda n: F.forall(held, lambda c: F.when(c["at"] < n["at"], c["at"] + c["shift"] < n["at"] + n["shift"]).otherwise(c["at"] + c["shift"] > n["at"] + n["shift"])))
+        return F.concat(held, ordered)
+
+    return F.aggregate(runs, none, add)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, coverage: float = 0.6, slack: int = 16, broadcast_windows: int = 500_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Return (``id_col``, ``item_col``, place, windows, coverage, changed, contaminated), a row for each document and item that met.
 
-    place: the first document token of the item's alignment; windows: the item's distinct windows found there, with ``coverage``
-    their share, at least the parameter; changed: slots whose value isn't the item's (0: a verbatim copy); contaminated: true,
-    as alignments with inconsistent slots aren't returned. Of several alignments of one pair the one with most windows, then
-    the first, is returned. An item's first token is left out of its windows, as it may look like a name within a text; items of
-    one token or none (nulls included) never match, those of at most ``width`` tokens match as a whole. Null texts match nothing;
+    place: the first document token of the alignment with most of the item's windows; windows: the item's distinct windows found
+    there or in order at alignments not more than ``slack`` tokens apart, with ``coverage`` their share, at least the parameter;
+    changed: slots whose value isn't the item's (0: all values are its own); contaminated: true, as chains with inconsistent
+    slots aren't returned. A word that begins a sentence is a slot unless item or document have it, or what stands for it, in
+    lower case. Of several chains of one pair the one with most windows, then the first, is returned. An item's first token is left out of its windows, as it may look like a name within a text; items of
+    one token or none (nulls included) never match, those of at most ``width`` tokens match as a whole, with the words that begin sentences
+    as they are. Null texts match nothing;
     null ids are carried through, and rows with the same id and text count once. Other columns are left out.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).alias("item"), tokens(F.col(item_text_col)).alias("item_tokens")).dropDuplicates()
-    items = items.withColumn("own", F.transform("item_tokens", canonical)).where(F.size("own") > 1)
-    wanted = items.select("item", "own", "item_tokens", F.posexplode(_windows(F.col("own"), width, 1)).alias("at", "h"))
-    sizes = wanted.groupBy("item", "item_tokens").agg(F.count("*").alias("of"))
+    items = items.withColumn("own", F.transform("item_tokens", canonical)).withColumn("named", F.transform("item_tokens", _named)).where(F.size("own") > 1)
+    wanted = items.select("item", "own", "item_tokens", F.inline(_windows(F.col("own"), F.when(F.size("own") > width, F.col("named")).otherwise(F.col("own")), width, 1)))
+    sizes = wanted.groupBy("item", "item_tokens").agg(F.countDistinct("at").alias("of"))
     probes = wanted.select("item", F.xxhash64("item_tokens").alias("tag"), (F.col("at") + 1).alias("at"), "h")
     if probes.limit(broadcast_windows + 1).count() <= broadcast_windows:  # 40 bytes each; beyond that the join is shuffled
         probes = F.broadcast(probes)
     # Items of fewer than `width` tokens after the first have one shorter window; documents need windows of these widths too.
     widths = [r.w for r in items.select(F.least(F.size("own") - 1, F.lit(width)).alias("w")).distinct().collect()]  # at most `width` numbers
     text = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row"), F.col(text_col).alias("text"))
-    own = text.select("id", "row", F.transform(tokens(F.col("text")), canonical).alias("own"))
-    parts = [own.select("id", "row", F.posexplode(_windows(F.col("own"), w, 0)).alias("at", "h")) for w in sorted(widths)] or [own.select("id", "row", F.posexplode(F.array().cast("array<bigint>")).alias("at", "h"))]
+    own = text.select("id", "row", tokens(F.col("text")).alias("t")).select("id", "row", "t", F.transform("t", canonical).alias("own"))
+    own = own.select("id", "row", "own", F.zip_with("t", "own", lambda t, c: F.when(_first(t), NAME).otherwise(c)).alias("named"))
+    parts = [own.select("id", "row", F.inline(_windows(F.col("own"), F.col("named" if w == width else "own"), w, 0))) for w in sorted(widths)] or [own.select("id", "row", F.inline(F.array().cast("array<struct<at:int,h:bigint>>")))]
     slid = parts[0]
     for part in parts[1:]:
         slid = slid.unionByName(part)
     met = slid.withColumnRenamed("at", "doc_at").join(probes, "h").select("id", "row", "item", "tag", (F.col("doc_at") - F.col("at")).alias("shift"), "at")
-    found = met.groupBy("id", "row", "item", "tag", "shift").agg(F.countDistinct("at").alias("windows"))
+    pair = ["id", "row", "item", "tag"]
+    runs = met.groupBy(*pair, "shift").agg(F.collect_set("at").alias("ats"))  # at most the item's windows
+    # Shifts within `slack` of each other share one of two bands, and each shift also stands alone; a band has at most 2 * slack shifts.
+    band = F.floor(F.col("shift") / slack).cast("int")
+    bands = F.explode(F.array(*[F.struct(F.lit(alone).alias("alone"), k.alias("k")) for alone, k in ((False, band), (False, band + 1), (True, F.col("shift")))]))
+    found = runs.withColumn("band", bands).groupBy(*pair, "band").agg(F.sort_array(F.collect_list(F.struct(F.size("ats").alias("n"), (-F.col("shift")).alias("back"), "ats")), asc=False).alias("runs"))
     sized = sizes.select(F.col("item").alias("item2"), F.xxhash64("item_tokens").alias("tag2"), "item_tokens", "of")
-    enough = found.join(sized, F.col("item").eqNullSafe(F.col("item2")) & (F.col("tag") == F.col("tag2"))).withColumn("coverage", F.col("windows") / F.col("of").cast("double")).where(F.col("coverage") >= coverage)
+    most = F.size(F.array_distinct(F.flatten(F.transform("runs", lambda r: r["ats"]))))
+    hopeful = found.join(sized, F.col("item").eqNullSafe(F.col("item2")) & (F.col("tag") == F.col("tag2"))).where(most / F.col("of").cast("double") >= coverage)
+    chained = hopeful.withColumn("chain", _chain(F.col("runs"))).withColumn("windows", F.size("chain").cast("long"))
+    enough = chained.withColumn("coverage", F.col("windows") / F.col("of").cast("double")).where(F.col("coverage") >= coverage).withColumn("shift", -F.col("runs")[0]["back"]).drop("runs")
     texts = text.select(F.col("id").alias("id2"), F.col("row").alias("row2"), "text")
     both = enough.join(texts, F.col("id").eqNullSafe(F.col("id2")) & (F.col("row") == F.col("row2"))).withColumn("doc_tokens", tokens(F.col("text")))
-    # Slots: pairs of values with the same placeholder at the same place of the alignment; the item's first token is left out.
-    start = F.greatest(F.lit(1), -F.col("shift"))
-    span = F.least(F.size("item_tokens") - start, F.size("doc_tokens") - F.col("shift") - start)
-    aligned = F.zip_with(F.slice("item_tokens", start + 1, span), F.slice("doc_tokens", start + F.col("shift") + 1, span), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    slot = F.filter(aligned, lambda p: canonical(p["x"]).isin(NUMBER, NAME, UNIT) & (canonical(p["x"]) == canonical(p["y"])))
-    both = both.withColumn("slots", F.array_distinct(slot))
+    # Slots: pairs of values with the same placeholder at the same place of a window that met; the item's first token is left out.
+    offsets = F.sequence(F.lit(0), F.least(F.size("item_tokens") - 1, F.lit(width)) - 1)
+    # Places as one number each, as distinct numbers are found by hashing.
+    places = F.array_distinct(F.flatten(F.transform("chain", lambda c: F.transform(offsets, lambda k: F.shiftleft((c["at"] + k).cast("long"), 32) + (c["at"] + c["shift"] + k)))))
+    values = F.transform(places, lambda p: F.struct(F.get("item_tokens", F.shiftright(p, 32).cast("int")).alias("x"), F.get("doc_tokens", p.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("y")))
+
+    def word(token: Column) -> Column:
+        """True for a word that begins a sentence and that item or document also have in lower case: no name."""
+        return _first(token) & (F.array_contains("item_tokens", F.lower(token)) | F.array_contains("doc_tokens", F.lower(token)))
+
+    slot = F.filter(values, lambda p: _named(p["x"]).isin(NUMBER, NAME, UNIT) & (_named(p["x"]) == _named(p["y"])) & ~word(p["x"]) & ~word(p["y"]))
+    both = both.withColumn("slots", F.array_distinct(F.transform(slot, lambda p: F.struct(F.ltrim(p["x"]).alias("x"), F.ltrim(p["y"]).alias("y")))))
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda p: p["x"])))
     kept = both.where(consistent).select("id", "row", "item", F.greatest("shift", F.lit(0)).alias("place"), "windows", "coverage", F.size(F.filter("slots", lambda p: p["x"] != p["y"])).cast("long").alias("changed"))
     best = kept.groupBy("id", "row", "item").agg(F.max_by(F.struct("place", "windows", "coverage", "changed"), F.struct(F.col("windows"), -F.col("place"))).alias("b"))

@@ -67,6 +67,33 @@ def test_reparameterised_questions(spark):
         assert contaminated(a, b).count() == 0
 
 
+def test_words_put_in_or_left_out(spark):
+    item = "A baker sells twelve clips to each of her friends in April and then she sells half as many clips in May so that all of them have some more"
+    words = item.split()
+    docs = [(k, " ".join([*words[:k], "exactly", *words[k:]])) for k in range(1, len(words))]
+    docs += [(100 + k, " ".join(words[:k] + words[k + 1 :])) for k in range(1, len(words))]
+    docs += [(200, item.replace("half", "about page seven of ten half")), (201, "before it " + item.replace("she", "the very old baker") + " and after")]
+    far = " ".join([*words[:15], *["other"] * 60, *words[15:]])
+    back = " ".join(words[15:] + words[:15])
+    frame = spark.createDataFrame([*docs, (300, far), (301, back)], "doc_id long, text string")
+    got = rows(contaminated(frame, spark.createDataFrame([(1, item)], "item_id long, text string")))
+    assert {d for d, _ in got} == {d for d, _ in docs}
+    # Parameters must be consistent over both sides of the inserted word.
+    item = "A shop has 40 red apples and it sells some of them today because it is open so that 40 minus these are left"
+    docs = [(1, item.replace("today", "early today")), (2, item.replace("today", "early today").replace("40", "50")), (3, item.replace("today", "early today").replace("40 red", "50 red"))]
+    got = rows(contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")))
+    assert {d: r[3] for (d, _), r in got.items()} == {1: 0, 2: 1}
+
+
+def test_names_that_begin_sentences(spark):
+    items = [(1, "Tom has 5 apples. Tom buys 3 more. Tom eats 2 of them. How many apples are left?"), (2, "Alice walks 3 miles each day. Bob runs 5 miles each day. Carol cycles 9. How far do they go in a week?")]
+    docs = [(1, items[0][1].replace("Tom", "Anna").replace("5", "8")), (2, items[1][1].replace("Alice", "Dora").replace("Bob", "Emil").replace("Carol", "Fay"))]
+    docs += [(3, items[0][1]), (4, items[0][1].replace("Tom buys", "Anna buys")), (5, "First, " + docs[0][1]), (6, items[1][1].replace("How far", "Say how far").replace("Bob", "Gus"))]
+    got = rows(contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert {k: (r[2], r[3]) for k, r in got.items() if k[0] in (1, 2, 3)} == {(1, 1): (1.0, 2), (2, 2): (1.0, 2), (3, 1): (1.0, 0)}
+    assert set(got) == {(1, 1), (2, 2), (3, 1), (5, 1), (6, 2)}  # in 4 Tom would be both Tom and Anna
+
+
 def test_random_texts_equal_brute_force(spark):
     rng = random.Random(11)
     words = ["Anna", "Tom", "has", "3", "4.5", "km", "apples", "and", "more.", "The", "days", "5%"]
