@@ -174,7 +174,7 @@ def nonredundant_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merged_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     from segspark.operators.intervals import merge_weighted
 
-    rows = v.intervals_b(spark, sf_dir).where("start % 9 = 0").groupBy("chrom", "start", "end").agg(F.count("*").alias("value"))
+    rows = v.intervals_b(spark, sf_dir).groupBy("chrom", "start", "end").agg(F.count("*").alias("value"))
     return merge_weighted(rows)
 
 

@@ -95,6 +95,21 @@ def test_sequential_interval_folds(spark):
     assert listed(flank) == [(50, 100), (100, 110), (190, 200), (300, 304), (300, 304), (304, 354)]
 
 
+def test_merged_weighted_query_takes_all_intervals(spark):
+    from segspark.plans import views, windows
+
+    data = "/root/testdata/sf0.001"
+    runs = {}
+    for r in sorted(views.intervals_b(spark, data).distinct().collect(), key=lambda r: (r.chrom, r.start, r.end)):
+        own = runs.setdefault(r.chrom, [])
+        if own and r.start <= own[-1][1]:
+            own[-1][1] = max(own[-1][1], r.end)
+        else:
+            own.append([r.start, r.end])
+    got = sorted((r.chrom, r.start, r.end) for r in windows.merged_weighted(spark, data).collect())
+    assert got == sorted((c, a, b) for c, own in runs.items() for a, b in own)
+
+
 @pytest.mark.parametrize("width", WIDTHS)
 def test_lookups_equal_brute_force(spark, width):
     rng = random.Random(9)
