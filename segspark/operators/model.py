@@ -71,8 +71,9 @@ class Model:
         names = [*self.b_maps, *self.c_maps, "tau"]
         return segments.agg(F.array(*[F.struct(F.lit(n).alias("parameter"), (F.sum(outer * d) * -1e5 / pairs).alias("derivative")) for n, d in zip(names, parts)]).alias("g")).select(F.inline("g"))
 
-    def fit(self, segments: DataFrame, start: list[float], steps: int = 200, penalty: Callable[[np.ndarray], float] | None = None) -> "Fit":
-        """Nelder-Mead from ``start``. ``penalty`` is added for parameters out of bounds."""
+    def fit(self, segments: DataFrame, start: list[float], steps: int = 12_000, penalty: Callable[[np.ndarray], float] | None = None) -> "Fit":
+        """Nelder-Mead from ``start`` to the tolerances; ``converged`` tells whether ``steps`` were enough. ``penalty`` is added for
+        parameters out of bounds."""
         kept = segments.select("hom", "het", "nu", *self.b_maps, *self.c_maps).cache()
 
         def value(p: np.ndarray) -> float:
@@ -85,8 +86,8 @@ class Model:
         finally:
             kept.unpersist()
 
-    def fit_two_steps(self, segments: DataFrame, starts: list[list[float]], best: int = 3, steps: int = 200) -> "Fit":
-        """Fits from all starts, then one from the harmonic mean of the best fits' parameters."""
+    def fit_two_steps(self, segments: DataFrame, starts: list[list[float]], best: int = 3, steps: int = 12_000) -> "Fit":
+        """Fits from all starts, then one from the harmonic mean of the best fits' parameters; ``converged`` is of the last fit."""
         first = sorted((self.fit(segments, s, steps) for s in starts), key=lambda f: f.value)[:best]
         middle = len(first) / sum(1 / f.parameters for f in first)
         return self.fit(segments, middle.tolist(), steps)
@@ -97,17 +98,21 @@ class Fit:
     parameters: np.ndarray
     value: float
     calls: int
+    converged: bool
 
 
 def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, steps: int, x_tolerance: float = 1e-5, f_tolerance: float = 1e-3) -> Fit:
     """Downhill simplex with the usual reflection, expansion, contraction and shrinkage."""
     simplex = [start] + [start + np.eye(len(start))[k] * (0.05 * start[k] or 0.00025) for k in range(len(start))]
     values = [f(x) for x in simplex]
-    calls = len(values)
-    for _ in range(steps):
+    calls, converged = len(values), False
+    for step in range(steps + 1):
         order = np.argsort(values, kind="stable")
         simplex, values = [simplex[k] for k in order], [values[k] for k in order]
         if max(np.abs(x - simplex[0]).max() for x in simplex[1:]) <= x_tolerance and values[-1] - values[0] <= f_tolerance:
+            converged = True
+            break
+        if step == steps:
             break
         middle = np.mean(simplex[:-1], axis=0)
         away = 2 * middle - simplex[-1]
@@ -131,7 +136,7 @@ def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, steps: int,
                 values = [values[0]] + [f(x) for x in simplex[1:]]
                 calls += len(simplex) - 1
     best = int(np.argmin(values))
-    return Fit(simplex[best], float(values[best]), calls)
+    return Fit(simplex[best], float(values[best]), calls, converged)
 
 
 def starting_points(maps: int, totals: list[float], each: int, tau: float, seed: int = 7) -> list[list[float]]:

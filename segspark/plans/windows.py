@@ -42,7 +42,9 @@ def loglik_bootstrap_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def optimise_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fit = Model(["b1"]).fit(v.segments(spark, sf_dir), [0.0, 0.25], steps=25)
+    fit = Model(["b1"]).fit(v.segments(spark, sf_dir), [0.0, 0.25])
+    if not fit.converged:
+        raise RuntimeError("the fit didn't converge")
     return spark.createDataFrame([("b1", round(float(fit.parameters[0]), 3)), ("tau", round(float(fit.parameters[1]), 3))], "parameter string, value double")
 
 

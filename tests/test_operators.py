@@ -184,6 +184,7 @@ def test_gradient_equals_differences_and_fit_finds_the_truth(spark):
 def test_optimiser_and_starts():
     fit = nelder_mead(lambda x: float((x[0] - 3) ** 2 + 2 * (x[1] + 1) ** 2), np.array([0.0, 0.0]), 300)
     assert np.allclose(fit.parameters, [3, -1], atol=1e-3)
+    assert fit.converged and not nelder_mead(lambda x: float((x[0] - 3) ** 2), np.array([0.0]), 5).converged
     starts = starting_points(4, [0.1, 1.0, 10.0], 5, 2.0)
     assert len(starts) == 15 and all(len(s) == 5 for s in starts) and math.isclose(sum(10**x for x in starts[5][:-1]), 1.0, rel_tol=1e-6)
 
