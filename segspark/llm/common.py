@@ -1,49 +1,90 @@
-"""Shared pieces: reading tables, checkpoints in the shared folder, Arrow batches of bounded size, connected components."""
+"""Shared pieces: reading tables, tables in the shared folder, bounded batches of texts, connected components."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_scopes: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; only where that is unset (tests), a temporary one."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``. A local session without one gets a temporary folder; a cluster is an error,
+    as a folder of one machine can't be read by the others."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="checkpoints")
-    if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="shared")
         sc.setCheckpointDir(named)
     return named
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint: a lost executor costs no recomputation of what came before."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library has written."""
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def new_folder(spark: SparkSession) -> str:
+    inside = _scopes[-1] if _scopes else f"{shared_folder(spark)}/segspark-{spark.sparkContext.applicationId}"
+    return f"{inside}/{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that this application saved. DataFrames returned earlier can't be read any more."""
+    remove(spark, f"{shared_folder(spark)}/segspark-{spark.sparkContext.applicationId}")
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables saved inside are removed at the end; what is to stay must have been written elsewhere by then."""
+    folder = new_folder(spark)
+    _scopes.append(folder)
+    try:
+        yield
+    finally:
+        _scopes.remove(folder)
+        remove(spark, folder)
+
+
+def saved(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read again: its lineage is cut, and a lost executor costs nothing that
+    came before. The table stays until its ``scratch`` ends or ``clear``."""
+    folder = folder or new_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def map_texts(rows: DataFrame, run, schema) -> DataFrame:
-    """``mapInArrow`` with batches of at most 1,000 rows: texts may be long, and a batch is held by Spark and by the worker."""
-    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= 1000:
-        conf.set(name, "1000")
+    """``mapInArrow``; Spark bounds its batches by ``spark.sql.execution.arrow.maxBytesPerBatch`` as well as by rows."""
     return rows.mapInArrow(run, schema)
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``rows``, so that what a task builds from one batch stays small."""
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows`` and about ``size`` bytes (or one row), so that what a task builds from one
+    batch stays small."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        waiting = [batch]
+        while waiting:
+            part = waiting.pop()
+            if part.num_rows > 1 and (part.num_rows > rows or part.get_total_buffer_size() > size and part.nbytes > size):
+                half = min(rows, (part.num_rows + 1) // 2)
+                waiting += [part.slice(half), part.slice(0, half)]
+            elif part.num_rows:
+                yield part
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -51,11 +92,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     ``links`` has two long columns, whatever their names; loops, repeats and nulls are ignored. Nodes without links to other
     nodes are not returned. Alternating large-star and small-star steps: every step is a grouped minimum and a join back, so
-    no neighbourhood is ever gathered; each round is checkpointed. Stops when the edges no longer change.
+    no neighbourhood is ever gathered; each round is saved, and the one before removed. Stops when the edges no longer change.
     """
-    a, b = links.columns
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    edges, before = checkpointed(edges), None
+    spark, (a, b) = links.sparkSession, links.columns
+    folder = new_folder(spark)
+    edges, before = saved(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), folder), None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -63,7 +104,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")).distinct()
-        edges = checkpointed(small)
+        past, folder = folder, new_folder(spark)
+        edges = saved(small, folder)
+        remove(spark, past)
         after = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == before:
             break

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segspark.llm.common import checkpointed, components, slices
+from segspark.llm.common import saved, components, slices
 
 
 @lru_cache(maxsize=8)
@@ -162,7 +162,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, codes: int = 3, bloc
     single = vectors.schema[vector_col].dataType.elementType.simpleString() == "float"
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("vector"))
     usable = F.col("id").isNotNull() & F.coalesce((F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0), F.lit(False))
-    distinct = checkpointed(rows.where(usable).groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("weight")))
+    distinct = saved(rows.where(usable).groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("weight")))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
@@ -237,13 +237,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, codes: int = 3, bloc
 
     placed = distinct.select("vector", "id", "weight").mapInArrow(place, _ROW)
     dealt = placed.repartition("dims", "filter").sortWithinPartitions("dims", "filter")
-    first = checkpointed(dealt.mapInArrow(verify, _OUT))
+    first = saved(dealt.mapInArrow(verify, _OUT))
     hot = first.where("filter is not null").select("filter", "chunk", "id", "weight", "dims", "vector", "filters")
     chunks = hot.groupBy("dims", "filter").agg(F.max("chunk").alias("last"))
     pairs = hot.join(chunks, ["dims", "filter"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     pairs = pairs.select("filter", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", "id", "weight", "dims", "vector", "filters")
     second = pairs.repartition("dims", "filter", "a", "b").sortWithinPartitions("dims", "filter", "a", "b").mapInArrow(verify_blocks, _OUT)
-    found = checkpointed(first.where("filter is null").select("id", "links", "root").unionByName(second.select("id", "links", "root")))
+    found = saved(first.where("filter is null").select("id", "links", "root").unionByName(second.select("id", "links", "root")))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(found.where("id != root").select("id", "root"))
     known = distinct.join(counts, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left")

@@ -1,19 +1,23 @@
 """Secret scans by assignment-aware lexing.
 
-Three base patterns are searched for everywhere. Beyond them, texts are lexed as source or configuration: lines such as
-``name = "literal"``, ``name: literal``, ``"name": "literal"``, ``NAME=literal``, ``name := 'literal'`` and
-``name: type = "literal"`` give name-literal pairs, of names and literals of any length (quoted ones end with their line),
-``name = other`` gives an alias. Literals are propagated along aliases, in order of the text, and each literal is scored by
-the words of all names that hold it and by its own make-up. Literals that reach the threshold are spans of kind
-``literal``, unless a base span covers them.
+Three base patterns are searched for everywhere. Beyond them, texts are lexed as source or configuration. Heads are names with
+an assignment: ``name =``, ``name :=``, ``name:``, ``"name":``, ``x["name"] =``, ``name: type =``, ``f("name",``, ``<name>``. What
+follows a head is read as an expression: quoted strings of any length with escapes, triple-quoted ones, block scalars,
+concatenations, lists, calls and their arguments, alternatives, with comments in between; or as a bare literal. A name also
+stands for the names that enclose it, by braces, indentation or elements. ``name = other`` passes the literals of ``other`` on,
+wherever in the text they are assigned. Literals are scored by the most sensitive name that holds them and by their own make-up;
+those that reach the threshold are spans of kind ``literal`` (one for each part of a concatenation), unless a base span covers them.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,20 +37,39 @@ _HEX = re.compile("[0-9a-f]{24,}")  # the maximal runs of 24 or more, as [0-9a-f
 _HINTS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 KINDS = ("assign", "access", "hex", "literal")
 
+#: Weights of words in names. Fixed values of this scanner.
+SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "secrets": 3, "passwords": 3, "token": 2, "tokens": 2, "credential": 3, "credentials": 3, "apikey": 3, "auth": 2, "bearer": 2, "private": 2, "signing": 1, "encryption": 1, "access": 1, "api": 1, "client": 1, "key": 1, "salt": 1, "cookie": 1, "session": 1, "dsn": 1}
+_ANY_SENSITIVE = re.compile("|".join(SENSITIVE), re.I)  # without such a word no name has a score
+_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+_PLACEHOLDERS = re.compile(r"^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|none|null|true|false|changeme|example.*|your[-_].*|todo|redacted)$", re.I)
+
+_NAME = r"[A-Za-z_$][\w$.-]*+"
+_COMMENT = r"/\*(?:(?!\*/|/\*).)*+\*/"
+_GAP = rf"(?:[ \t]|{_COMMENT})*+"
 # Types in declarations: names with bracketed parts, three deep, and unions of them. No part holds a colon, so that work stays linear.
 _INNER = r"[\w$.,|?&'\" \t]"
 _BRACKETS = rf"(?:<{_INNER}*+>|\[{_INNER}*+\])"
 for _ in range(2):
     _BRACKETS = rf"(?:<(?:{_INNER}|{_BRACKETS})*+>|\[(?:{_INNER}|{_BRACKETS})*+\])"
 _ATOM = rf"(?:&(?:'\w+[ \t]+)?)?[A-Za-z_$][\w$.]*+{_BRACKETS}*+\??"
-_TYPED = rf"[?!]?[ \t]*:[ \t]*({_ATOM}(?:[ \t]*\|[ \t]*{_ATOM})*+)(?:[ \t]*=(?=[ \t]*[\"'])|[ \t]+=(?=[ \t]))"
-#: Groups: name, type, quote, quoted literal (to the end of its line at most), bare literal.
-_PAIR = re.compile(rf"""(?<![\w$.-])["']?([A-Za-z_$][\w$.-]*+)["']?(?:{_TYPED}|[ \t]*(?:=>|:=|=(?!=)|:))[ \t]*(?:(["'])((?:(?!\3)[^\\\n]|\\.)++)\3|([A-Za-z0-9+/_.=$~-]++))""")
-_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
-#: Weights of words in names. Fixed values of this scanner.
-SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "token": 2, "credential": 3, "credentials": 3, "apikey": 3, "auth": 2, "bearer": 2, "private": 2, "signing": 1, "encryption": 1, "access": 1, "api": 1, "client": 1, "key": 1, "salt": 1, "cookie": 1, "session": 1, "dsn": 1}
-_STEMS = re.compile("pass|pwd|secret|token|cred|auth|bearer|private|key|salt|cookie|dsn", re.I)
-_PLACEHOLDERS = re.compile(r"^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|none|null|true|false|changeme|example.*|your[-_].*|todo|redacted)$", re.I)
+_TYPED = rf"[?!]?[ \t]*:[ \t]*(?P<type>{_ATOM}(?:[ \t]*\|[ \t]*{_ATOM})*+)(?:[ \t]*=(?=[ \t]*[\"'])|[ \t]+=(?=[ \t]))"
+#: A head, a brace, or an element's tag. indent: what is before a name that begins its line.
+_HEAD = re.compile(
+    rf"""(?:^(?P<indent>[ \t]*+)(?:-[ ]|export[ ])?|(?<![\w$.-]))["']?(?P<name>{_NAME})["']?\]?(?:{_TYPED}|{_GAP}(?P<op>=>|:=|=(?!=)|:(?!:)))"""
+    rf"""|\([ \t]*(?P<q>["'])(?P<arg>{_NAME})(?P=q)[ \t]*,|(?P<brace>[{{}}])|<(?P<close>/?)(?P<tag>[A-Za-z_][\w.-]*+)(?:[ \t][^<>]*+)?>""",
+    re.M | re.S,
+)
+_SPACES = re.compile(rf"(?:[ \t]|\\\r?\n|{_COMMENT})*+", re.S)
+_WHITE = re.compile(rf"(?:\s|\\\r?\n|{_COMMENT})*+", re.S)
+_LINE_COMMENT = re.compile(r"(?://|#)[^\n]*+\n")
+_QUOTED = re.compile(r"""[rRbBuUfF]{0,2}(?:(?P<t>\"{3}|'{3})|(?P<q>["'])(?P<body>(?:(?!(?P=q))[^\\\n]|\\.)*+)(?P=q)|`(?P<back>[^`]*+)`)""", re.S)
+_CALL = re.compile(r"(?:(?:new|await)[ \t]+)?[A-Za-z_$][\w$.]*+[(\[]|[(\[]")
+_BARE = re.compile(r"[A-Za-z0-9+/_.=$~-]++")
+_LINE_VALUE = re.compile(r"[^\s\"'`]\S*+")
+_JOIN = re.compile(r"\+|\.(?=[ \t]*[\"'])|&(?!&)")
+_OR = re.compile(r"\|\||\?\?|or\b")
+_IDENTIFIER = re.compile(r"[A-Za-z_$][\w$.]*$")
+_BLOCK = re.compile(r"[|>][+-]?[ \t]*\n")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -61,6 +84,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+@lru_cache(maxsize=4096)
 def name_score(name: str) -> int:
     return sum(SENSITIVE.get(w, 0) for w in {w.lower() for w in _WORDS.findall(name)})
 
@@ -72,29 +96,179 @@ def literal_score(literal: str) -> float:
     return min(1.0, bits / 3.5) + (0.5 if kinds > 1 else 0) + (0.5 if any(c.isdigit() for c in literal) else 0)
 
 
+def _over_lines(text: str, at: int, known: dict[int, int]) -> int:
+    """The place after white space and comments; ``known`` holds it for each line comment seen, so that none is passed twice."""
+    passed = []
+    while True:
+        at = _WHITE.match(text, at).end()
+        m = _LINE_COMMENT.match(text, at)
+        if not m or at in known:
+            break
+        passed.append(at)
+        at = m.end()
+    at = known.get(at, at)
+    known.update(dict.fromkeys(passed, at))
+    return at
+
+
+def _expression(text: str, at: int, known: dict[int, int], calls: bool = True) -> list[list[tuple[int, int, bool]]]:
+    """Operands of the expression at ``at``: each a list of joined parts (start, end, quoted). ``calls``: look into calls and lists."""
+    found, parts, depth, wanted = [], [], 0, True
+    while True:
+        at = _over_lines(text, at, known) if depth or wanted and parts else _SPACES.match(text, at).end()
+        if wanted:
+            if m := _QUOTED.match(text, at):
+                if m["t"]:
+                    end = text.find(m["t"], m.end())
+                    if end < 0:
+                        break
+                    parts.append((m.end(), end, True))
+                    at = end + 3
+                else:
+                    parts.append((*(m.span("body") if m["q"] else m.span("back")), True))
+                    at = m.end()
+            elif calls and (m := _CALL.match(text, at)):
+                depth, at = depth + 1, m.end()
+                continue
+            elif m := _BARE.match(text, at):
+                parts.append((*m.span(), False))
+                at = m.end()
+            elif depth and text[at : at + 1] in (")", "]"):
+                depth, at = depth - 1, at + 1
+            else:
+                break
+            wanted = False
+        elif m := _JOIN.match(text, at):
+            wanted, at = True, m.end()
+        elif depth and text[at : at + 1] in ('"', "'") and parts and parts[-1][2]:
+            wanted = True  # strings side by side are one
+        elif (m := _OR.match(text, at)) or depth and text[at : at + 1] == ",":
+            found.append(parts)
+            parts, wanted, at = [], True, m.end() if m else at + 1
+        elif depth and text[at : at + 1] in (")", "]"):
+            depth, at = depth - 1, at + 1
+        else:
+            break
+    return [*found, parts]
+
+
+def _block(text: str, at: int, indent: int) -> list[tuple[int, int, bool]]:
+    """The lines from ``at`` on that are further in than ``indent``: a block scalar."""
+    parts = []
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        line = text[at:end]
+        inner = line.lstrip(" \t")
+        if inner and len(line) - len(inner) <= indent:
+            break
+        if inner:
+            parts.append((end - len(inner), at + len(line.rstrip()), True))
+        at = end + 1
+    return parts
+
+
+def _assignments(text: str) -> Iterator[tuple[str, int, list[list[tuple[int, int, bool]]]]]:
+    """(name, score of the names that enclose it, operands) of every assignment in the text."""
+    braces, lines, tags, awaited, known, bare_end, seen = [], [], [], None, {}, 0, 0
+    for m in _HEAD.finditer(text):
+        if m.end() < bare_end:
+            continue  # within a bare literal
+        if m["brace"]:
+            if m["brace"] == "{":
+                braces.append(max(awaited[1] if awaited and awaited[0] == m.start() else 0, braces[-1] if braces else 0))
+            elif braces:
+                braces.pop()
+            continue
+        if m["tag"]:
+            if not m["close"] and not m[0].endswith("/>"):
+                tags.append((m["tag"], m.end(), max(name_score(m["tag"]), tags[-1][2] if tags else 0)))
+            elif m["close"] and tags and tags[-1][0] == m["tag"]:
+                name, start, _ = tags.pop()
+                inner = text[start : m.start()]
+                if "<" not in inner and inner.strip():
+                    start += len(inner) - len(inner.lstrip())
+                    yield name, tags[-1][2] if tags else 0, [[(start, start + len(inner.strip()), True)]]
+            continue
+        name, at = m["name"] or m["arg"], m.end()
+        around = max(braces[-1] if braces else 0, tags[-1][2] if tags else 0)
+        if lines:  # any line that isn't further in ends what is above it
+            for line in text[seen : m.start()].splitlines():
+                inner = line.lstrip(" \t")
+                while inner and lines and lines[-1][0] >= len(line) - len(inner):
+                    lines.pop()
+        seen = m.start()
+        after = _SPACES.match(text, at).end()
+        if m["indent"] is not None:
+            while lines and lines[-1][0] >= len(m["indent"]):
+                lines.pop()
+            around = max(around, lines[-1][1] if lines else 0)
+            if m["op"] == ":" and text[after : after + 1] in ("\n", "\r"):
+                lines.append((len(m["indent"]), max(name_score(name), around)))
+                seen = after
+                continue
+            if m["op"] == ":" and (block := _BLOCK.match(text, after)):
+                yield name, around, [_block(text, block.end(), len(m["indent"]))]
+                continue
+            if m["op"] == "=" and after == at == m.start("op") + 1 and text[m.start("op") - 1] not in " \t/" and (bare := _LINE_VALUE.match(text, at)):
+                bare_end = max(bare_end, bare.end())
+                yield name, around, [[(*bare.span(), False)]]  # NAME=value to the end of the word
+        if text[after : after + 1] == "{":
+            awaited = after, max(name_score(name), around)
+            continue
+        if m["type"] and any(c.isdigit() for c in m["type"]):  # what looks like a type may be a literal: name: literal = ...
+            yield name, around, [[(*m.span("type"), False)]]
+        operands = _expression(text, at, known, calls=not m["arg"])
+        bare_end = max([bare_end, *(end for parts in operands for _, end, quoted in parts if not quoted)])
+        yield name, around, operands
+
+
+def _plain(name: str) -> str:
+    return name.removeprefix("self.").removeprefix("this.")
+
+
 def lexed_spans(text: str, threshold: float = 4.0) -> list[tuple[int, int, str]]:
     """(start, end, "literal") of the literals whose names and make-up reach the threshold."""
-    if not _STEMS.search(text):
+    if not _ANY_SENSITIVE.search(text):
         return []
-    held: dict[str, tuple[int, int]] = {}  # what each name holds at this point of the text
-    names: dict[tuple[int, int], set[str]] = {}
-    for m in _PAIR.finditer(text):
-        name, group = m[1], 4 if m[3] else 5
-        if group == 5 and m[5] in held:  # an alias: the literal gets this name too
-            held[name] = held[m[5]]
-        else:
-            held[name] = m.span(group)
-        names.setdefault(held[name], set()).add(name)
-        if m[2] and any(c.isdigit() for c in m[2]):  # what looks like a type may be a literal: name: literal = ...
-            names.setdefault(m.span(2), set()).add(name)
-    found = []
-    for (start, end), own in names.items():
-        literal = text[start:end]
-        if end - start >= 6 and not _PLACEHOLDERS.match(literal) and " " not in literal:
-            sensitive = max(map(name_score, own))
-            if sensitive >= 2 and sensitive + literal_score(literal) >= threshold:
-                found.append((start, end, "literal"))
-    return found
+    literals: list[tuple[str, int, list[tuple[int, int, bool]]]] = []
+    scores: dict[str, int] = {}
+    for name, around, operands in _assignments(text):
+        name = _plain(name)
+        scores[name] = max(scores.get(name, 0), name_score(name))
+        literals += [(name, around, parts) for parts in operands if parts]
+    # An operand that is a name of this text passes on what that name holds: its score is at least that of the name it is assigned to.
+    users = defaultdict(list)
+    for name, around, parts in literals:
+        for start, end, quoted in parts:
+            if not quoted and _IDENTIFIER.match(text[start:end]) and _plain(text[start:end]) in scores:
+                users[_plain(text[start:end])].append((name, around))
+    best = {n: max([s, *(a for _, a in users.get(n, ()))]) for n, s in scores.items()}
+    sources = defaultdict(list)
+    for source, targets in users.items():
+        for target, _ in targets:
+            sources[target].append(source)
+    by_score = defaultdict(list)
+    for n, s in best.items():
+        by_score[s].append(n)
+    done: set[str] = set()
+    for s in sorted(by_score, reverse=True):
+        waiting = by_score[s]
+        while waiting:
+            n = waiting.pop()
+            if n not in done:
+                done.add(n)
+                best[n] = max(best[n], s)
+                waiting += sources.get(n, ())
+    found = set()
+    for name, around, parts in literals:
+        if max(best[name], around) < 2:
+            continue
+        own = [(a, b) for a, b, quoted in parts if quoted or not (_IDENTIFIER.match(text[a:b]) and _plain(text[a:b]) in scores)]
+        literal = "".join(text[a:b] for a, b in own)
+        if len(literal) >= 6 and " " not in literal and not _PLACEHOLDERS.match(literal) and max(best[name], around) + literal_score(literal) >= threshold:
+            found.update((a, b, "literal") for a, b in own if b > a)
+    return sorted(found)
 
 
 def spans(text: str | None, threshold: float = 4.0) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
@@ -102,8 +276,13 @@ def spans(text: str | None, threshold: float = 4.0) -> tuple[list[tuple[int, int
     if not text:
         return [], []
     base = base_spans(text)
-    more = [s for s in lexed_spans(text, threshold) if not any(a <= s[0] and s[1] <= b for a, b, _ in base)]
-    return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
+    starts, ends = [s[0] for s in base], list(accumulate((s[1] for s in base), max))
+    more = []
+    for s in lexed_spans(text, threshold):
+        k = bisect_right(starts, s[0])
+        if not k or ends[k - 1] < s[1]:
+            more.append(s)
+    return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
 _SPANS = "array<struct<start:long,end:long,kind:string>>"

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segspark.llm.common import checkpointed
+from segspark.llm.common import saved
 
 _STEP, _SCALE, _HASH = 12, 20, 43  # bits a histogram resolves in a pass; bits of a dimension and of the hash in a key
 
@@ -123,7 +123,7 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     )
     # Salts differ for all rows; those of distinct ids don't depend on where the rows are read.
     salt = F.shiftleft(F.shiftrightunsigned(F.xxhash64("id"), 24), 22).bitwiseOR(F.monotonically_increasing_id() % (1 << 22))
-    rows = checkpointed(rows.withColumn("salt", salt))
+    rows = saved(rows.withColumn("salt", salt))
     whole = rows.agg(F.count("*").alias("n"), F.sum("size").alias("size"), *[f(n).alias(f"{s}{n}") for n in names for s, f in (("lo", F.min), ("hi", F.max))]).first()
     total = whole.size or 0
     shards = shards or max(1, -(-total // (target_bytes or max(1, total))))
@@ -144,7 +144,7 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
         left = (key < cut) | ((key == cut) & (F.col("salt") < salt))
         # A node's number is the number of its first shard.
         halves = {n: n + k // 2 for n, k in leaves.items() if n in cuts}
-        rows = checkpointed(rows.withColumn("node", F.when(node.isin(list(cuts)) & ~F.coalesce(left, F.lit(False)), _picked(halves, node)).otherwise(node)))
+        rows = saved(rows.withColumn("node", F.when(node.isin(list(cuts)) & ~F.coalesce(left, F.lit(False)), _picked(halves, node)).otherwise(node)))
         leaves = {m: j for n, k in leaves.items() if n in cuts for m, j in ((n, k // 2), (n + k // 2, k - k // 2))} | {n: 1 for n, k in leaves.items() if n not in cuts}
     return _slots(rows.select("id", "size", "crc", "salt", F.col("node").alias("shard")), whole.n, shards).select(
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.col("shard").cast("int").alias("shard"), "slot"

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segspark.llm.common import checkpointed, components, map_texts, slices
+from segspark.llm.common import saved, components, map_texts, slices
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -120,8 +120,8 @@ def links(fps: DataFrame, threshold: int = 4, blocks: int = 3) -> DataFrame:
 
 def _grouped(docs: DataFrame, shingle: int, threshold: int, blocks: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(id, tag, fp) of all rows, and (fp, component, least id) of all fingerprints; components are named by fingerprints."""
-    found = checkpointed(fingerprints(docs, shingle, id_col, text_col).withColumnRenamed(id_col, "id"))
-    distinct = checkpointed(found.groupBy("fp").agg(F.min("id").alias("least")))
+    found = saved(fingerprints(docs, shingle, id_col, text_col).withColumnRenamed(id_col, "id"))
+    distinct = saved(found.groupBy("fp").agg(F.min("id").alias("least")))
     joined = components(links(distinct.select("fp"), threshold, blocks))
     return found, distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segspark.llm.common import checkpointed, map_texts, slices
+from segspark.llm.common import saved, map_texts, slices
 
 _SENTENCE = re.compile(r"[^\n]*?[.!?]+(?=\s)\s*|[^\n]*\n\s*|[^\n]+")
 
@@ -71,7 +71,7 @@ def repeated_runs(docs: DataFrame, sentences: int = 2, words: int = 20, alone: i
     runs = map_texts(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, at long, many int, h1 long, h2 long")
     firsts = runs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("first")).where("n > 1").select("h1", "h2", "first")
     # Written out, so that both sides of the join are plain exchanges by hash and a hot run's rows can be split among tasks.
-    firsts = checkpointed(firsts)
+    firsts = saved(firsts)
     again = runs.join(firsts, ["h1", "h2"]).where(~F.struct("id", "at").eqNullSafe(F.col("first")))
     return again.select("id", F.col("at").bitwiseAND(F.lit(2**32 - 1)).alias("tag"), F.shiftright("at", 32).cast("int").alias("place"), "many")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segspark.llm.common import checkpointed, map_texts, slices
+from segspark.llm.common import saved, map_texts, slices
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Seed words of the weakly labelled categories, in the order of the chain. Fixed values.
@@ -107,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, vocabulary: in
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = checkpointed(texts.join(F.broadcast(known), "id"))  # `sample` rows of 12 bytes
+    rows = saved(texts.join(F.broadcast(known), "id"))  # `sample` rows of 12 bytes
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = Counter(), Counter()
