@@ -3,12 +3,15 @@
 Templates are winnowed once: of every ``window`` consecutive hashes of ``gram`` words the least (the rightmost of equals) is
 kept, in an inverted index from hash to (template, place). Texts are winnowed the same way, so any run of at least
 gram + window - 1 words that a text shares with a template shares a fingerprint. Hits that lie near one diagonal of a text
-and a template are one candidate, which is aligned word by word within a band around its diagonals.
+and a template are one candidate, which is aligned word by word within a band around its diagonals. Alignments of one template
+that follow each other are one match, so that text put in between doesn't hide a license. Words of a template that decide
+which license it is (name, version, variant) must all match.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -19,30 +22,61 @@ from pyspark.sql import functions as F
 
 from segspark.llm.common import map_texts, slices
 
-#: License texts, notices and short lines to look for. Fixed values.
-TEMPLATES = {
+#: License texts, parts of long ones, and notices to look for. Words in braces decide which license it is. Fixed values.
+TEXTS = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
-    "MIT-line": "Released under the MIT License.",
-    "MIT-line-2": "This project is licensed under the MIT License.",
-    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
-    "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
-    "BSD-3-Clause-addition": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
-    "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-2.0-line": "This work is licensed under the GNU General Public License, version 2.",
-    "LGPL-3.0-line": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "AGPL-3.0-line": "This work is licensed under the GNU Affero General Public License, version 3.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
-    "CC0-1.0-line": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-4.0-line": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0-line": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
-    "All-rights-reserved": "All rights reserved. No part of this publication may be reproduced without permission.",
+    "Apache-2.0": """Licensed under the {Apache} License, Version {2.0} (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "Apache-2.0-grants": """Grant of {Copyright} License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form. 3. Grant of {Patent} License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable (except as stated in this section) patent license to make, have made, use, offer to sell, sell, import, and otherwise transfer the Work, where such license applies only to those patent claims licensable by such Contributor that are necessarily infringed by their Contribution(s) alone or by combination of their Contribution(s) with the Work to which such Contribution(s) was submitted.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. """ + (DISCLAIMER := """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. """ + (ENDORSE := """{Neither the name} of the copyright holder nor the names of its contributors may be used to {endorse} or promote products derived from this software without specific prior written permission.""") + " " + DISCLAIMER,
+    "BSD-conditions": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
+    "BSD-3-Clause-addition": ENDORSE,
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
+    "GPL-{v}.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the {GNU General Public License} as published by the Free Software Foundation, either {version V} of the License, or (at your option) any {later} version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "LGPL-{v}.0-or-later": """This library is free software; you can redistribute it and/or modify it under the terms of the {GNU Lesser General Public License} as published by the Free Software Foundation; either {version V} of the License, or (at your option) any {later} version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "AGPL-{v}.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the {GNU Affero General Public License} as published by the Free Software Foundation, either {version V} of the License, or (at your option) any {later} version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.""",
+    "GPL-3.0-preamble": """The {GNU General Public License} is a free, {copyleft} license for software and other kinds of works. The licenses for most software and other practical works are designed to take away your freedom to share and change the works. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change all versions of a program--to make sure it remains free software for all its users. We, the Free Software Foundation, use the GNU General Public License for most of our software; it applies also to any other work released this way by its authors. You can apply it to your programs, too.""",
+    "GPL-2.0-preamble": """The licenses for most software are designed to take away your freedom to share and change it. By contrast, the {GNU General Public License} is intended to guarantee your freedom to share and change {free software}--to make sure the software is free for all its users. This General Public License applies to most of the Free Software Foundation's software and to any other program whose authors commit to using it. (Some other Free Software Foundation software is covered by the GNU Lesser General Public License instead.) You can apply it to your programs, too.""",
+    "LGPL-3.0-opening": """This version of the {GNU Lesser General Public License} incorporates the terms and conditions of {version 3} of the GNU General Public License, supplemented by the additional permissions listed below.""",
+    "AGPL-3.0-preamble": """The {GNU Affero General Public License} is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of {network server} software.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the {Mozilla} Public License, v. {2.0}. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "Unlicense-opening": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+    "CC0-1.0": "To the extent possible under law, the author has {waived} all copyright and related or neighboring rights to this work.",
+    "All-rights-reserved": "{All rights reserved}. No part of this publication may be reproduced without permission.",
 }
+#: Names of licenses in short lines, and how lines name them. Fixed values.
+NAMES = {"MIT": "{MIT} License", "BSD": "{BSD} License", "BSD-2-Clause": "{BSD 2-Clause} License", "BSD-3-Clause": "{BSD 3-Clause} License", "ISC": "{ISC} License", "Apache-2.0": "{Apache} License, Version {2.0}", "MPL-2.0": "{Mozilla} Public License, v. {2.0}", "Zlib": "{zlib} License", "Unlicense": "{Unlicense}"}
+LINES = ["Released under the X.", "This project is licensed under the X.", "Licensed under the X.", "This work is licensed under the X."]
+CREATIVE = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+
+
+def _templates() -> dict[str, str]:
+    """All templates: texts, and lines for each name and version. A name with a number in brackets is another wording."""
+    found = {}
+    for name, text in TEXTS.items():
+        if "{v}" in name:
+            for v in (1, 2, 3) if name[0] == "G" else (3,):
+                found[name.replace("{v}", str(v))] = text.replace("version V", f"version {v}")
+        else:
+            found[name] = text
+    named = dict(NAMES)
+    for short, long in (("GPL", "GNU"), ("LGPL", "GNU Lesser"), ("AGPL", "GNU Affero")):
+        named |= {f"{short}-{v}.0": f"{{{long} General Public License, version {v}}}" for v in (1, 2, 3) if v > 1 or short == "GPL"}
+    for v in ("2.0", "2.5", "3.0", "4.0"):
+        for short, long in CREATIVE.items():
+            found[f"CC-{short}-{v} [1]"] = f"Licensed under {{CC {short} {v}}}."
+            found[f"CC-{short}-{v} [2]"] = f"This work is licensed under a Creative Commons {{{long} {v}}} {'International' if v == '4.0' else 'Unported'} License."
+    for name, wording in named.items():
+        found |= {f"{name} [{k}]": line.replace("X", wording) for k, line in enumerate(LINES, 1)}
+    return found
+
+
+TEMPLATES = _templates()
+#: Words that turn a statement about a license into its opposite, and words that name licenses and variants. Fixed values.
+NEGATIONS = {"not", "never", "no", "isn", "aren", "wasn", "without", "neither", "nor", "unless", "instead"}
+VARIANTS = {"nc", "nd", "sa", "lesser", "affero", "library", "noncommercial", "noderivatives", "sharealike", "except", "only"}
 _WORD = re.compile(r"[^\W_]+")
 _SHIFT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -81,15 +115,22 @@ def winnowed(words: list[str], gram: int, window: int) -> tuple[np.ndarray, np.n
 
 
 class Index:
-    """The inverted index of templates: sorted hashes, and for each the templates and places that hold it."""
+    """The inverted index of templates: sorted hashes, and for each the templates and places that hold it. Templates of at most
+    ``short`` words with decisive words have all their grams with such words in it, others the chosen grams."""
 
-    def __init__(self, templates: dict[str, str], gram: int, window: int):
-        self.names, self.gram, self.window = list(templates), gram, window
-        self.words = [_WORD.findall(t.lower()) for t in templates.values()]
+    def __init__(self, templates: dict[str, str], gram: int, window: int, short: int = 16):
+        self.names, self.gram, self.window = [n.split(" [")[0] for n in templates], gram, window
+        self.words, self.decisive = [], []
+        for text in templates.values():
+            parts = [(_WORD.findall(part.lower()), k % 2 == 1) for k, part in enumerate(re.split(r"[{}]", text))]
+            self.words.append([w for words, _ in parts for w in words])
+            self.decisive.append([k for k, d in enumerate(d for words, d in parts for _ in words) if d])
         by = defaultdict(list)
-        for k, words in enumerate(self.words):
-            for place, h in zip(*winnowed(words, gram, window)):
-                by[int(h)].append((k, int(place)))
+        for k, (words, decisive) in enumerate(zip(self.words, self.decisive)):
+            every = len(words) <= short and decisive
+            for place, h in zip(*winnowed(words, gram, 1 if every else window)):
+                if not every or any(place <= d < place + gram for d in decisive):
+                    by[int(h)].append((k, int(place)))
         self.hashes = np.array(sorted(by), np.uint64)
         self.held = [by[int(h)] for h in self.hashes]
 
@@ -107,9 +148,16 @@ class Index:
             open_: list[list[int]] = []
             reach = len(self.words[template])
             near = min(band, reach // 2)  # so that a short line that follows itself is two candidates
-            for place, diagonal in sorted(found):
+            for place, diagonal in found:  # by place: candidates out of reach are done
+                held = []
                 for c in open_:
-                    if c[0] - near <= diagonal <= c[1] + near and place - c[3] <= reach:
+                    if place - c[3] > reach:
+                        yield template, *c
+                    else:
+                        held.append(c)
+                open_ = held
+                for c in open_:
+                    if c[0] - near <= diagonal <= c[1] + near:
                         c[0], c[1], c[3] = min(c[0], diagonal), max(c[1], diagonal), place
                         break
                 else:
@@ -118,64 +166,116 @@ class Index:
                 yield template, *c
 
 
-def aligned(template: list[str], words: list[str], low: int, high: int) -> tuple[int, int, int]:
-    """Best local alignment within the diagonals low to high (place in the text less place in the template): words matched, and
-    the first and the end place in the text. A match scores 2, a mismatch or a gap -1."""
+def aligned(template: list[str], words: list[str], low: int, high: int) -> tuple[list[int], int, int]:
+    """Best local alignment within the diagonals low to high (place in the text less place in the template): the template places
+    that matched, and the first and the end place in the text. A match scores 2, a mismatch or a gap -1."""
     width = high - low + 1
-    score, start, matched = np.zeros(width + 1, np.int64).tolist(), [0] * (width + 1), [0] * (width + 1)
-    best = (0, 0, 0, 0)
+    score, best, trace = [0] * (width + 1), (0, 0, 0), []
     for i, word in enumerate(template):
-        new, new_start, new_matched = [0] * (width + 1), [0] * (width + 1), [0] * (width + 1)
-        for b in range(width):
-            j = i + low + b
-            if not 0 <= j < len(words):
-                continue
-            same = words[j] == word
-            s, at, m = score[b] + (2 if same else -1), start[b] if score[b] else j, matched[b] * (score[b] > 0) + same
+        new, steps = [0] * (width + 1), bytearray(width)
+        for b in range(max(0, -i - low), min(width, len(words) - i - low)):
+            same = words[i + low + b] == word
+            s, step = score[b] + (2 if same else -1), 1
             if score[b + 1] - 1 > s:  # a template word is left out
-                s, at, m = score[b + 1] - 1, start[b + 1], matched[b + 1]
+                s, step = score[b + 1] - 1, 2
             if b and new[b - 1] - 1 > s:  # a text word is left out
-                s, at, m = new[b - 1] - 1, new_start[b - 1], new_matched[b - 1]
+                s, step = new[b - 1] - 1, 3
             if s > 0:
-                new[b], new_start[b], new_matched[b] = s, at, m
+                new[b], steps[b] = s, step
                 if s > best[0]:
-                    best = (s, m, at, j + 1)
-        score, start, matched = new, new_start, new_matched
-    return best[1:]
+                    best = (s, i, b)
+        score = new
+        trace.append(steps)
+    if not best[0]:
+        return [], 0, 0
+    _, i, b = best
+    end, start, matched = i + low + b + 1, 0, []
+    while i >= 0 and b < width and trace[i][b]:
+        step, start = trace[i][b], i + low + b
+        if step == 1:
+            if words[start] == template[i]:
+                matched.append(i)
+            i -= 1
+        elif step == 2:
+            i, b = i - 1, b + 1
+        else:
+            b -= 1
+    return matched[::-1], start, end
+
 
+def _chains(found: list[tuple[list[int], int, int]], longest: int) -> Iterator[list[tuple[list[int], int, int]]]:
+    """Alignments of one template that follow each other in text and template, not more than ``longest`` words apart."""
+    open_: list[list[tuple[list[int], int, int]]] = []
+    for f in sorted(found, key=lambda f: (f[1], f[2])):
+        held = []
+        for c in open_:
+            if f[1] - c[-1][2] > longest:
+                yield c
+            else:
+                held.append(c)
+        open_ = held
+        for c in open_:
+            if c[-1][2] <= f[1] and c[-1][0][-1] < f[0][0]:
+                c.append(f)
+                break
+        else:
+            open_.append([f])
+    yield from open_
 
-def matches(text: str | None, index: Index, coverage: float, band: int) -> list[tuple[str, float, int, int, int]]:
-    """(license, coverage, matched words, start, end) in code points, end exclusive, by start; of overlapping spans the
-    one with most matched words, then of the template that they cover most, then the first."""
+
+def matches(text: str | None, index: Index, coverage: float, band: int) -> list[tuple[str, float, int, int, int, str]]:
+    """(license, coverage, matched words, start, end, nearest) in code points, end exclusive, by start.
+
+    nearest is the template's license; license is the same, or "unknown" where a decisive word isn't matched, or a word that names
+    a variant or negates stands within the matched words or a negation up to four words before them. Of overlapping spans a known
+    license goes before an unknown one, then the one with most matched words, then of the template that they cover most, then the first.
+    """
     if not text:
         return []
     low = text.lower()
     words = _WORD.findall(low)
-    found = []
+    by = defaultdict(list)
     for template, least, most, _, _ in index.candidates(words, band):
+        near = min(band, len(index.words[template]) // 2)
+        places, a, b = aligned(index.words[template], words, least - near, most + near)
+        if places:
+            by[template].append((places, a, b))
+    found = []
+    for template, parts in by.items():
         own = index.words[template]
-        near = min(band, len(own) // 2)
-        n, a, b = aligned(own, words, least - near, most + near)
-        if n >= coverage * len(own):
-            found.append((template, n, a, b))
+        for chain in _chains(parts, len(own)):
+            places = {p for part in chain for p in part[0]}
+            if len(places) < coverage * len(own):
+                continue
+            a, b = chain[0][1], chain[-1][2]
+            inner = {w for _, x, y in chain for w in words[x:y]} - set(own)
+            known = places.issuperset(index.decisive[template]) and not inner & (NEGATIONS | VARIANTS) and not NEGATIONS & set(words[max(0, a - 4) : a])
+            if known and len(own) <= 16:  # a short line's name ends where it says: no other version or variant may follow
+                after = words[b : b + 2]
+                known = not (after and (after[0] in VARIANTS or after[0].isdigit() and own[-1].isdigit()))
+            found.append((not known, template, len(places), a, b))
     if not found:
         return []
-    kept: list[tuple[int, int, int, int]] = []
-    for f in sorted(found, key=lambda f: (-f[1], len(index.words[f[0]]), f[2], f[0])):
-        if not any(k[2] < f[3] and f[2] < k[3] for k in kept):
-            kept.append(f)
+    kept: list[tuple[int, int, int, int, bool]] = []
+    starts: list[int] = []
+    for unknown, template, n, a, b in sorted(found, key=lambda f: (f[0], -f[2], len(index.words[f[1]]), f[3], f[1])):
+        k = bisect_right(starts, a)
+        if (not k or kept[k - 1][3] <= a) and (k == len(kept) or kept[k][2] >= b):
+            starts.insert(k, a)
+            kept.insert(k, (template, n, a, b, unknown))
     spans = [m.span() for m in _WORD.finditer(low if len(low) == len(text) else text)]
     if len(spans) != len(words):  # lower case made other words; places are those of the lowered text
         spans = [m.span() for m in _WORD.finditer(low)]
-    return sorted(((index.names[k], n / len(index.words[k]), n, spans[a][0], spans[b - 1][1]) for k, n, a, b in kept), key=lambda m: (m[3], m[0]))
+    return [("unknown" if unknown else index.names[k], n / len(index.words[k]), n, spans[a][0], spans[b - 1][1], index.names[k]) for k, n, a, b, unknown in kept]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.8, gram: int = 3, window: int = 2, band: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return (``id_col``, license, coverage, matched, start, end): a row for each text and template span that match.
+    """Return (``id_col``, license, coverage, matched, start, end, nearest): a row for each text and template span that match.
 
-    coverage: the share of the template's words that the alignment matched, at least the parameter. start and end: code points
-    in the text, end exclusive. Null and empty texts match nothing; ids may be null or repeated (each row reports its own); other
-    columns are left out. Templates of fewer than ``gram`` words are never found.
+    coverage: the share of the template's words that the alignments matched, at least the parameter. start and end: code points
+    in the text, end exclusive. license is "unknown" where the words that decide are others than those of ``nearest``, or negated.
+    ``templates``: texts by license, decisive words in braces. Null and empty texts match nothing; ids may be null or repeated
+    (each row reports its own); other columns are left out. Templates of fewer than ``gram`` words are never found.
     """
     fixed = templates if templates is not None else TEMPLATES
 
@@ -183,10 +283,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
         index = Index(fixed, gram, window)
         for batch in slices(batches):
             found = [(i, m) for i, t in enumerate(batch.column(1).to_pylist()) for m in matches(t, index, coverage, band)]
-            kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+            kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             columns = [pa.array([m[k] for _, m in found], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in found], pa.int64())), *columns], ["id", "license", "coverage", "matched", "start", "end"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in found], pa.int64())), *columns], ["id", "license", "coverage", "matched", "start", "end", "nearest"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return map_texts(rows, run, f"id {kind}, license string, coverage double, matched long, start long, end long").withColumnRenamed("id", id_col)
+    return map_texts(rows, run, f"id {kind}, license string, coverage double, matched long, start long, end long, nearest string").withColumnRenamed("id", id_col)
