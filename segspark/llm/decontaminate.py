@@ -2,16 +2,17 @@
 
 Texts become sequences of tokens, and tokens with a type become placeholders: numbers, names (capitalised words that don't
 begin a sentence) and units. A capitalised word that begins a sentence may be a name or not, so windows that hold one are taken
-twice: with the word, and with a name in its place. Windows of canonical tokens of the documents are hash-joined with those of
-the benchmark items. The windows of an item that meet a document at nearly the same place (differences of places within a few
-tokens, as words may have been put in or left out) are chained in order, and where a chain holds enough of an item's windows its
-slots are compared: a re-parameterised question gives every value of the item one value in the document, and that everywhere.
-Chains with inconsistent slots aren't reported.
+twice: with the word, and with a name in its place. Windows without any other word than placeholders say nothing about a question:
+they are compared by their values. Windows of the documents are hash-joined with those of the benchmark items, where they are read;
+only what met is shuffled, with the values of its slots. The windows of an item that meet a document at nearly the same place
+(differences of places within a few tokens, as words may have been put in or left out) are chained in order, and where a chain
+holds enough of an item's windows its slots are compared: a re-parameterised question gives every value of the item one value
+in the document, and that everywhere. Chains with inconsistent slots aren't reported.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Units that become placeholders. Fixed values.
@@ -32,7 +33,8 @@ def canonical(token: Column) -> Column:
 
 def _first(token: Column) -> Column:
     """True for capitalised words that aren't told to be names by what is before them: most begin a sentence."""
-    return token.rlike(r"^\p{Lu}")
+    letter = F.substring(token, 1, 1)
+    return (token >= "A") & (letter != F.lower(letter))
 
 
 def _named(token: Column) -> Column:
@@ -40,96 +42,138 @@ def _named(token: Column) -> Column:
     return F.when(_first(token), NAME).otherwise(canonical(token))
 
 
-def _windows(own: Column, named: Column, width: int, skip: int) -> Column:
-    """(at, h): places, from 0 at place ``skip`` on, and hashes of all windows of ``width`` tokens of ``own``, and of those of
-    ``named`` that differ; a shorter sequence is one window."""
-    last = F.size(own) - width
-    places = F.sequence(F.lit(skip), F.greatest(last, F.lit(skip)))
+def _hash(*parts: Column) -> Column:
+    return F.xxhash64(*parts)
 
-    def hashes(tokens: Column, at: Column) -> Column:
-        return F.transform(at, lambda i: F.struct((i - skip).alias("at"), F.xxhash64(F.slice(tokens, i + 1, width)).alias("h")))
 
-    differ = F.filter(places, lambda i: F.slice(own, i + 1, width) != F.slice(named, i + 1, width))
-    slid = F.concat(hashes(own, places), hashes(named, differ))
-    return F.when(F.size(own) > skip, slid).otherwise(F.array().cast("array<struct<at:int,h:bigint>>"))
+def _probes(benchmark: DataFrame, width: int, item_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(item, tag, at, kind, x, w, h, raw): the windows of all items, each hash once an item; and (item, tag, item_tokens, of).
+
+    kind: the first place of the item with the same window, names in place of words that begin sentences; ``of`` counts kinds.
+    raw: the hash is of the values, as the window holds placeholders only. tag tells rows of one item id apart by text."""
+    items = benchmark.select(F.col(item_col).alias("item"), tokens(F.col(text_col)).alias("t")).dropDuplicates().where(F.size("t") > 1)
+    items = items.withColumn("tag", F.xxhash64("t")).withColumn("w", F.least(F.size("t") - 1, F.lit(width)))
+    items = items.withColumn("own", F.transform("t", lambda x: F.xxhash64(canonical(x)))).withColumn("named", F.transform("t", lambda x: F.xxhash64(_named(x))))
+    items = items.withColumn("slots", F.transform("t", lambda x: canonical(x).isin(NUMBER, NAME, UNIT)))
+
+    def window(i: Column) -> Column:
+        def hashed(name: str, *salt: Column) -> Column:  # of as many elements as the item's windows have
+            whens = F.lit(None).cast("long")
+            for w in range(1, width + 1):
+                whens = F.when(F.col("w") == w, _hash(*salt, *[F.get(name, i + k) for k in range(w)])).otherwise(whens)
+            return whens
+
+        x = F.slice("t", i + 1, F.col("w"))
+        return F.struct(i.alias("at"), x.alias("x"), hashed("own").alias("own_h"), hashed("named").alias("named_h"), hashed("t", F.lit("raw")).alias("raw_h"), F.forall(F.slice("slots", i + 1, F.col("w")), lambda s: s).alias("raw"))
+
+    found = items.select("item", "tag", "t", "w", F.inline(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("w")), window)))
+    same = F.when(F.col("raw"), F.col("raw_h")).when(F.col("w") == width, F.col("named_h")).otherwise(F.col("own_h"))
+    found = found.withColumn("kind", F.min("at").over(Window.partitionBy("item", "tag", same)))
+    sizes = found.groupBy("item", "tag").agg(F.first("t").alias("item_tokens"), F.countDistinct("kind").alias("of"))
+    hashes = F.when(F.col("raw"), F.array("raw_h")).when(F.col("w") == width, F.array_distinct(F.array("own_h", "named_h"))).otherwise(F.array("own_h"))
+    each = found.withColumn("h", F.explode(hashes)).groupBy("item", "tag", "h").agg(F.min_by(F.struct("at", "kind", "x", "w", "raw"), "at").alias("p"))
+    return each.select("item", "tag", "h", "p.*"), sizes
+
+
+def _doc_windows(rows: DataFrame, widths: list[int], width: int, raw: bool) -> DataFrame:
+    """(id, row, t, doc_at, h): windows of all wanted widths, with words as they are, with names in their place where that differs,
+    and by values if ``raw``. The tokens stay beside them; they are copied only for windows that meet an item."""
+    name = F.xxhash64(F.lit(NAME))
+    rows = rows.withColumn("own", F.transform("t", lambda x: F.xxhash64(canonical(x))))
+    rows = rows.withColumn("named", F.zip_with("t", "own", lambda t, h: F.when(_first(t), name).otherwise(h)))
+
+    def cut(name: str, w: int) -> list[Column]:  # elements one by one, as slice would copy the whole array for each window
+        return [F.get(name, F.col("doc_at") + k) for k in range(w)]
+
+    hashes = []
+    for w in widths:
+        own = [_hash(*cut("own", w))] + ([_hash(*cut("named", w))] if w == width else []) + ([_hash(F.lit("raw"), *cut("t", w))] if raw else [])
+        hashes += [F.when(F.col("doc_at") <= F.size("t") - w, h) for h in own]
+    # Places are generated, and hashed and joined in the same stage of generated code, so that tokens aren't copied for each window.
+    # Outer, as Spark else infers a filter on the array and makes it a second time; the join drops nulls.
+    placed = rows.select("id", "row", "t", "own", "named", F.posexplode_outer("own").alias("doc_at", "one"))
+    return placed.select("id", "row", "t", "doc_at", F.explode(F.array_distinct(F.array(*hashes))).alias("h"))
 
 
 def _chain(runs: Column) -> Column:
-    """(at, shift) of the windows of ``runs`` (windows, -shift, places of windows), from the run with most windows on: those that
-    are at a place not yet held and keep the order of item and document."""
-    none = F.array().cast("array<struct<at:int,shift:int>>")
+    """The windows (at, kind, shift, slots) of ``runs``, from the run with most windows on: those that are at a place not yet held
+    and keep the order of item and document."""
+    none = F.array().cast("array<struct<at:int,kind:int,shift:int,slots:array<struct<x:string,y:string,word:boolean>>>>")
 
     def add(held: Column, run: Column) -> Column:
-        new = F.transform(F.array_except(run["ats"], F.transform(held, lambda c: c["at"])), lambda at: F.struct(at.alias("at"), (-run["back"]).alias("shift")))
-        ordered = F.filter(new, lambda n: F.forall(held, lambda c: F.when(c["at"] < n["at"], c["at"] + c["shift"] < n["at"] + n["shift"]).otherwise(c["at"] + c["shift"] > n["at"] + n["shift"])))
-        return F.concat(held, ordered)
+        def fits(n: Column) -> Column:
+            place = n["at"] + n["shift"]
+            return F.forall(held, lambda c: F.when(c["at"] < n["at"], c["at"] + c["shift"] < place).when(c["at"] > n["at"], c["at"] + c["shift"] > place).otherwise(F.lit(False)))
+
+        return F.concat(held, F.filter(run["windows"], fits))
 
     return F.aggregate(runs, none, add)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, coverage: float = 0.6, slack: int = 16, broadcast_windows: int = 500_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Return (``id_col``, ``item_col``, place, windows, coverage, changed, contaminated), a row for each document and item that met.
-
-    place: the first document token of the alignment with most of the item's windows; windows: the item's distinct windows found
-    there or in order at alignments not more than ``slack`` tokens apart, with ``coverage`` their share, at least the parameter;
-    changed: slots whose value isn't the item's (0: all values are its own); contaminated: true, as chains with inconsistent
-    slots aren't returned. A word that begins a sentence is a slot unless item or document have it, or what stands for it, in
-    lower case. Of several chains of one pair the one with most windows, then the first, is returned. An item's first token is left out of its windows, as it may look like a name within a text; items of
-    one token or none (nulls included) never match, those of at most ``width`` tokens match as a whole, with the words that begin sentences
-    as they are. Null texts match nothing;
-    null ids are carried through, and rows with the same id and text count once. Other columns are left out.
+    """Return (``id_col``, ``item_col``, place, windows, coverage, changed, contaminated, row), a row for each document and item that met.
+
+    place: the first document token of the alignment with most of the item's windows; windows: the item's kinds of windows found
+    there or in order at alignments not more than ``slack`` tokens apart, with ``coverage`` their share, at least the parameter
+    (windows that stand in an item more than once are one kind); changed: slots whose value isn't the item's (0: all values are its
+    own); contaminated: true, as chains with inconsistent slots aren't returned. Slots are compared in the windows that met only. A
+    word that begins a sentence is a slot unless item or document have it, or what stands for it, in lower case. Of several chains of
+    one pair the one with most windows, then the first, is returned. An item's first token is left out of its windows, as it may look
+    like a name within a text; items of one token or none (nulls included) never match, those of at most ``width`` tokens match as a
+    whole, with the words that begin sentences as they are. Null texts match nothing; null ids are carried through, and rows with the
+    same id and text count once (row: the hash of the text). Other columns are left out.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).alias("item"), tokens(F.col(item_text_col)).alias("item_tokens")).dropDuplicates()
-    items = items.withColumn("own", F.transform("item_tokens", canonical)).withColumn("named", F.transform("item_tokens", _named)).where(F.size("own") > 1)
-    wanted = items.select("item", "own", "item_tokens", F.inline(_windows(F.col("own"), F.when(F.size("own") > width, F.col("named")).otherwise(F.col("own")), width, 1)))
-    sizes = wanted.groupBy("item", "item_tokens").agg(F.countDistinct("at").alias("of"))
-    probes = wanted.select("item", F.xxhash64("item_tokens").alias("tag"), (F.col("at") + 1).alias("at"), "h")
-    if probes.limit(broadcast_windows + 1).count() <= broadcast_windows:  # 40 bytes each; beyond that the join is shuffled
+    probes, sizes = _probes(benchmark, width, item_col, item_text_col)
+    about = probes.groupBy("w", "raw").count().collect()  # at most `width` numbers
+    widths, raw = sorted({r.w for r in about}), any(r.raw for r in about)
+    probes = probes.drop("raw")
+    if sum(r["count"] for r in about) <= broadcast_windows:  # some 200 bytes each; beyond that the join is shuffled
         probes = F.broadcast(probes)
-    # Items of fewer than `width` tokens after the first have one shorter window; documents need windows of these widths too.
-    widths = [r.w for r in items.select(F.least(F.size("own") - 1, F.lit(width)).alias("w")).distinct().collect()]  # at most `width` numbers
-    text = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row"), F.col(text_col).alias("text"))
-    own = text.select("id", "row", tokens(F.col("text")).alias("t")).select("id", "row", "t", F.transform("t", canonical).alias("own"))
-    own = own.select("id", "row", "own", F.zip_with("t", "own", lambda t, c: F.when(_first(t), NAME).otherwise(c)).alias("named"))
-    parts = [own.select("id", "row", F.inline(_windows(F.col("own"), F.col("named" if w == width else "own"), w, 0))) for w in sorted(widths)] or [own.select("id", "row", F.inline(F.array().cast("array<struct<at:int,h:bigint>>")))]
-    slid = parts[0]
-    for part in parts[1:]:
-        slid = slid.unionByName(part)
-    met = slid.withColumnRenamed("at", "doc_at").join(probes, "h").select("id", "row", "item", "tag", (F.col("doc_at") - F.col("at")).alias("shift"), "at")
+    text = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row"), tokens(F.col(text_col)).alias("t"))
+    if not widths:
+        text, widths = text.limit(0), [width]
+    met = _doc_windows(text, widths, width, raw).join(probes, "h")
+
+    def word(k: int) -> Column:
+        """Whether a pair of first words are no names, as the document has one of them in lower case."""
+        x, y = F.get("x", F.lit(k)), F.get("t", F.col("doc_at") + k)
+        return F.coalesce((_first(x) & F.array_contains("t", F.lower(x))) | (_first(y) & F.array_contains("t", F.lower(y))), F.lit(False))
+
     pair = ["id", "row", "item", "tag"]
-    runs = met.groupBy(*pair, "shift").agg(F.collect_set("at").alias("ats"))  # at most the item's windows
+    # What is kept of the document is cut out here, in generated code, before any row is stored.
+    met = met.select(*pair, (F.col("doc_at") - F.col("at")).alias("shift"), "at", "kind", "x", F.slice("t", F.col("doc_at") + 1, F.col("w")).alias("y"), F.array(*map(word, range(width))).alias("word"))
+    met = met.groupBy(*pair, "shift", "at").agg(*[F.first(c).alias(c) for c in ("kind", "x", "y", "word")])
+    typed = F.filter(F.arrays_zip("x", "y", F.slice("word", F.lit(1), F.size("x")).alias("word")), lambda p: _named(p["x"]).isin(NUMBER, NAME, UNIT) & (_named(p["x"]) == _named(p["y"])))
+    met = met.withColumn("slots", typed)
+    runs = met.groupBy(*pair, "shift").agg(F.collect_list(F.struct("at", "kind", "shift", "slots")).alias("windows"))  # at most the item's windows
     # Shifts within `slack` of each other share one of two bands, and each shift also stands alone; a band has at most 2 * slack shifts.
     band = F.floor(F.col("shift") / slack).cast("int")
     bands = F.explode(F.array(*[F.struct(F.lit(alone).alias("alone"), k.alias("k")) for alone, k in ((False, band), (False, band + 1), (True, F.col("shift")))]))
-    found = runs.withColumn("band", bands).groupBy(*pair, "band").agg(F.sort_array(F.collect_list(F.struct(F.size("ats").alias("n"), (-F.col("shift")).alias("back"), "ats")), asc=False).alias("runs"))
-    sized = sizes.select(F.col("item").alias("item2"), F.xxhash64("item_tokens").alias("tag2"), "item_tokens", "of")
-    most = F.size(F.array_distinct(F.flatten(F.transform("runs", lambda r: r["ats"]))))
-    hopeful = found.join(sized, F.col("item").eqNullSafe(F.col("item2")) & (F.col("tag") == F.col("tag2"))).where(most / F.col("of").cast("double") >= coverage)
-    chained = hopeful.withColumn("chain", _chain(F.col("runs"))).withColumn("windows", F.size("chain").cast("long"))
-    enough = chained.withColumn("coverage", F.col("windows") / F.col("of").cast("double")).where(F.col("coverage") >= coverage).withColumn("shift", -F.col("runs")[0]["back"]).drop("runs")
-    texts = text.select(F.col("id").alias("id2"), F.col("row").alias("row2"), "text")
-    both = enough.join(texts, F.col("id").eqNullSafe(F.col("id2")) & (F.col("row") == F.col("row2"))).withColumn("doc_tokens", tokens(F.col("text")))
-    # Slots: pairs of values with the same placeholder at the same place of a window that met; the item's first token is left out.
-    offsets = F.sequence(F.lit(0), F.least(F.size("item_tokens") - 1, F.lit(width)) - 1)
-    # Places as one number each, as distinct numbers are found by hashing.
-    places = F.array_distinct(F.flatten(F.transform("chain", lambda c: F.transform(offsets, lambda k: F.shiftleft((c["at"] + k).cast("long"), 32) + (c["at"] + c["shift"] + k)))))
-    values = F.transform(places, lambda p: F.struct(F.get("item_tokens", F.shiftright(p, 32).cast("int")).alias("x"), F.get("doc_tokens", p.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("y")))
-
-    def word(token: Column) -> Column:
-        """True for a word that begins a sentence and that item or document also have in lower case: no name."""
-        return _first(token) & (F.array_contains("item_tokens", F.lower(token)) | F.array_contains("doc_tokens", F.lower(token)))
-
-    slot = F.filter(values, lambda p: _named(p["x"]).isin(NUMBER, NAME, UNIT) & (_named(p["x"]) == _named(p["y"])) & ~word(p["x"]) & ~word(p["y"]))
-    both = both.withColumn("slots", F.array_distinct(F.transform(slot, lambda p: F.struct(F.ltrim(p["x"]).alias("x"), F.ltrim(p["y"]).alias("y")))))
-    consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda p: p["x"])))
-    kept = both.where(consistent).select("id", "row", "item", F.greatest("shift", F.lit(0)).alias("place"), "windows", "coverage", F.size(F.filter("slots", lambda p: p["x"] != p["y"])).cast("long").alias("changed"))
+    run = F.struct(F.size("windows").alias("n"), (-F.col("shift")).alias("back"), "windows")
+    found = runs.withColumn("band", bands).groupBy(*pair, "band").agg(F.sort_array(F.collect_list(run), asc=False).alias("runs"))
+
+    def kinds(windows: Column) -> Column:
+        return F.size(F.array_distinct(F.transform(windows, lambda c: c["kind"])))
+
+    sized = sizes.select(F.col("item").alias("item2"), F.col("tag").alias("tag2"), "item_tokens", "of")
+    hopeful = found.join(sized, F.col("item").eqNullSafe(F.col("item2")) & (F.col("tag") == F.col("tag2"))).where(kinds(F.flatten(F.transform("runs", lambda r: r["windows"]))) / F.col("of").cast("double") >= coverage)
+    chained = hopeful.withColumn("chain", _chain(F.col("runs"))).withColumn("windows", kinds(F.col("chain")).cast("long"))
+    enough = chained.withColumn("coverage", F.col("windows") / F.col("of").cast("double")).where(F.col("coverage") >= coverage)
+
+    def known(token: Column) -> Column:
+        return _first(token) & F.array_contains("item_tokens", F.lower(token))
+
+    slots = F.filter(F.flatten(F.transform("chain", lambda c: c["slots"])), lambda p: ~p["word"] & ~known(p["x"]) & ~known(p["y"]))
+    enough = enough.withColumn("slots", F.array_distinct(F.transform(slots, lambda p: F.struct(F.ltrim(p["x"]).alias("x"), F.ltrim(p["y"]).alias("y")))))
+    kept = enough.where(F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda p: p["x"]))))
+    kept = kept.select("id", "row", "item", F.greatest(-F.col("runs")[0]["back"], F.lit(0)).alias("place"), "windows", "coverage", F.size(F.filter("slots", lambda p: p["x"] != p["y"])).cast("long").alias("changed"))
     best = kept.groupBy("id", "row", "item").agg(F.max_by(F.struct("place", "windows", "coverage", "changed"), F.struct(F.col("windows"), -F.col("place"))).alias("b"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("b.place").cast("long").alias("place"), "b.windows", "b.coverage", "b.changed", F.lit(True).alias("contaminated"), F.col("row"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """The rows of ``docs`` that met no item, with all their columns."""
+    """The rows of ``docs`` that met no item, with all their columns. The hits, not the texts, are dealt out where they are few
+    enough for Spark to broadcast them."""
     hits = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **parameters).select(F.col(id_col).alias("__id"), F.col("row").alias("__row")).distinct()
-    own = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    own = F.xxhash64(docs[text_col])
     return docs.join(hits, docs[id_col].eqNullSafe(hits["__id"]) & (own == hits["__row"]), "left_anti")
