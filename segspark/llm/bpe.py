@@ -5,7 +5,8 @@ halves' encodings are joined upwards. A join re-encodes a window around the boun
 edges are compatible with their outer neighbours. Two tokens are compatible if encoding their joined bytes gives these two
 again. That is enough: the first merge that crossed a token border in an encoding of the whole would also have been made
 when only the two tokens at that border were encoded, so a sequence whose neighbours are all compatible is the encoding.
-Across pre-tokens a join is a plain concatenation. Decoding concatenates the tokens' bytes up the same tree.
+Across pre-tokens a join is a plain concatenation. Decoding is a monoid too, of bytes under concatenation: leaves of a few tokens
+are joined pairwise up a tree.
 """
 
 from __future__ import annotations
@@ -172,6 +173,14 @@ def encoder(ranks_path: str) -> TreeEncoder:
         return TreeEncoder({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)})
 
 
+def concatenated(parts: list[bytes], leaf: int = 64) -> bytes:
+    """The parts joined in order: leaves of ``leaf`` parts, then neighbours pairwise up the tree."""
+    parts = [b"".join(parts[k : k + leaf]) for k in range(0, len(parts), leaf)]
+    while len(parts) > 1:
+        parts = [b"".join(parts[k : k + 2]) for k in range(0, len(parts), 2)]
+    return parts[0] if parts else b""
+
+
 def _encoded(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     """Batches of (id, text) to (id, ids)."""
     ids_of = encoder(ranks_path).ids_of.__getitem__
@@ -189,7 +198,7 @@ def _decoded(batches: Iterator[pa.RecordBatch], ranks_path: str) -> Iterator[pa.
     for batch in slices(batches):
         ids = batch.column(1).fill_null(pa.scalar([], batch.column(1).type)) if batch.column(1).null_count else batch.column(1)
         flat, ends = ids.flatten().to_numpy().tolist(), np.cumsum(ids.value_lengths().to_numpy()).tolist()
-        decoded = [b"".join(map(token, flat[a:b])) for a, b in zip([0, *ends], ends)]
+        decoded = [concatenated(list(map(token, flat[a:b]))) for a, b in zip([0, *ends], ends)]
         yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(decoded, pa.binary())], ["id", "ids", "decoded"])
 
 
@@ -215,7 +224,11 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """What ``decode`` of ``encode`` gives, in one worker a task instead of two: half the memory, and ids cross over once."""
+    """What ``decode`` of ``encode`` gives, in one worker a task instead of two: half the memory, and ids cross over once.
+
+    Return (``id_col``, ids, decoded), a row for each row of ``docs``. Null and empty texts give empty ids and bytes; ids may be null
+    or repeated; other columns, whatever their names, are left out.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     both = map_texts(rows, lambda batches: _decoded(_encoded(batches, ranks_path, pattern), ranks_path), f"id {kind}, ids array<int>, decoded binary")

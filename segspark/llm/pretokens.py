@@ -19,8 +19,17 @@ def _wide(pattern: str):
     return regex.compile(pattern)
 
 
+@lru_cache(maxsize=4)
+def _has_narrow(pattern: str) -> bool:
+    import public_tokenizers
+
+    return pattern == public_tokenizers.PATTERN
+
+
 def pretokens(text: str, pattern: str) -> list[str]:
-    """All matches of ``pattern`` (the pattern of ``public_tokenizers``), in order."""
+    """All matches of ``pattern``, in order; texts below code point 256 go by the narrow form if it is that of the public pattern."""
+    if not _has_narrow(pattern):
+        return _wide(pattern).findall(text)
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:

@@ -1,15 +1,18 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences: after . ! ? and white space, and at line ends. From every sentence, the shortest run of
-consecutive sentences with at least ``sentences`` of them and ``words`` words is hashed (a single sentence of at least
-``alone`` words is a run of its own). Runs are joined globally by their 128-bit hash; every run but the first, by id and then
-place, marks the sentences it covers, and marked sentences are removed.
+A text is cut into sentences: after . ! ? and white space, and at line ends. Runs are consecutive sentences, at least ``sentences``
+of them with at least ``words`` words in all. From every sentence the shortest run is hashed, and the shortest that ends with it:
+if a longer run repeats, so do the shortest from each of its sentences that end within it, and the shortest that ends where it
+ends, and these cover it. So the result is that of hashing every run of any length, from at most two hashes a sentence. A single
+sentence of at least ``alone`` words is a run too. Runs are joined globally by their 128-bit hash; every run but the first, by id
+and then place, marks the sentences it covers, and marked sentences are removed.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,12 +20,13 @@ from pyspark.sql import functions as F
 
 from segspark.llm.common import saved, map_texts, slices
 
-_SENTENCE = re.compile(r"[^\n]*?[.!?]+(?=\s)\s*|[^\n]*\n\s*|[^\n]+")
+_END = re.compile(r"[.!?]\s+|\n\s*")
 
 
 def sentences_of(text: str) -> list[str]:
     """Consecutive parts of ``text``, white space after each included; joined they are the text."""
-    return [p for p in _SENTENCE.findall(text) if p]
+    ends = [m.end() for m in _END.finditer(text)]
+    return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)]) if b > a]
 
 
 def runs_of(parts: list[str], sentences: int, words: int, alone: int) -> list[tuple[int, int, bytes]]:
@@ -30,26 +34,21 @@ def runs_of(parts: list[str], sentences: int, words: int, alone: int) -> list[tu
     import xxhash
 
     held = [p.split() for p in parts]
-    sizes = [len(h) for h in held]
+    upto = [0, *accumulate(map(len, held))]
     plain = [" ".join(h) for h in held]
-    found, end, total = [], 0, 0
-    for start in range(len(parts)):
-        if sizes[start] >= alone:
-            found.append((start, 1, xxhash.xxh3_128_digest(plain[start])))
-        if end < start:
-            end, total = start, 0
-        while end < len(parts) and (end - start < sentences or total < words):
-            total += sizes[end]
+    found, n = {(k, k + 1) for k in range(len(parts)) if len(held[k]) >= alone}, len(parts)
+    end = start = 0
+    for k in range(n):
+        end = max(end, k)
+        while end < n and (end - k < sentences or upto[end] - upto[k] < words):
             end += 1
-        if end - start >= sentences and total >= words:
-            found.append((start, end - start, xxhash.xxh3_128_digest("\n".join(plain[start:end]))))
-            total -= sizes[start]
-        else:
-            break
-    for start in range(start + 1, len(parts)) if parts else ():
-        if sizes[start] >= alone:
-            found.append((start, 1, xxhash.xxh3_128_digest(plain[start])))
-    return found
+        if end - k >= sentences and upto[end] - upto[k] >= words:
+            found.add((k, end))
+        while start < k and k - start >= sentences and upto[k + 1] - upto[start + 1] >= words:
+            start += 1
+        if k + 1 - start >= sentences and upto[k + 1] - upto[start] >= words:
+            found.add((start, k + 1))
+    return [(a, b - a, xxhash.xxh3_128_digest("\n".join(plain[a:b]))) for a, b in sorted(found)]
 
 
 def repeated_runs(docs: DataFrame, sentences: int = 2, words: int = 20, alone: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,9 +1,9 @@
 """Token counts by a two-tier lookup on the map side.
 
 First tier: a broadcast table with the token counts of frequent pre-tokens. Second tier: each worker's own cache, filled by
-the tokenizer library. Pre-tokens are never shuffled. The frequent ones are found over all texts: each task counts words
-with a bounded summary and passes on those that make up at least ``share`` of what it saw, at most ``1 / share`` of them,
-and these few are summed. The table only saves time; what it lacks is encoded, so counts don't depend on it.
+the tokenizer library. No words or pre-tokens are shuffled. The frequent ones are those of a bounded sample of ``sample`` rows,
+counted in one task. The table only saves time; what it lacks is encoded, so counts don't depend on it. It is broadcast as one
+string with places and counts as arrays, and turned into a hash table once a worker.
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ from __future__ import annotations
 import os
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +42,8 @@ def _cache(path: str) -> dict[str, int]:
 class _Counts(dict):
     """The frequent pre-tokens' counts; a miss goes to the worker's cache and then to the library, and isn't stored here."""
 
-    def __init__(self, frequent: dict[str, int], path: str):
-        super().__init__(frequent)
+    def __init__(self, frequent: "Frequent", path: str):
+        super().__init__(frequent.items())
         self.cache, self.encode = _cache(path), library(path).encode
 
     def __missing__(self, piece: str) -> int:
@@ -55,26 +57,51 @@ class _Counts(dict):
         return n
 
 
-def frequent_words(docs: DataFrame, text_col: str = "text", share: float = 1e-4, entries: int = 32_768) -> DataFrame:
-    """Return (word, n), at most ``entries`` rows: words, split at spaces, that are frequent in at least one task."""
+@dataclass(frozen=True)
+class Frequent:
+    """A table from pre-tokens to token counts, packed: all pre-tokens in one string, with the end of each and its count."""
+
+    pieces: str
+    ends: np.ndarray
+    counts: np.ndarray
+
+    def items(self) -> Iterator[tuple[str, int]]:
+        ends = self.ends.tolist()
+        return zip((self.pieces[a:b] for a, b in zip([0, *ends], ends)), self.counts.tolist())
+
+
+_tables: dict[tuple[int, str], _Counts] = {}
+
+
+def _table(shared, path: str) -> _Counts:
+    """The hash table of a broadcast, made once a worker."""
+    key = shared._jbroadcast.id() if hasattr(shared, "_jbroadcast") and shared._jbroadcast else id(shared.value), path
+    if key not in _tables:
+        _tables.clear()
+        _tables[key] = _Counts(shared.value, path)
+    return _tables[key]
+
+
+def frequent_pieces(docs: DataFrame, pattern: str, text_col: str = "text", sample: int = 8192, share: float = 1e-5, entries: int = 32_768) -> list[str]:
+    """At most ``entries`` pre-tokens that make up at least ``share`` of those in ``sample`` rows, the most frequent first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total = Counter(), 0
+        seen = Counter()
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
-                words = (text or "").split(" ")
-                total += len(words)
-                seen.update(words)
-            if len(seen) > 20 / share:  # lossy counting: what is rarer than the share by now can go
-                seen = Counter({w: n for w, n in seen.items() if n > share * total / 8})
-        kept = [(w, n) for w, n in seen.items() if n >= max(2, share * total) and len(w) <= 32]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
+                seen.update(pretokens(text or "", pattern))
+            if len(seen) > 1_000_000:  # lossy counting: what is rarer than the share by now can go
+                least = share * seen.total() / 8
+                seen = Counter({w: n for w, n in seen.items() if n > least})
+        least = max(2, share * seen.total())
+        kept = [w for w, n in sorted(seen.items(), key=lambda i: (-i[1], i[0])) if n >= least and len(w) <= 32][:entries]
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string())], ["piece"])
 
-    found = map_texts(docs.select(text_col), run, "word string, n long")
-    return found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(entries)
+    found = map_texts(docs.select(text_col).limit(sample).coalesce(1), run, "piece string")
+    return [r.piece for r in found.collect()]  # at most `entries` short strings
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", share: float = 1e-4, entries: int = 32_768) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", sample: int = 8192, entries: int = 32_768) -> DataFrame:
     """Return (``id_col``, n_bytes, n_tokens, over_limit), a row for each row of ``docs``, in no order.
 
     A null text counts as an empty one: 0 bytes, 0 tokens. The tokenizer's own special strings inside a text are single
@@ -83,15 +110,14 @@ def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str, limit: int
     """
     spark = docs.sparkSession
     encode = library(tokenizer_path).encode
-    frequent: dict[str, int] = {}
-    for word, _ in frequent_words(docs, text_col, share, entries).toLocalIterator():  # at most `entries` short words
-        for piece in pretokens(f" {word}", pattern):
-            frequent[piece] = len(encode(piece, add_special_tokens=False))
+    pieces = frequent_pieces(docs, pattern, text_col, sample, entries=entries)
+    counts = np.array([len(encode(p, add_special_tokens=False)) for p in pieces], np.int32)
+    frequent = Frequent("".join(pieces), np.cumsum([len(p) for p in pieces], dtype=np.int32), counts)
     special = {t.content for t in library(tokenizer_path).get_added_tokens_decoder().values()}
     shared = spark.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, encode = _Counts(shared.value, tokenizer_path).__getitem__, library(tokenizer_path).encode
+        count, encode = _table(shared, tokenizer_path).__getitem__, library(tokenizer_path).encode
         for batch in slices(batches):
             texts, found = batch.column(1).to_pylist(), []
             sizes = [len(t.encode()) if t else 0 for t in texts]

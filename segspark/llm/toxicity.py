@@ -3,7 +3,8 @@
 Categories are predicted one after the other. Each category's logistic model sees the words of the text and the
 probabilities of the categories before it. For training, these probabilities are out-of-fold: each row's come from models
 that were fitted without its fold; so later models learn from predictions as good as those they will get. Labels hold one
-toxicity flag only, so the finer categories are weak labels: rows labelled toxic that hold a seed word of the category.
+toxicity flag only, so the finer categories are learned: the toxic rows are clustered by their features into ``kinds`` groups,
+and being of a group is a category that comes before the flag itself. No list of words is given.
 
 Models are fitted on a bounded sample of the labelled rows (``sample`` rows, by a hash of their id); its word counts are
 summed by Spark, and only the chosen words' places in each sampled row come to the driver. All texts are scored in tasks.
@@ -24,13 +25,6 @@ from pyspark.sql import functions as F
 from segspark.llm.common import saved, map_texts, slices
 
 _WORD = re.compile(r"[^\W\d_]+")
-#: Seed words of the weakly labelled categories, in the order of the chain. Fixed values.
-SEEDS = {
-    "insult": ["clown", "idiot", "loser", "moron", "scum", "trash"],
-    "demeaning": ["disgusting", "pathetic", "stupid", "worthless"],
-}
-
-
 def features(text: str | None) -> set[str]:
     """Distinct words in lower case, and the first five letters of the longer ones, marked with a star."""
     words = set(_WORD.findall((text or "").lower()))
@@ -83,6 +77,33 @@ class _Rows:
         return np.bincount(self.flat, r[self.row], self.width)
 
 
+def _kinds(x: _Rows, kinds: int, rounds: int = 25) -> np.ndarray:
+    """The group, from 0 to ``kinds`` - 1, of each row: spherical k-means, from rows far from each other."""
+    size = np.sqrt(np.maximum(x.lengths, 1))
+
+    def likeness(center: np.ndarray) -> np.ndarray:
+        return x.times(center / max(np.linalg.norm(center), 1e-12)) / size
+
+    def center(rows: np.ndarray) -> np.ndarray:
+        return x.back(rows / size)
+
+    n = len(x.lengths)
+    if n < kinds:
+        return np.zeros(n, np.int64)
+    nearest = likeness(center(np.ones(n)))
+    seeds = []
+    for _ in range(kinds):
+        seeds.append(center((np.arange(n) == nearest.argmin()).astype(float)))
+        nearest = np.maximum(nearest if len(seeds) > 1 else 0, likeness(seeds[-1]))
+    group = np.zeros(n, np.int64)
+    for _ in range(rounds):
+        before, group = group, np.argmax([likeness(s) for s in seeds], axis=0)
+        seeds = [center((group == k).astype(float)) if (group == k).any() else s for k, s in enumerate(seeds)]
+        if (before == group).all():
+            break
+    return group
+
+
 def _fit(x: _Rows, dense: np.ndarray, y: np.ndarray, steps: int = 120, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
     """Logistic regression by Adam over all rows, each with the same weight."""
     theta = np.zeros(x.width + dense.shape[1] + 1)
@@ -100,10 +121,10 @@ def _fit(x: _Rows, dense: np.ndarray, y: np.ndarray, steps: int = 120, ridge: fl
     return theta[: x.width], theta[x.width : -1], float(theta[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, vocabulary: int = 4096, significance: float = 7.0, folds: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, vocabulary: int = 4096, significance: float = 7.0, kinds: int = 2, folds: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Chain:
     """Fit the chain on at most ``sample`` labelled rows and ``vocabulary`` features, those whose shares among toxic and clean rows
-    differ by at least ``significance`` standard errors, or 0.7 of the most that so few rows can show. Null labels, ids and texts
-    don't train; without rows of both classes nothing is toxic."""
+    differ by at least ``significance`` standard errors, or 0.7 of the most that so few rows can show. ``kinds``: learned categories
+    before the last (0: the last model alone). Null labels, ids and texts don't train; without rows of both classes nothing is toxic."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -128,24 +149,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, vocabulary: in
     place = {w: i for i, w in enumerate(r.word for r in chosen.select("word").collect())}
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seeds = place.keys(), [set(s) for s in SEEDS.values()]
+        known = place.keys()
         for batch in slices(batches):
-            found = [features(t) for t in batch.column(1).to_pylist()]
-            flags = [sum(1 << k for k, s in enumerate(seeds) if s & f) for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(flags, pa.int32()), pa.array([sorted(place[w] for w in known & f) for f in found], pa.list_(pa.int32()))], ["id", "y", "seeds", "places"])
+            found = [sorted(place[w] for w in known & features(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))], ["id", "y", "places"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    marked = map_texts(rows, mark, f"id {kind}, y int, seeds int, places array<int>").withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(folds)))
-    local = marked.select("y", "seeds", "places", "fold").toArrow().combine_chunks()
-    y, seeds, fold = (np.asarray(local[c].to_pylist(), np.int64) for c in ("y", "seeds", "fold"))
+    marked = map_texts(rows, mark, f"id {kind}, y int, places array<int>").withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(folds)))
+    local = marked.orderBy(F.xxhash64("id"), "id").select("y", "places", "fold").toArrow().combine_chunks()
+    y, fold = (np.asarray(local[c].to_pylist(), np.int64) for c in ("y", "fold"))
     places = local["places"].combine_chunks() if len(local) else pa.array([], pa.list_(pa.int32()))
     places = places.combine_chunks() if isinstance(places, pa.ChunkedArray) else places
     x = _Rows(places.flatten().to_numpy().astype(np.int64), places.value_lengths().to_numpy().astype(np.int64), max(1, len(place)))
-    categories = (*SEEDS, label_col)
+    group = np.full(len(y), -1)
+    group[y == 1] = _kinds(x.some(y == 1), max(kinds, 1))
+    categories = (*(f"kind_{k + 1}" for k in range(kinds)), label_col)
     weights, earlier, bias = np.zeros((len(categories), x.width)), np.zeros((len(categories), len(categories))), np.zeros(len(categories))
     before = np.zeros((len(y), 0))
     for k in range(len(categories)):
-        target = (y if k == len(SEEDS) else y * (seeds >> k & 1)).astype(float)
+        target = (y == 1 if k == kinds else group == k).astype(float)
         weights[k], earlier[k, :k], bias[k] = _fit(x, before, target)
         out = np.zeros(len(y))
         for f in range(folds):

@@ -1,4 +1,5 @@
 import random
+import time
 
 from segspark.llm import queries
 from segspark.llm.substring_dedup import runs_of, sentences_of, without_repeats
@@ -16,10 +17,9 @@ def brute(rows, sentences=2, words=20, alone=50):
             own = []
             if len(held[a].split()) >= alone:
                 own.append((a, a + 1, ("alone", held[a])))
-            for b in range(a + sentences, len(parts) + 1):
+            for b in range(a + sentences, len(parts) + 1):  # every run of any length
                 if sum(len(h.split()) for h in held[a:b]) >= words:
                     own.append((a, b, tuple(held[a:b])))
-                    break
             for a_, b, key in own:
                 if key in seen:
                     covered[i] |= set(range(a_, b))
@@ -43,7 +43,14 @@ def test_runs_are_the_shortest(spark):
         for a in range(len(parts)):
             want += [(a, 1)] * (sizes[a] >= 50)
             want += next(([(a, b - a)] for b in range(a + 2, len(parts) + 1) if sum(sizes[a:b]) >= 20), [])
-        assert got == want, sizes
+            want += next(([(b, a + 1 - b)] for b in range(a - 1, -1, -1) if sum(sizes[b : a + 1]) >= 20), [])
+        assert got == sorted(set(want)), sizes
+
+
+def test_sentences_take_linear_time():
+    for text in ("." * 400_000, "a." * 200_000, ". " * 200_000, "\n" * 400_000, " " * 400_000):
+        start = time.perf_counter()
+        assert "".join(sentences_of(text)) == text and time.perf_counter() - start < 2
 
 
 def passage(rng, n=60):

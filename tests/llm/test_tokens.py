@@ -6,7 +6,8 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 
-from segspark.llm.bpe import decode, digests, encode, encoder
+from segspark.llm import queries
+from segspark.llm.bpe import concatenated, decode, digests, encode, encoder
 from segspark.llm.pretokens import pretokens
 from segspark.llm.token_counts import library, token_counts
 
@@ -61,3 +62,24 @@ def test_round_trip_and_counts(spark, lib):
         n = len(tok.encode(t or "", add_special_tokens=False))
         assert (counted[i].n_tokens, counted[i].n_bytes, counted[i].over_limit) == (n, len((t or "").encode()), n > 1024), t
     assert token_counts(docs.limit(0), JSON, P.PATTERN).count() == 0
+
+
+def test_queries_equal_the_libraries(spark, lib):
+    data = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    tok = library(JSON)
+    got = {r.doc_id: r for r in queries.op1_bpe_round_trip(spark, data).collect()}
+    counted = {r.doc_id: r for r in queries.op2_token_counts(spark, data).collect()}
+    assert set(got) == set(counted) == set(docs)
+    for i, text in docs.items():
+        ids, n = lib.encode_ordinary(text), len(tok.encode(text, add_special_tokens=False))
+        assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert got[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert (counted[i].n_bytes, counted[i].n_tokens, counted[i].over_limit) == (len(text.encode()), n, n > 1024)
+
+
+def test_patterns_and_joining():
+    assert pretokens("ab12", r"\p{N}|\p{L}") == list("ab12") and pretokens("ab12ж", r"\p{N}|\p{L}") == list("ab12ж")
+    for n in (0, 1, 63, 64, 65, 1000):
+        parts = [bytes([k % 256]) * (k % 3) for k in range(n)]
+        assert concatenated(parts) == b"".join(parts)

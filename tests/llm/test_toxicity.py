@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from segspark.llm import queries
-from segspark.llm.toxicity import SEEDS, fit, score, without_toxic
+from segspark.llm.toxicity import fit, score, without_toxic
 
 DATA = "/root/testdata/sf0.1"
 
@@ -11,12 +11,22 @@ def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     train = F.pmod(F.xxhash64("doc_id"), F.lit(10)) < 8
     chain = fit(docs, labels.where(train))
-    assert chain.categories == (*SEEDS, "toxic")
+    assert chain.categories == ("kind_1", "kind_2", "toxic")
     got = score(docs, chain).join(labels.where(~train).select("doc_id", F.col("toxic").alias("truth")), "doc_id").toPandas()
     right, truth = got["toxic"].to_numpy(bool), got["truth"].to_numpy(bool)
     rows = len(got)
     assert rows > 300 and np.mean(right == truth) > 0.98
     assert not (right & ~truth).sum() > 0.002 * rows
+    # The chain against the last model alone, by their log loss on rows that neither saw.
+    alone = score(docs, fit(docs, labels.where(train), kinds=0)).join(labels.where(~train).select("doc_id", F.col("toxic").alias("truth")), "doc_id").toPandas()
+
+    def loss(p, y):
+        p = np.clip(p, 1e-6, 1 - 1e-6)
+        return -np.mean(np.where(y, np.log(p), np.log(1 - p)))
+
+    chained, single = loss(got["p_toxic"].to_numpy(), truth), loss(alone["p_toxic"].to_numpy(), alone["truth"].to_numpy(bool))
+    print("log loss of the chain and alone", chained, single)
+    assert chained < single
 
 
 def test_chain_feeds_earlier_categories(spark):
@@ -40,4 +50,12 @@ def test_odd_rows(spark):
 
 
 def test_query(spark):
-    assert queries.op3_toxicity(spark, "/root/testdata/sf0.001").count() == 200
+    """Against the same chain applied row by row: every document is scored, by its whole text."""
+    data = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    chain = fit(docs, labels)
+    want = {r.doc_id: chain.predict([r.text])[0] for r in docs.collect()}
+    got = {r.doc_id: r for r in queries.op3_toxicity(spark, data).collect()}
+    assert set(got) == set(want) and len(want) == 200
+    for i, r in got.items():
+        assert np.allclose([r.p_kind_1, r.p_kind_2, r.p_toxic], want[i]) and r.toxic == (want[i][-1] >= chain.threshold)
