@@ -1,19 +1,19 @@
 """A corpus pipeline over ``documents``: toxicity, SimHash near-duplicates, decontamination, secrets, byte-level BPE.
 
 Each stage works on the whole output of the stage before, read again from Parquet. A stage drops or changes rows by its own
-decisions only; all but the last return the columns of ``documents``.
+decisions only; all but the last return the columns of ``documents``. Null and empty texts pass every stage (toxicity never rejects
+them; as near-duplicates they are one group); rows with a null id are rows like any other; of rows with equal id and text in one
+group one stays; an empty table gives an empty one; columns beyond those of ``documents`` are carried through all but the last stage.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segspark.llm import bpe, decontaminate, secret_scan, simhash, toxicity
-from segspark.llm.common import checkpoint_dir, table
+from segspark.llm.common import new_folder, remove, scratch, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +49,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what passes between stages is written to the shared folder of the session."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    """All stages over ``documents``. What passes between stages is written to the shared folder of the session; each stage's tables go
+    when the next has been written, and only the last of them, which the result reads, stays until ``common.clear``."""
+    docs, past = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        folder = new_folder(spark)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(folder)
+        if past:
+            remove(spark, past)
+        docs, past = spark.read.parquet(folder), folder
     return STAGES[-1][1](spark, docs, sf_dir)
