@@ -1,12 +1,14 @@
 """Interval algebra over (key, start, end) rows, half-open, and over step functions.
 
-Every operator works for all keys at once. Set operations are event sweeps: boundaries with +1 and -1, summed per place and
-scanned in two levels, so any boolean combination of masks costs one shuffle and no join.
+Every operator works for all keys at once. Set operations are event sweeps within buckets: intervals are cut at bucket borders, so
+each bucket's counts are complete in themselves; boundaries with +1 and -1 are summed per place and run through in one window a
+bucket. Pieces that touch a border are joined with their neighbours in a second window over these pieces only. So any boolean
+combination of masks reads each set once and needs no join. Intervals without length cover nothing and are left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,11 +25,26 @@ def islands(points: DataFrame, by: list[str] = BY, pos: str = "pos", width: int
 
 
 def merge(intervals: DataFrame, by: list[str] = BY, width: int = WIDTH) -> DataFrame:
-    """Join overlapping and touching intervals: a new run begins only where a start exceeds every end before it."""
-    rows = scan.running_max(intervals.select(*by, "start", "end"), by, "start", "end", "__before", width, ["end"])
-    rows = rows.withColumn("__new", F.when(F.col("__before").isNull() | (F.col("start") > F.col("__before")), 1).otherwise(0))
-    rows = scan.prefix_sum(rows.withColumn("__rest", 1 - F.col("__new")), by, "start", {"__run": "__new"}, width, ["end", "__rest"])  # of equal rows the new one first
-    return rows.groupBy(*by, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(*by, "start", "end")
+    """Join overlapping and touching intervals."""
+    return where_covered({"n": intervals}, "n > 0", by, width)
+
+
+def _joined(rows: DataFrame, by: list[str], same: Callable[[Column], Column], values: list[str] = []) -> DataFrame:
+    """Join neighbouring rows (key, start, end, values), in order of start, where ``same`` holds for a struct of the row before. Rows
+    have the bucket of their start in __b. Runs are made within buckets; then the first and last run of each bucket go through
+    one window a key, two rows a bucket at most, while all others keep a window of their own bucket."""
+    order = Window.partitionBy(*by, "__b").orderBy("start")
+    new = F.when(F.coalesce(same(F.lag(F.struct("start", "end", *values)).over(order)), F.lit(False)), 0).otherwise(1)
+    rows = rows.withColumn("__new", new).withColumn("__run", F.sum("__new").over(order))
+    ends = [F.min("start").alias("start"), F.max("end").alias("end"), *[F.first(v).alias(v) for v in values]]
+    local = rows.groupBy(*by, "__b", "__run").agg(*ends).withColumn("__runs", F.max("__run").over(Window.partitionBy(*by, "__b")))
+    local = local.withColumn("__part", F.when((F.col("__run") > 1) & (F.col("__run") < F.col("__runs")), F.col("__b")))
+    order = Window.partitionBy(*by, "__part").orderBy("start")
+    local = local.withColumn("__p", F.lag(F.struct("__b", "__run", "__runs", "start", "end", *values)).over(order))
+    p, inside = F.col("__p"), F.col("__p")["__b"] == F.col("__b")
+    beside = F.when(inside, p["__run"] == F.col("__run") - 1).otherwise((p["__run"] == p["__runs"]) & (F.col("__run") == 1))
+    local = local.withColumn("__new", F.when(F.coalesce(beside & same(p), F.lit(False)), 0).otherwise(1)).withColumn("__run", F.sum("__new").over(order))
+    return local.groupBy(*by, "__part", "__run").agg(*ends).select(*by, "start", "end", *values)
 
 
 def intersect(a: DataFrame, b: DataFrame, by: list[str] = BY, width: int = 1 << 14, closed: bool = False) -> DataFrame:
@@ -49,22 +66,31 @@ def range_join(a: DataFrame, b: DataFrame, by: list[str] = BY, width: int = 1 <<
     return dealt(a).join(right, [*by, "__b"]).where(meets & (F.floor(F.greatest("start", "start_b") / width) == F.col("__b"))).drop("__b")
 
 
-def coverage(sets: dict[str, DataFrame], by: list[str] = BY, width: int = WIDTH) -> DataFrame:
-    """Stretches between neighbouring boundaries with, for each named set, how many of its intervals cover them."""
+def _counted(sets: dict[str, DataFrame], by: list[str], width: int) -> DataFrame:
+    """(key, __b, start, end, count a set): stretches within buckets that any set covers."""
     events = None
     for name in sets:
-        for edge, step in (("start", 1), ("end", -1)):
-            part = sets[name].where("start < end").select(*by, F.col(edge).alias("start"), *[F.lit(step if n == name else 0).alias(f"__{n}") for n in sets])
-            events = part if events is None else events.unionByName(part)
-    summed = events.groupBy(*by, "start").agg(*[F.sum(f"__{n}").alias(f"__{n}") for n in sets])
-    rows = scan.prefix_sum(summed, by, "start", {n: f"__{n}" for n in sets}, width)
-    rows = scan.neighbour(rows, by, "start", "start", "end", width, after=True)
-    return rows.where(F.col("end").isNotNull()).select(*by, "start", "end", *sets)
+        low, high = F.floor(F.col("start") / F.lit(width)), F.floor((F.col("end") - 1) / F.lit(width))
+        cut = sets[name].where("start < end").select(*by, "start", "end", F.explode(F.sequence(low, high)).alias("__b"))
+        edges = [F.struct(p.cast("long").alias("__at"), *[F.lit(step if n == name else 0).alias(n) for n in sets]) for p, step in ((F.greatest(F.col("start"), F.col("__b") * width), 1), (F.least(F.col("end"), (F.col("__b") + 1) * width), -1))]
+        part = cut.select(*by, "__b", F.inline(F.array(*edges)))
+        events = part if events is None else events.unionByName(part)
+    summed = events.groupBy(*by, "__b", "__at").agg(*[F.sum(n).alias(n) for n in sets])
+    order = Window.partitionBy(*by, "__b").orderBy("__at")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = summed.select(*by, "__b", F.col("__at").alias("start"), F.lead("__at").over(order).alias("end"), *[F.sum(n).over(upto).alias(n) for n in sets])
+    return rows.where(F.col("end").isNotNull() & (F.greatest(*sets, F.lit(0)) > 0))
+
+
+def coverage(sets: dict[str, DataFrame], by: list[str] = BY, width: int = WIDTH) -> DataFrame:
+    """Stretches that any set covers, between neighbouring boundaries and at most to the next multiple of ``width``, with, for each
+    named set, how many of its intervals cover them."""
+    return _counted(sets, by, width).drop("__b")
 
 
 def where_covered(sets: dict[str, DataFrame], keep: Column | str, by: list[str] = BY, width: int = WIDTH) -> DataFrame:
-    """Intervals where ``keep``, a condition on the counts of ``coverage``, holds; touching ones are joined."""
-    return merge(coverage(sets, by, width).where(keep), by, width)
+    """Intervals, of what any set covers, where ``keep``, a condition on the counts of ``coverage``, holds; touching ones are joined."""
+    return _joined(_counted(sets, by, width).where(keep), by, lambda before: before["end"] == F.col("start"))
 
 
 def subtract(a: DataFrame, b: DataFrame, by: list[str] = BY, width: int = WIDTH) -> DataFrame:
@@ -117,17 +143,15 @@ def overlay(maps: dict[str, DataFrame], by: list[str] = BY, width: int = WIDTH)
         part = maps[name].select(*by, "start", *[(F.col("value") if n == name else F.lit(None)).cast("double").alias(n) for n in maps])
         union = part if union is None else union.unionByName(part)
     rows = union.groupBy(*by, "start").agg(*[F.max(n).alias(n) for n in maps])
-    for name in maps:
-        rows = scan.last_known(rows, by, "start", [name], width)
-    return scan.neighbour(rows, by, "start", "start", "end", width, after=True).select(*by, "start", "end", *maps)
+    rows = rows.withColumn("end", F.col("start"))
+    fills = [scan.Fill([n]) for n in maps] + [scan.Fill(["end"], forward=True, own=False)]
+    return scan.fill(rows, by, "start", fills, width).select(*by, "start", "end", *maps)
 
 
 def rle(steps: DataFrame, by: list[str] = BY, width: int = WIDTH) -> DataFrame:
     """Join neighbouring segments (key, start, end, value) of equal value."""
-    rows = scan.neighbour(steps, by, "start", "value", "__prev", width)
-    rows = rows.withColumn("__new", F.when(F.col("value").eqNullSafe(F.col("__prev")), 0).otherwise(1))
-    rows = scan.prefix_sum(rows, by, "start", {"__run": "__new"}, width)
-    return rows.groupBy(*by, "__run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("value").alias("value")).drop("__run")
+    rows = steps.select(*by, "start", "end", "value", F.floor(F.col("start") / F.lit(width)).alias("__b"))
+    return _joined(rows, by, lambda before: before.isNotNull() & before["value"].eqNullSafe(F.col("value")), ["value"])
 
 
 def capped(steps: DataFrame, most: float, by: list[str] = BY, width: int = WIDTH) -> DataFrame:
@@ -176,30 +200,30 @@ def flanks(intervals: DataFrame, upstream: int, inner: int, strand: str = "stran
     return intervals.select(*by, F.inline(F.array(before, head, tail))).where("end - start > 1")
 
 
-def _fold(intervals: DataFrame, by: list[str], fold, schema: str) -> DataFrame:
-    """A sequential pass over each key's intervals in order of start, end, in one Arrow group a key."""
-    return intervals.groupBy(*by).applyInPandas(lambda pdf: pd.DataFrame(list(fold(pdf.sort_values(["start", "end"]))), columns=[c.split()[0] for c in schema.split(", ")]), schema)
+def _fold(intervals: DataFrame, by: list[str], touching: bool, fold, schema: str, width: int = WIDTH) -> DataFrame:
+    """A sequential pass, in order of start and end, over each run of overlapping intervals (``touching``: or touching ones), one Arrow
+    group a run: nothing is carried from one run to the next."""
+    rows = overlap_groups(intervals, by, width, touching)
+    names = [c.split()[0] for c in schema.split(", ")]
+    return rows.groupBy(*by, "group").applyInPandas(lambda pdf: pd.DataFrame(list(fold(pdf.sort_values(["start", "end"]))), columns=names), schema)
 
 
-def merge_weighted(intervals: DataFrame) -> DataFrame:
+def merge_weighted(intervals: DataFrame, width: int = WIDTH) -> DataFrame:
     """Join touching and overlapping (chrom, start, end, value); the value is the mean by length, rounded half up after each join, and
-    a run's length takes in the gaps that it bridges. Sequential by definition, so one group a key."""
+    a run's length takes in the gaps that it bridges. Each mean depends on the one before, so a run is one group."""
 
     def fold(pdf: pd.DataFrame) -> Iterator[tuple]:
         run = None
         for c, s, e, v in pdf[["chrom", "start", "end", "value"]].itertuples(index=False):
-            if run is None or s > run[2]:
-                if run:
-                    yield tuple(run)
+            if run is None:
                 run = [c, s, e, int(v)]
             else:
                 own, new = run[2] - run[1], e - s
                 run[3] = int(0.5 + (run[3] * own + v * new) / (own + new))
                 run[2] = max(run[2], e)
-        if run:
-            yield tuple(run)
+        yield tuple(run)
 
-    return _fold(intervals, ["chrom"], fold, f"chrom {intervals.schema['chrom'].dataType.simpleString()}, start long, end long, value long")
+    return _fold(intervals, ["chrom"], True, fold, f"chrom {intervals.schema['chrom'].dataType.simpleString()}, start long, end long, value long", width)
 
 
 def without_gaps(intervals: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -209,7 +233,7 @@ def without_gaps(intervals: DataFrame, lengths: DataFrame) -> DataFrame:
     return merged.select("chrom", F.coalesce(F.lag("end").over(order), F.lit(0)).alias("start"), F.when(F.lead("end").over(order).isNull(), F.col("length")).otherwise(F.col("end")).alias("end"), "value")
 
 
-def nonredundant(genes: DataFrame) -> DataFrame:
+def nonredundant(genes: DataFrame, width: int = WIDTH) -> DataFrame:
     """Greedy by start: of genes (chrom, start, end, size, name) that overlap the one kept last, the larger stays."""
 
     def fold(pdf: pd.DataFrame) -> Iterator[tuple]:
@@ -224,12 +248,14 @@ def nonredundant(genes: DataFrame) -> DataFrame:
         if kept is not None:
             yield tuple(kept)
 
-    return _fold(genes, ["chrom"], fold, f"chrom {genes.schema['chrom'].dataType.simpleString()}, start long, end long, size long, name string")
+    return _fold(genes, ["chrom"], False, fold, f"chrom {genes.schema['chrom'].dataType.simpleString()}, start long, end long, size long, name string", width)
 
 
-def overlap_groups(intervals: DataFrame, by: list[str] = BY, width: int = WIDTH) -> DataFrame:
-    """Add group: the number of the run of strictly overlapping intervals that a row is in (transcripts of one gene)."""
+def overlap_groups(intervals: DataFrame, by: list[str] = BY, width: int = WIDTH, touching: bool = False) -> DataFrame:
+    """Add group: the number of the run of strictly overlapping intervals that a row is in (transcripts of one gene). ``touching``:
+    touching ones are in one run too."""
     rows = scan.running_max(intervals, by, "start", "end", "__before", width, ["end"])
-    rows = rows.withColumn("__new", F.when(F.col("__before").isNull() | (F.col("start") >= F.col("__before")), 1).otherwise(0))
+    ended = F.col("start") > F.col("__before") if touching else F.col("start") >= F.col("__before")
+    rows = rows.withColumn("__new", F.when(F.col("__before").isNull() | ended, 1).otherwise(0))
     rows = rows.withColumn("__rest", 1 - F.col("__new"))
     return scan.prefix_sum(rows, by, "start", {"group": "__new"}, width, ["end", "__rest"]).drop("__new", "__before", "__rest")

@@ -33,12 +33,21 @@ def step_value(probes: DataFrame, steps: DataFrame, by: list[str] = BY, pos: str
     return found.join(F.broadcast(last), by, "left").withColumn("value", F.coalesce("value", "__last")).drop("__last")  # one row a key
 
 
+def between(probes: DataFrame, edges: DataFrame, before: dict[str, str], after: dict[str, str], by: list[str] = BY, pos: str = "pos", width: int = WIDTH) -> DataFrame:
+    """Probes with values of the last edge at or before them and of the first at or after them, in one scan. ``before`` and ``after``
+    map new columns to columns of ``edges``, a row for each place."""
+    extra = [c for c in probes.columns if c not in (*by, pos)]
+    a = edges.select(*by, F.col(pos), F.lit(0).alias("__kind"), F.lit(1).alias("__back"), F.lit(False).alias("__probe"), F.struct(*[F.col(c).alias(n) for n, c in before.items()]).alias("__low"), F.struct(*[F.col(c).alias(n) for n, c in after.items()]).alias("__high"))
+    b = probes.select(*by, F.col(pos), F.lit(1).alias("__kind"), F.lit(0).alias("__back"), F.lit(True).alias("__probe"), F.struct(F.lit(0).alias("__none"), *extra).alias("__row"))
+    rows = a.unionByName(b, allowMissingColumns=True)
+    rows = scan.fill(rows, by, pos, [scan.Fill(["__low"], ["__kind"]), scan.Fill(["__high"], ["__back"], forward=True)], width)
+    return rows.where("__probe").select(*by, pos, *[F.col(f"__row.{c}").alias(c) for c in extra], *[F.col(f"__low.{n}").alias(n) for n in before], *[F.col(f"__high.{n}").alias(n) for n in after])
+
+
 def nearest(probes: DataFrame, focal: DataFrame, by: list[str] = BY, pos: str = "pos", within: float | None = None, width: int = WIDTH) -> DataFrame:
     """Add distance: signed, from each probe to the nearest focal place (focal less probe); at equal distance the greater place wins.
     Null where there is none, or none ``within``."""
-    points = focal.select(*by, pos).distinct()
-    rows = asof(probes, points.withColumn("__prev", F.col(pos)), ["__prev"], by, pos, width=width)
-    rows = asof(rows, points.withColumn("__next", F.col(pos)), ["__next"], by, pos, True, width=width)
+    rows = between(probes, focal.select(*by, pos).distinct(), {"__prev": pos}, {"__next": pos}, by, pos, width)
     up, down = F.col("__next") - F.col(pos), F.col("__prev") - F.col(pos)
     d = F.when(up.isNull(), down).when(down.isNull(), up).when(up <= -down, up).otherwise(down)
     rows = rows.withColumn("distance", d).drop("__prev", "__next")
@@ -47,8 +56,8 @@ def nearest(probes: DataFrame, focal: DataFrame, by: list[str] = BY, pos: str =
 
 def nearest_edge(probes: DataFrame, intervals: DataFrame, by: list[str] = BY, pos: str = "pos", width: int = WIDTH) -> DataFrame:
     """Probes outside disjoint intervals, with the signed distance to the nearest edge; the 5' edge of the next wins ties."""
-    rows = asof(probes, intervals.select(*by, F.col("start").alias(pos), F.col("end").alias("__end")), ["__end"], by, pos, width=width)
-    rows = asof(rows.where(F.col("__end").isNull() | (F.col(pos) >= F.col("__end"))), intervals.select(*by, F.col("start").alias(pos), F.col("start").alias("__start")), ["__start"], by, pos, True, width=width)
+    rows = between(probes, intervals.select(*by, F.col("start").alias(pos), "end"), {"__end": "end"}, {"__start": pos}, by, pos, width)
+    rows = rows.where(F.col("__end").isNull() | (F.col(pos) >= F.col("__end")))
     up, down = F.col("__start") - F.col(pos), F.col("__end") - 1 - F.col(pos)
     return rows.withColumn("distance", F.when(up.isNull(), down).when(down.isNull(), up).when(-down < up, down).otherwise(up)).drop("__end", "__start")
 
@@ -62,8 +71,7 @@ def in_interval(probes: DataFrame, intervals: DataFrame, by: list[str] = BY, pos
 
 def interpolate(probes: DataFrame, knots: DataFrame, x: str = "pos", y: str = "gpos", by: list[str] = BY, width: int = WIDTH) -> DataFrame:
     """Add y by linear interpolation between knots (key, x, y), clamped to the first and last."""
-    rows = asof(probes, knots.select(*by, x, F.col(x).alias("__x0"), F.col(y).alias("__y0")), ["__x0", "__y0"], by, x, width=width)
-    rows = asof(rows, knots.select(*by, x, F.col(x).alias("__x1"), F.col(y).alias("__y1")), ["__x1", "__y1"], by, x, True, width=width)
+    rows = between(probes, knots.select(*by, x, y), {"__x0": x, "__y0": y}, {"__x1": x, "__y1": y}, by, x, width)
     x0, y0, x1, y1 = (F.col(f"__{c}").cast("double") for c in ("x0", "y0", "x1", "y1"))
     value = F.when(x0.isNull(), y1).when(x1.isNull() | (x1 == x0), y0).otherwise(y0 + (y1 - y0) * (F.col(x) - x0) / (x1 - x0))
     return rows.withColumn(y, value).drop("__x0", "__y0", "__x1", "__y1")

@@ -21,11 +21,11 @@ def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interval_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iv.intersect(iv.merge(v.intervals_a(spark, sf_dir).where("end % 3 = 0"), width=W), iv.merge(v.intervals_b(spark, sf_dir).where("start % 2 = 0"), width=W), width=64)
+    return iv.intersect(iv.merge(v.intervals_a(spark, sf_dir), width=W), iv.merge(v.intervals_p(spark, sf_dir), width=W), width=64)
 
 
 def interval_intersect_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iv.intersect(iv.merge(v.intervals_a(spark, sf_dir).where("end % 3 = 0"), width=W), iv.merge(v.intervals_b(spark, sf_dir).where("start % 2 = 0"), width=W), width=64, closed=True)
+    return iv.intersect(iv.merge(v.intervals_a(spark, sf_dir), width=W), iv.merge(v.intervals_p(spark, sf_dir), width=W), width=64, closed=True)
 
 
 def interval_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def overlap_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def progressive_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = v.intervals_a(spark, sf_dir), v.intervals_b(spark, sf_dir)
-    return iv.progressive(a, [b, a.where("end % 2 = 0")], width=W)
+    return iv.progressive(a, [b, v.intervals_p(spark, sf_dir)], width=W)
 
 
 def segment_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ def long_intervals_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlap_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = iv.overlap_groups(v.intervals_b(spark, sf_dir).where("chrom < 3 and start % 3 = 0"), width=W)
+    rows = iv.overlap_groups(v.intervals_b(spark, sf_dir), width=W)
     return rows.groupBy("chrom", "group").agg(F.count("*").alias("n"), F.min("start").alias("start"), F.max("end").alias("end")).drop("group")
 
 
@@ -85,7 +85,7 @@ def asof_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def step_lookup_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
     probes = v.segments(spark, sf_dir).select("chrom", "pos")
-    edges = v.steps(v.intervals_b(spark, sf_dir)).where("start % 5 = 0").withColumnRenamed("start", "edge")
+    edges = v.steps(v.intervals_b(spark, sf_dir)).withColumnRenamed("start", "edge")
     return lookup.step_value(probes, edges, width=W)
 
 
@@ -107,12 +107,12 @@ def collated_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nearest_interval_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     probes = v.segments(spark, sf_dir).select("chrom", "pos")
-    return lookup.nearest_edge(probes, iv.merge(v.intervals_b(spark, sf_dir).where("start % 40 = 0"), width=W), width=W)
+    return lookup.nearest_edge(probes, iv.merge(v.intervals_p(spark, sf_dir), width=W), width=W)
 
 
 def point_in_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     probes = v.segments(spark, sf_dir).select("chrom", "pos", "het")
-    rows = lookup.in_interval(probes, iv.merge(v.intervals_b(spark, sf_dir).where("start % 4 = 0"), width=W), width=W)
+    rows = lookup.in_interval(probes, iv.merge(v.intervals_p(spark, sf_dir), width=W), width=W)
     return rows.groupBy("chrom", "inside").agg(F.count("*").alias("n"), F.sum("het").alias("het"))
 
 
@@ -123,13 +123,13 @@ def gpos_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segment_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean count of alternate alleles of the sites in each segment of a tiling (scores, rates or bases per segment alike)."""
-    rows = lookup.assign(v.sites(spark, sf_dir).select("chrom", "pos", "alt"), v.steps(v.intervals_b(spark, sf_dir)).where("start % 7 = 0"), width=W)
+    rows = lookup.assign(v.sites(spark, sf_dir).select("chrom", "pos", "alt"), v.steps(v.intervals_b(spark, sf_dir)), width=W)
     return rows.where("seg is not null").groupBy("chrom", "seg").agg(F.count("*").alias("n"), F.sum("alt").alias("alt"), F.round(F.avg((F.col("alt") > 25).cast("double")), 6).alias("share"))
 
 
 def sites_kept_by_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places with sites that a conjunction of masks keeps (covered by a, not by b), by a semi-join on intervals."""
-    kept = iv.subtract(v.intervals_a(spark, sf_dir).where("end % 3 = 0"), v.intervals_b(spark, sf_dir), width=W)
+    kept = iv.subtract(v.intervals_a(spark, sf_dir), v.intervals_b(spark, sf_dir), width=W)
     rows = lookup.in_interval(v.segments(spark, sf_dir).select("chrom", "pos", "sites"), kept, width=W)
     return rows.where("inside").select("chrom", "pos", "sites")
 
@@ -162,7 +162,7 @@ def conserved_per_map_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rate_windows_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = v.sites(spark, sf_dir).where("pos % 60 < 37 and alt % 2 = 0")
+    rows = v.sites(spark, sf_dir)
     spans = spark.range(5).select(F.col("id").alias("chrom"), F.lit(0).cast("long").alias("first"), F.lit(v.LENGTH // 20 - 1).cast("long").alias("last"))
     found = stats.windows_filled(rows, spans, 20, ["chrom"], "pos", F.col("alt") > 20)
     return found.select("chrom", "window", "bases", "subs", F.round("rate", 6).alias("rate"))
@@ -198,32 +198,32 @@ def _rle(source: str) -> str:
 ORACLE_SQL = {
     "mask_islands": f"with {v.SITES}, d as (select distinct chrom, pos from sites where alt > 40), k as (select *, pos - row_number() over (partition by chrom order by pos) as g from d) select chrom, min(pos) as \"start\", max(pos) + 1 as \"end\" from k group by chrom, g",
     "interval_merge": f"with {v.INTERVALS}, {_merged('m', 'iv_a')} select * from m",
-    "interval_intersect": f"with {v.INTERVALS}, {_merged('x', 'iv_a', '\"end\" % 3 = 0')}, {_merged('y', 'iv_b', '\"start\" % 2 = 0')} select x.chrom, greatest(x.\"start\", y.\"start\") as \"start\", least(x.\"end\", y.\"end\") as \"end\" from x join y on x.chrom = y.chrom and x.\"start\" < y.\"end\" and y.\"start\" < x.\"end\"",
-    "interval_intersect_closed": f"with {v.INTERVALS}, {_merged('x', 'iv_a', '\"end\" % 3 = 0')}, {_merged('y', 'iv_b', '\"start\" % 2 = 0')} select x.chrom, greatest(x.\"start\", y.\"start\") as \"start\", least(x.\"end\", y.\"end\") as \"end\" from x join y on x.chrom = y.chrom and x.\"start\" <= y.\"end\" and y.\"start\" <= x.\"end\"",
+    "interval_intersect": f"with {v.INTERVALS}, {_merged('x', 'iv_a')}, {_merged('y', 'iv_p')} select x.chrom, greatest(x.\"start\", y.\"start\") as \"start\", least(x.\"end\", y.\"end\") as \"end\" from x join y on x.chrom = y.chrom and x.\"start\" < y.\"end\" and y.\"start\" < x.\"end\"",
+    "interval_intersect_closed": f"with {v.INTERVALS}, {_merged('x', 'iv_a')}, {_merged('y', 'iv_p')} select x.chrom, greatest(x.\"start\", y.\"start\") as \"start\", least(x.\"end\", y.\"end\") as \"end\" from x join y on x.chrom = y.chrom and x.\"start\" <= y.\"end\" and y.\"start\" <= x.\"end\"",
     "interval_subtract": f"with {v.INTERVALS}, {_swept('s', {'a': ('iv_a', 'true'), 'b': ('iv_b', 'true')}, 'a > 0 and b = 0')} select * from s",
     "interval_coverage_k": f"with {v.INTERVALS}, {_swept('s', {'a': ('iv_a', 'true')}, 'a >= 3')} select * from s",
     "overlap_bases": f"with {v.INTERVALS}, {_swept('s', {'a': ('iv_a', 'true'), 'b': ('iv_b', 'true')}, 'true')} select chrom, cast(sum(case when a > 0 then 1 else 0 end) as bigint) as bases_a, cast(sum(case when b > 0 then 1 else 0 end) as bigint) as bases_b, cast(sum(case when a > 0 and b > 0 then 1 else 0 end) as bigint) as bases_both from s_d group by chrom",
-    "progressive_filters": f"with {v.INTERVALS}, {_swept('s', {'a': ('iv_a', 'true'), 'b': ('iv_b', 'true'), 'c': ('iv_a', '\"end\" % 2 = 0')}, 'true')} select 0 as step, count(*) as bases from s_d where a > 0 union all select 1, count(*) from s_d where a > 0 and b > 0 union all select 2, count(*) from s_d where a > 0 and b > 0 and c > 0",
+    "progressive_filters": f"with {v.INTERVALS}, {_swept('s', {'a': ('iv_a', 'true'), 'b': ('iv_b', 'true'), 'c': ('iv_p', 'true')}, 'true')} select 0 as step, count(*) as bases from s_d where a > 0 union all select 1, count(*) from s_d where a > 0 and b > 0 union all select 2, count(*) from s_d where a > 0 and b > 0 and c > 0",
     "segment_overlay": f"with {v.STEPS}, p as (select chrom, \"start\" from map_a union select chrom, \"start\" from map_b) select p.chrom, p.\"start\", lead(p.\"start\") over (partition by p.chrom order by p.\"start\") as \"end\", (select arg_max(a.value, a.\"start\") from map_a a where a.chrom = p.chrom and a.\"start\" <= p.\"start\") as a, (select arg_max(b.value, b.\"start\") from map_b b where b.chrom = p.chrom and b.\"start\" <= p.\"start\") as b from p",
     "rle_collapse": f"with {_TILED}, {_rle('tiled')}",
     "capped_map": f"with {_TILED}, c as (select chrom, \"start\", \"end\", least(value, cast(2.0 as double)) as value from tiled), {_rle('c')}",
     "lengths_to_coordinates": "select o_custkey % 5 as chrom, o_orderkey as seg_idx, cast(sum(o_orderkey % 7 + 1) over w as bigint) - (o_orderkey % 7 + 1) as \"start\", cast(sum(o_orderkey % 7 + 1) over w as bigint) as \"end\" from orders window w as (partition by o_custkey % 5 order by o_orderkey rows unbounded preceding)",
     "long_intervals_split": f"with {v.INTERVALS}, p as (select *, (\"end\" - \"start\" + 3) // 4 as k, \"end\" - \"start\" as l from iv_b), q as (select *, unnest(generate_series(0, k - 1)) as i from p) select chrom, \"start\" + l * i // k as \"start\", \"start\" + l * (i + 1) // k as \"end\", count(*) as n from q group by 1, 2, 3",
-    "overlap_group_sizes": f"""with {v.INTERVALS}, f as (select *, max("end") over (partition by chrom order by "start", "end" rows between unbounded preceding and 1 preceding) as m from iv_b where chrom < 3 and "start" % 3 = 0), h as (select *, sum(case when m is null or "start" >= m then 1 else 0 end) over (partition by chrom order by "start", "end" rows unbounded preceding) as run from f) select chrom, count(*) as n, min("start") as "start", max("end") as "end" from h group by chrom, run""",
+    "overlap_group_sizes": f"""with {v.INTERVALS}, f as (select *, max("end") over (partition by chrom order by "start", "end" rows between unbounded preceding and 1 preceding) as m from iv_b), h as (select *, sum(case when m is null or "start" >= m then 1 else 0 end) over (partition by chrom order by "start", "end" rows unbounded preceding) as run from f) select chrom, count(*) as n, min("start") as "start", max("end") as "end" from h group by chrom, run""",
     "asof_lookup": f"with {v.SEGMENTS}, {v.STEPS} select s.chrom, s.pos, s.sites, (select arg_max(b.value, b.\"start\") from map_b b where b.chrom = s.chrom and b.\"start\" <= s.pos) as value from segs s",
-    "step_lookup_clamped": f"with {v.SEGMENTS}, {v.STEPS}, e as (select * from map_b where \"start\" % 5 = 0) select s.chrom, s.pos, coalesce((select arg_min(b.value, b.\"start\") from e b where b.chrom = s.chrom and b.\"start\" >= s.pos), (select arg_max(b.value, b.\"start\") from e b where b.chrom = s.chrom)) as value from segs s",
+    "step_lookup_clamped": f"with {v.SEGMENTS}, {v.STEPS}, e as (select * from map_b) select s.chrom, s.pos, coalesce((select arg_min(b.value, b.\"start\") from e b where b.chrom = s.chrom and b.\"start\" >= s.pos), (select arg_max(b.value, b.\"start\") from e b where b.chrom = s.chrom)) as value from segs s",
     "nearest_focal_distance": f"with {_NEAR} select event_id, distance from near",
     "collated_bins": f"with {_NEAR} select cast(floor(cast(distance as double) / 20000) as bigint) as bin, count(*) as n, count(*) as one from near where abs(distance) <= 200000 group by 1",
-    "nearest_interval_edge": f"""with {v.SEGMENTS}, {v.INTERVALS}, {_merged('m', 'iv_b', '"start" % 40 = 0')}, u as (select s.chrom, s.pos, (select min(m."start") - s.pos from m where m.chrom = s.chrom and m."start" > s.pos) as up, (select max(m."end") - 1 - s.pos from m where m.chrom = s.chrom and m."start" <= s.pos) as down from segs s where not exists (select 1 from m where m.chrom = s.chrom and m."start" <= s.pos and m."end" > s.pos)) select chrom, pos, case when up is null then down when down is null then up when -down < up then down else up end as distance from u""",
-    "point_in_interval": f"""with {v.SEGMENTS}, {v.INTERVALS} select chrom, inside, count(*) as n, cast(sum(het) as bigint) as het from (select s.chrom, s.het, exists (select 1 from iv_b where iv_b.chrom = s.chrom and iv_b."start" % 4 = 0 and iv_b."start" <= s.pos and iv_b."end" > s.pos) as inside from segs s) group by chrom, inside""",
+    "nearest_interval_edge": f"""with {v.SEGMENTS}, {v.INTERVALS}, {_merged('m', 'iv_p')}, u as (select s.chrom, s.pos, (select min(m."start") - s.pos from m where m.chrom = s.chrom and m."start" > s.pos) as up, (select max(m."end") - 1 - s.pos from m where m.chrom = s.chrom and m."start" <= s.pos) as down from segs s where not exists (select 1 from m where m.chrom = s.chrom and m."start" <= s.pos and m."end" > s.pos)) select chrom, pos, case when up is null then down when down is null then up when -down < up then down else up end as distance from u""",
+    "point_in_interval": f"""with {v.SEGMENTS}, {v.INTERVALS} select chrom, inside, count(*) as n, cast(sum(het) as bigint) as het from (select s.chrom, s.het, exists (select 1 from iv_p where iv_p.chrom = s.chrom and iv_p."start" <= s.pos and iv_p."end" > s.pos) as inside from segs s) group by chrom, inside""",
     "gpos_interpolation": f"""with {v.KNOTS}, p as (select distinct chrom, pos from sites), b as (select p.*, (select max(k.pos) from knots k where k.chrom = p.chrom and k.pos <= p.pos) as x0, (select min(k.pos) from knots k where k.chrom = p.chrom and k.pos >= p.pos) as x1 from p) select b.chrom, b.pos, round(case when x0 is null then k1.gpos when x1 is null or x1 = x0 then k0.gpos else k0.gpos + (k1.gpos - k0.gpos) * (b.pos - x0) / cast(x1 - x0 as double) end, 6) as gpos from b left join knots k0 on k0.chrom = b.chrom and k0.pos = x0 left join knots k1 on k1.chrom = b.chrom and k1.pos = x1""",
-    "segment_means": f"""with {v.SITES}, {v.STEPS}, d as (select s.chrom, s.alt, (select max(b."start") from map_b b where b.chrom = s.chrom and b."start" % 7 = 0 and b."start" <= s.pos) as seg from sites s) select chrom, seg, count(*) as n, cast(sum(alt) as bigint) as alt, round(avg(case when alt > 25 then 1.0::double else 0.0::double end), 6) as share from d where seg is not null group by chrom, seg""",
-    "sites_kept_by_mask": f"""with {v.SEGMENTS}, {v.INTERVALS} select chrom, pos, sites from segs s where exists (select 1 from iv_a i where i.chrom = s.chrom and i."end" % 3 = 0 and i."start" <= s.pos and i."end" > s.pos) and not exists (select 1 from iv_b i where i.chrom = s.chrom and i."start" <= s.pos and i."end" > s.pos)""",
+    "segment_means": f"""with {v.SITES}, {v.STEPS}, d as (select s.chrom, s.alt, (select max(b."start") from map_b b where b.chrom = s.chrom and b."start" <= s.pos) as seg from sites s) select chrom, seg, count(*) as n, cast(sum(alt) as bigint) as alt, round(avg(case when alt > 25 then 1.0::double else 0.0::double end), 6) as share from d where seg is not null group by chrom, seg""",
+    "sites_kept_by_mask": f"""with {v.SEGMENTS}, {v.INTERVALS} select chrom, pos, sites from segs s where exists (select 1 from iv_a i where i.chrom = s.chrom and i."start" <= s.pos and i."end" > s.pos) and not exists (select 1 from iv_b i where i.chrom = s.chrom and i."start" <= s.pos and i."end" > s.pos)""",
     "kernel_sum_limited": f"with {_KERNEL.format(k='exp(-abs(g.pos - w.pos) / cast(10000 as double))')} select chrom, pos, cast(sources as bigint) as sources, round(total, 6) as total from j",
     "b_kernel_sum": f"with {_KERNEL.format(k='1 / (cast(0.01 as double) * power(1 + cast(99.0 as double) * ((1 - exp(-2 * abs(g.pos - w.pos) / cast(1000000 as double))) / 2), 2)) / 100')} select chrom, pos, round(total, 6) as total from j",
     "composite_map": f"""with {v.SEGMENTS}, t as (select * from (select chrom, pos as "start", lead(pos) over (partition by chrom order by pos) as "end", cast(floor(exp(b1 * 2 + b2 * 3) * 20 + cast(0.5 as double)) as bigint) as value from segs) where "end" is not null), {_rle('t')}""",
     "conserved_per_map_bin": None,
-    "rate_windows_filled": f"""with {v.SITES}, c as (select chrom, pos // 20 as win, count(*) as bases, cast(sum(case when alt > 20 then 1 else 0 end) as bigint) as subs from sites where pos % 60 < 37 and alt % 2 = 0 group by 1, 2), g as (select c.chrom, d.win from (select unnest(generate_series(0, 4)) as chrom) c, (select unnest(generate_series(0, {v.LENGTH // 20 - 1})) as win) d), r as (select g.chrom, g.win, coalesce(bases, 0) as bases, coalesce(subs, 0) as subs, case when bases > 0 then cast(subs as double) / cast(bases as double) end as own from g left join c on g.chrom = c.chrom and g.win = c.win), f as (select *, last_value(own ignore nulls) over (partition by chrom order by win rows between unbounded preceding and 1 preceding) as b, first_value(own ignore nulls) over (partition by chrom order by win rows between 1 following and unbounded following) as a from r) select chrom, win as "window", bases, subs, round(coalesce(own, case when b is null then a when a is null then b else (a + b) / 2 end), 6) as rate from f""",
+    "rate_windows_filled": f"""with {v.SITES}, c as (select chrom, pos // 20 as win, count(*) as bases, cast(sum(case when alt > 20 then 1 else 0 end) as bigint) as subs from sites group by 1, 2), g as (select c.chrom, d.win from (select unnest(generate_series(0, 4)) as chrom) c, (select unnest(generate_series(0, {v.LENGTH // 20 - 1})) as win) d), r as (select g.chrom, g.win, coalesce(bases, 0) as bases, coalesce(subs, 0) as subs, case when bases > 0 then cast(subs as double) / cast(bases as double) end as own from g left join c on g.chrom = c.chrom and g.win = c.win), f as (select *, last_value(own ignore nulls) over (partition by chrom order by win rows between unbounded preceding and 1 preceding) as b, first_value(own ignore nulls) over (partition by chrom order by win rows between 1 following and unbounded following) as a from r) select chrom, win as "window", bases, subs, round(coalesce(own, case when b is null then a when a is null then b else (a + b) / 2 end), 6) as rate from f""",
 }
 _GPOS = ORACLE_SQL["gpos_interpolation"]
 ORACLE_SQL["conserved_per_map_bin"] = f"with q as ({_GPOS}), c as (select l_suppkey % 5 as chrom, date_diff('day', date '{v.ORIGIN}', cast(l_shipdate as date)) + 1 as pos, count(*) as k from lineitem group by 1, 2) select q.chrom, cast(floor(gpos / 64) as bigint) as bin, cast(sum(case when k > 1 then 1 else 0 end) as bigint) as several, cast(sum(case when k = 1 then 1 else 0 end) as bigint) as single from q join c on q.chrom = c.chrom and q.pos = c.pos group by 1, 2"

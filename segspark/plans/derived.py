@@ -65,7 +65,7 @@ def points_in_intervals_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from segspark.operators.intervals import merge
 
-    return merge(v.intervals_a(spark, sf_dir).where("start % 10 < 3"), width=256)
+    return merge(v.intervals_p(spark, sf_dir), width=256)
 
 
 def rebinned_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,5 +87,5 @@ ORACLE_SQL = {
     "corrected_divergence": f"with {v.SITES}, s as (select chrom, (pos - 1) // 100 as win, avg(case when alt > 30 then {_D(1)} else {_D(0)} end) as p from sites group by 1, 2) select chrom, win, round(case when p < {_D(0.75)} then {_D(-0.75)} * ln(1 - 4 * p / 3) end, 6) as divergence from s",
     "class_rates": f"with r as (select l_suppkey % 5 as chrom, {_X.format(c='l_partkey')} as a, {_X.format(c='l_orderkey')} as b from lineitem), f as (select chrom, {_FOLD} as c from r) select chrom, " + ", ".join(f"round(cast(sum(case when c = '{c}' then 1 else 0 end) as double) / cast(sum(case when c[1] = '{c[0]}' then 1 else 0 end) as double), 6) as \"{c}\"" for c in ("AC", "AG", "AT", "CA", "CG", "CT")) + " from f group by chrom",
     "longer_intervals": f"with {v.INTERVALS}, c as (select quantile_cont(\"end\" - \"start\", 0.3) as c from iv_b) select chrom, count(*) as n, cast(sum(\"end\" - \"start\") as bigint) as bases from iv_b, c where \"end\" - \"start\" >= c group by chrom",
-    "points_in_intervals_by_label": f"with {v.SITES}, {v.INTERVALS}, d as (select chrom, pos, kind, count(*) as k from sites group by 1, 2, 3), m as (select *, exists (select 1 from iv_a i where i.chrom = d.chrom and i.\"start\" % 10 < 3 and i.\"start\" <= d.pos and i.\"end\" > d.pos) as inside from d) select kind, inside, cast(sum(k) as bigint) as n from m group by 1, 2",
+    "points_in_intervals_by_label": f"with {v.SITES}, {v.INTERVALS}, d as (select chrom, pos, kind, count(*) as k from sites group by 1, 2, 3), m as (select *, exists (select 1 from iv_p i where i.chrom = d.chrom and i.\"start\" <= d.pos and i.\"end\" > d.pos) as inside from d) select kind, inside, cast(sum(k) as bigint) as n from m group by 1, 2",
 }

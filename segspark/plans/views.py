@@ -44,6 +44,13 @@ def intervals_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select((F.col("o_custkey") % 5).alias("chrom"), start.alias("start"), (start + 1 + F.col("o_custkey") % 11).alias("end"))
 
 
+def intervals_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sparser annotation: urgent orders in part delivered."""
+    start = _day("o_orderdate")
+    rows = table(spark, sf_dir, "orders").where("o_orderstatus = 'P' and o_orderpriority like '1%'")
+    return rows.select((F.col("o_custkey") % 5).alias("chrom"), start.alias("start"), (start + 1 + F.col("o_custkey") % 11).alias("end"))
+
+
 def steps(intervals: DataFrame) -> DataFrame:
     """A step function: at each start, how many intervals start there; it holds until the next."""
     return intervals.groupBy("chrom", "start").agg(F.count("*").cast("double").alias("value"))
@@ -66,7 +73,8 @@ SITES = f"""sites as (select l_suppkey % 5 as chrom, date_diff('day', date '{ORI
 SEGMENTS = f"""{SITES}, segs as (select chrom, pos, cast(sum(alt * (n - alt)) as bigint) as het, cast(sum(n * (n - 1) // 2) - sum(alt * (n - alt)) as bigint) as hom, count(*) as sites,
   cast(sum(case when alt > 0 and alt < n then 1 else 0 end) as bigint) as poly, avg(b1) as b1, avg(b2) as b2, avg(nu) as nu from sites group by chrom, pos)"""
 INTERVALS = f"""iv_a as (select o_custkey % 5 as chrom, date_diff('day', date '{ORIGIN}', cast(o_orderdate as date)) as "start", date_diff('day', date '{ORIGIN}', cast(o_orderdate as date)) + 1 + o_orderkey % 7 as "end" from orders),
-iv_b as (select o_custkey % 5 as chrom, date_diff('day', date '{ORIGIN}', cast(o_orderdate as date)) as "start", date_diff('day', date '{ORIGIN}', cast(o_orderdate as date)) + 1 + o_custkey % 11 as "end" from orders where o_orderstatus = 'F')"""
+iv_b as (select o_custkey % 5 as chrom, date_diff('day', date '{ORIGIN}', cast(o_orderdate as date)) as "start", date_diff('day', date '{ORIGIN}', cast(o_orderdate as date)) + 1 + o_custkey % 11 as "end" from orders where o_orderstatus = 'F'),
+iv_p as (select o_custkey % 5 as chrom, date_diff('day', date '{ORIGIN}', cast(o_orderdate as date)) as "start", date_diff('day', date '{ORIGIN}', cast(o_orderdate as date)) + 1 + o_custkey % 11 as "end" from orders where o_orderstatus = 'P' and o_orderpriority like '1%')"""
 STEPS = f"""{INTERVALS}, map_a as (select chrom, "start", cast(count(*) as double) as value from iv_a group by chrom, "start"), map_b as (select chrom, "start", cast(count(*) as double) as value from iv_b group by chrom, "start")"""
 KNOTS = f"""{SITES}, knots as (select chrom, pos, gpos from (select chrom, pos, cast(sum(count(*)) over (partition by chrom order by pos) as double) as gpos from sites group by chrom, pos) where pos % 10 = 0)"""
 POINTS = """points as (select user_id as chrom, cast(floor(epoch(ts)) as bigint) - 1704067200 as pos, event_type, value, event_id from events)"""

@@ -141,7 +141,7 @@ def test_scans_carry_across_buckets(spark):
     assert [r.s for r in total] == list(np.cumsum([1 if p % 3 else 0 for p in range(40)]))
     after = scan.neighbour(rows, ["chrom"], "pos", "pos", "n", 7, after=True).orderBy("pos").collect()
     assert [r.n for r in after] == [*range(1, 40), None]
-    ordered = scan.ordered_prefix_sum(rows.withColumn("x", F.col("pos") * 7 % 40), "x", ["pos"], {"s": "pos"}, 5).orderBy("x").collect()
+    ordered = scan.ordered_prefix_sum(rows.withColumn("x", F.col("pos") * 7 % 40), "x", ["pos"], {"s": "pos"}).orderBy("x").collect()
     assert [r.s for r in ordered] == list(np.cumsum([r.pos for r in ordered]))
 
 
@@ -227,3 +227,41 @@ def test_filled_windows_and_signed_rank(spark):
     pairs = frame(spark, [(1, 5, 1), (2, 1, 2), (3, 4, 4), (4, 0, 3)], "k long, a long, b long")
     r = stats.signed_rank(pairs, "a", "b", ["k"]).first()
     assert (r.w, r.n) == (-1 - 2 + 3, 3)
+
+
+def scans(df):
+    """How often the executed plan reads a table, and how long planning took."""
+    import time
+
+    start = time.perf_counter()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum("Scan" in line for line in plan.splitlines()), time.perf_counter() - start
+
+
+def test_sets_read_each_input_once_and_overlays_plan_linearly(spark, tmp_path):
+    path = str(tmp_path / "iv")
+    spans(spark, [(k, k + 5) for k in range(0, 300, 7)]).write.parquet(path)
+    read = lambda: spark.read.parquet(path)
+    assert scans(iv.subtract(read(), read(), width=64))[0] == 2
+    step = lambda k: read().select("chrom", "start", (F.col("end") * float(k)).alias("value"))
+    few, many = (scans(iv.overlay({f"m{k}": step(k) for k in range(n)}, width=64)) for n in (6, 12))
+    assert many[0] <= 2 * few[0] and many[1] < 2
+    assert scans(lookup.nearest(read().withColumnRenamed("start", "pos"), read().withColumnRenamed("start", "pos")))[0] <= 6
+
+
+def test_hot_values_are_cut_by_ties(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(7).cast("long").alias("x"), F.col("id").alias("t"))
+    parts = scan.range_parts(rows, "x", ["t"])
+    assert parts.groupBy("__part").count().agg(F.max("count")).first()[0] < 2_000
+    got = scan.ordered_prefix_sum(rows.withColumn("one", F.lit(1)), "x", ["t"], {"k": "one"}).orderBy("x", "t").collect()
+    assert [r.k for r in got] == list(range(1, 20_001))
+
+
+def test_rle_joins_across_buckets_and_not_across_gaps_of_runs(spark):
+    rng = random.Random(8)
+    values = [float(rng.randint(0, 1)) for _ in range(60)]
+    rows = frame(spark, [("c", k, k + 1, x) for k, x in enumerate(values)], "chrom string, start long, end long, value double")
+    want = [k for k in range(60) if not k or values[k] != values[k - 1]]
+    for width in (1, 2, 3, 7, 100):
+        got = sorted((r.start, r.end, r.value) for r in iv.rle(rows, width=width).collect())
+        assert got == [(a, b, values[a]) for a, b in zip(want, [*want[1:], 60])]
