@@ -9,6 +9,7 @@ from segspark.functions import genetics as g
 from segspark.operators import derived as d
 from segspark.operators import lookup
 from segspark.plans import views as v
+from segspark.plans.windows import _FILLED, folded
 
 EPOCHS, SIZES = [0.0, 500.0, 2000.0], [10000.0, 3000.0, 15000.0]
 
@@ -89,3 +90,7 @@ ORACLE_SQL = {
     "longer_intervals": f"with {v.INTERVALS}, c as (select quantile_cont(\"end\" - \"start\", 0.3) as c from iv_b) select chrom, count(*) as n, cast(sum(\"end\" - \"start\") as bigint) as bases from iv_b, c where \"end\" - \"start\" >= c group by chrom",
     "points_in_intervals_by_label": f"with {v.SITES}, {v.INTERVALS}, d as (select chrom, pos, kind, count(*) as k from sites group by 1, 2, 3), m as (select *, exists (select 1 from iv_p i where i.chrom = d.chrom and i.\"start\" <= d.pos and i.\"end\" > d.pos) as inside from d) select kind, inside, cast(sum(k) as bigint) as n from m group by 1, 2",
 }
+ORACLE_SQL["rebinned_windows"] = f"with recursive {v.SITES}, u as (select *, row_number() over (partition by chrom order by bin) as k from (select chrom, (pos - 1) // 10 as bin, count(*) as n from sites group by 1, 2)), {_FILLED.format(m=100)} select chrom, min(bin) as first, max(bin) as last, cast(sum(n) as bigint) as n from f group by chrom, g"
+_KEEPS = "r.alt <> s.held and (s.held = 0 or abs(r.alt - s.held) > 0.5::double * abs(s.held))"
+_KEPT = folded("u", {"held": ("r.alt", f"case when {_KEEPS} then r.alt else s.held end"), "pos": ("r.pos", "r.pos"), "alt": ("r.alt", "r.alt"), "kept": ("true", _KEEPS)})
+ORACLE_SQL["changed_rates_from_kept"] = f"with recursive {v.SITES}, u as (select *, row_number() over (partition by chrom order by pos) as k from (select chrom, pos, cast(sum(alt) as bigint) as alt from sites group by 1, 2)), {_KEPT} select chrom, pos, alt from f where kept"

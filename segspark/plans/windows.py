@@ -224,3 +224,22 @@ ORACLE_SQL = {
     "permutation_pvalue": f"with {_BLOCKS}, b as (select idx, sites - sites // 2 - sites // 2 as d from blocks), r as (select unnest(generate_series(0, 498)) as rep), s as (select rep, sum(case when {draw_sql('rep', 'idx', 2)} = 0 then d else -d end) as s from b, r group by rep), o as (select sum(d) as observed from b) select cast(observed as bigint) as observed, cast(sum(case when abs(s) >= abs(observed) then 1 else 0 end) as bigint) as exceed, round(cast(sum(case when abs(s) >= abs(observed) then 1 else 0 end) + 1 as double) / 500, 6) as p from s, o group by observed",
     "sim_deterministic": f"with {_PRED} select chrom, pos, cast(floor(round(pred, 9) * (het + hom) + cast(0.5 as double)) as bigint) as sim_het, het + hom - cast(floor(round(pred, 9) * (het + hom) + cast(0.5 as double)) as bigint) as sim_hom from pred",
 }
+
+
+def folded(rows: str, state: dict[str, tuple[str, str]]) -> str:
+    """A recursive pass over ``rows`` (with chrom and k from 1): columns of the state with their first and next expression; s is the
+    state before, r the row."""
+    first, then = (", ".join(f"{e[j]} as {n}" for n, e in state.items()) for j in (0, 1))
+    return f"f as (select r.chrom, r.k, {first} from {rows} r where r.k = 1 union all select r.chrom, r.k, {then} from f s join {rows} r on r.chrom = s.chrom and r.k = s.k + 1)"
+
+
+_SPANS = f'{v.INTERVALS}, u as (select *, row_number() over (partition by chrom order by "start", "end") as k from (select chrom, "start", "end", count(*) as n from iv_b group by 1, 2, 3))'
+_FREE = 'r."start" >= s.e'
+_GENES = folded("u", {"g": ("cast(0 as bigint)", f"s.g + case when {_FREE} then 1 else 0 end")} | {c: (f"r.{x}", f"case when {_FREE} or r.n > s.size then r.{x} else s.{c} end") for c, x in (("b", '"start"'), ("e", '"end"'), ("size", "n"))})
+_APART = 'r."start" > s.e'
+_MEAN = 'cast(floor(0.5::double + cast(s.v * (s.e - s.b) + r.n * (r."end" - r."start") as double) / cast(s.e - s.b + r."end" - r."start" as double)) as bigint)'
+_JOINED = folded("u", {"g": ("cast(0 as bigint)", f"s.g + case when {_APART} then 1 else 0 end"), "b": ('r."start"', f'case when {_APART} then r."start" else s.b end'), "e": ('r."end"', f'case when {_APART} then r."end" else greatest(s.e, r."end") end'), "v": ("r.n", f"case when {_APART} then r.n else {_MEAN} end")})
+_FILLED = folded("u", {"g": ("cast(0 as bigint)", "s.g + case when s.held >= {m} then 1 else 0 end"), "held": ("r.n", "case when s.held >= {m} then r.n else s.held + r.n end"), "bin": ("r.bin", "r.bin"), "n": ("r.n", "r.n")})
+ORACLE_SQL["nonredundant_greedy"] = f"with recursive {_SPANS}, {_GENES} select chrom, b as \"start\", e as \"end\", size, concat(b, '-', e) as name from (select chrom, g, arg_max(b, k) as b, arg_max(e, k) as e, arg_max(size, k) as size from f group by chrom, g)"
+ORACLE_SQL["merged_weighted"] = f'with recursive {_SPANS}, {_JOINED} select chrom, arg_max(b, k) as "start", arg_max(e, k) as "end", arg_max(v, k) as value from f group by chrom, g'
+ORACLE_SQL["combine_sparse_bins"] = f"with recursive {_BLOCKS}, u as (select chrom, win as bin, sites as n, row_number() over (partition by chrom order by win) as k from blocks), {_FILLED.format(m=60)}, t as (select chrom, g, sum(n) as t, max(g) over (partition by chrom) as last from f group by chrom, g), h as (select f.chrom, f.bin, f.n, case when t.g = last and t.g > 0 and t.t < 60 then t.g - 1 else t.g end as g from f join t on f.chrom = t.chrom and f.g = t.g) select chrom, min(bin) as first, max(bin) as last, cast(sum(n) as bigint) as n from h group by chrom, g"
