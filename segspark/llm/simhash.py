@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -87,11 +88,26 @@ def _syndrome(value: Column, bits: int) -> Column:
     return out
 
 
+def _work(n: int, threshold: int, blocks: int) -> float:
+    """Rows made for, and fingerprints compared with, each of ``n`` fingerprints, by expectation."""
+    total, cut = 0.0, [64 * k // blocks for k in range(blocks + 1)]
+    for bits in (high - low for low, high in zip(cut, cut[1:])):
+        syndromes = 2 ** ((bits + 1).bit_length() - 1)
+        near = sum(comb(bits, k) for k in range(2 + threshold // blocks)) / syndromes
+        total += near + n * near * syndromes / 2**bits
+    return total
+
+
+def blocks_for(n: int, threshold: int = 4) -> int:
+    """2 or 3 blocks, whichever is less work for ``n`` distinct fingerprints. Both find the same links."""
+    return min((3, 2), key=lambda blocks: _work(n, threshold, blocks))
+
+
 def links(fps: DataFrame, threshold: int = 4, blocks: int = 3) -> DataFrame:
     """Return (a, b): distinct fingerprints a < b that differ in at most ``threshold`` bits, each pair once.
 
     ``fps`` has one column of distinct, non-null longs. With n of them, 3 blocks make about 46 rows for each and compare it
-    with about n / 3,000 others; 2 blocks make about 344 and compare it with n / 380,000, which pays beyond some million.
+    with about n / 3,000 others; 2 blocks make about 344 and compare it with n / 380,000. ``blocks_for`` chooses.
     """
     cut = [64 * k // blocks for k in range(blocks + 1)]
     per_block = threshold // blocks
@@ -118,21 +134,22 @@ def links(fps: DataFrame, threshold: int = 4, blocks: int = 3) -> DataFrame:
     return met.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def _grouped(docs: DataFrame, shingle: int, threshold: int, blocks: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, shingle: int, threshold: int, blocks: int | None, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(id, tag, fp) of all rows, and (fp, component, least id) of all fingerprints; components are named by fingerprints."""
     found = saved(fingerprints(docs, shingle, id_col, text_col).withColumnRenamed(id_col, "id"))
     distinct = saved(found.groupBy("fp").agg(F.min("id").alias("least")))
-    joined = components(links(distinct.select("fp"), threshold, blocks))
+    joined = components(links(distinct.select("fp"), threshold, blocks or blocks_for(distinct.count(), threshold)))
     return found, distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 4, blocks: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 4, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return (``id_col``, fp long, component_id), a row for each row of ``docs``, in no order.
 
     component_id is the least id in the component; rows whose id is null take part and get the least id that isn't null
     (null if there is none). Texts without words link with each other, and with fingerprints of few bits, like any other.
     Repeated rows and ids each keep their row; other columns, whatever their names, are left out. An empty table gives no rows.
-    Copies meet in a grouping by fingerprint before any pair is looked for.
+    Copies meet in a grouping by fingerprint before any pair is looked for; without ``blocks``, the number of distinct
+    fingerprints decides how many there are, which changes the work but no result.
     """
     found, named = _grouped(docs, shingle, threshold, blocks, id_col, text_col)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -140,7 +157,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, threshold: int = 4, block
     return found.join(of_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 4, threshold: int = 4, blocks: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 4, threshold: int = 4, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs``, with all its columns, for each component: that with the least id (a null id only if there is no
     other), then the least hash of its text; of rows with this id and text any one."""
     found, named = _grouped(docs, shingle, threshold, blocks, id_col, text_col)

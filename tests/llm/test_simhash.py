@@ -6,7 +6,7 @@ import xxhash
 
 from segspark.llm import queries
 from segspark.llm.common import components
-from segspark.llm.simhash import fingerprint, links, near_duplicates, one_of_each
+from segspark.llm.simhash import blocks_for, fingerprint, links, near_duplicates, one_of_each
 
 DATA = "/root/testdata/sf0.001"
 
@@ -54,6 +54,13 @@ def test_links_equal_brute_force(spark, blocks):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_blocks_follow_the_number_of_fingerprints(spark):
+    assert [blocks_for(n) for n in (0, 1000, 500_000, 2_000_000, 10**11)] == [3, 3, 3, 2, 2]
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i // 3 * 7 + j) % 50}" for j in range(40)) + f" end{i % 3}") for i in range(60)], "doc_id long, text string")
+    got = [sorted(map(tuple, near_duplicates(docs, blocks=b).collect())) for b in (None, 2, 3)]
+    assert got[0] == got[1] == got[2] and len({c for _, _, c in got[0]}) < 60
+
+
 def test_components_on_a_long_chain_and_a_hub(spark):
     rng = random.Random(1)
     linked = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000 + rng.randrange(90), 5000 + rng.randrange(90)) for _ in range(60)] + [(7, 7)]
