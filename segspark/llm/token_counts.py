@@ -97,7 +97,9 @@ def frequent_pieces(docs: DataFrame, pattern: str, text_col: str = "text", sampl
         kept = [w for w, n in sorted(seen.items(), key=lambda i: (-i[1], i[0])) if n >= least and len(w) <= 32][:entries]
         yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string())], ["piece"])
 
-    found = map_texts(docs.select(text_col).limit(sample).coalesce(1), run, "piece string")
+    # Sampled by rate first: a limit alone would send up to ``sample`` texts of every partition to the one task.
+    rate = min(1.0, 1.2 * sample / max(1, docs.count()))
+    found = map_texts(docs.select(text_col).sample(fraction=rate, seed=7).limit(sample).coalesce(1), run, "piece string")
     return [r.piece for r in found.collect()]  # at most `entries` short strings
 
 
