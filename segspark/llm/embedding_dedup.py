@@ -2,10 +2,13 @@
 
 For each of ``codes`` codes, vectors are turned by a fixed random rotation and cut into ``blocks``; each block has ``words`` random
 directions, and every choice of one direction a block makes a filter, so there are words ** blocks filters a code that are never
-written out. A vector
-passes the filters whose inner product with it reaches a cap, about ``passed`` a code; list decoding finds them from the blocks' inner products,
-sorted by halves. Near vectors pass common filters. Rows are joined on filters, and the vectors of a filter are verified
-against each other with exact cosines in double precision.
+written out. A vector passes the filters whose inner product with it reaches a cap; list decoding finds them from the blocks'
+inner products, sorted by halves. Near vectors pass common filters. Rows are joined on filters, and the vectors of a filter are
+verified against each other with exact cosines in double precision.
+
+The number of directions follows the number of vectors, so that a filter's expected rows are the same at every size; the cap follows from
+the wanted recall at the threshold, by simulated pairs. A vector then passes some 20 filters at a thousand vectors, 30 at 10^5, 50
+at 10^7 (64 dimensions, cosine 0.9): work grows little faster than the rows.
 
 A filter's vectors are compared in blocks of ``chunk`` rows. A filter with more rows than two blocks is passed on as numbered
 blocks, and pairs of blocks are dealt out anew, so no task gathers a hot filter. What tasks return is a count and a local
@@ -15,6 +18,7 @@ vector with a weight.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,37 +31,61 @@ from segspark.llm.common import saved, components, slices
 
 
 @lru_cache(maxsize=8)
-def code(dims: int, blocks: int, words: int, passed: float, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """The rotation, the directions of each block (unit vectors over sqrt(blocks)), and the cap: the inner product that of all
-    filters ``passed`` reach for a random vector, on average. Fewer than 64 dimensions have fewer words, 4 a dimension."""
-    rng = np.random.default_rng([seed, dims])
-    words = max(8, min(words, 4 * dims))
-    rotation = np.linalg.qr(rng.standard_normal((dims, dims)))[0]
-    directions = rng.standard_normal((blocks, words, -(-dims // blocks)))
-    directions = directions / np.linalg.norm(directions, axis=2, keepdims=True) / np.sqrt(blocks)
-    probes = rng.standard_normal((64, dims))
-    turned = np.zeros((64, blocks * directions.shape[2]))
-    turned[:, :dims] = probes / np.linalg.norm(probes, axis=1, keepdims=True)
-    products = np.einsum("nbd,bwd->nbw", turned.reshape(64, blocks, -1), directions)
-    reached = np.concatenate([_sums(p) for p in products])
-    return rotation, directions, float(np.quantile(reached, 1 - min(0.5, passed / words**blocks)))
-
-
-def decode(units: np.ndarray, codes: int, blocks: int, words: int, passed: float, seed: int) -> list[np.ndarray]:
-    """For each unit vector the filters, ascending, whose inner product with it reaches the code's cap; of a code without any, the
-    best filter instead."""
-    lists = [_decode(units, blocks, words, passed, seed + c) for c in range(codes)]
-    return [np.concatenate([own + c * words**blocks for c, own in enumerate(found)]).astype(np.int32) for found in zip(*lists)]
-
-
-def _decode(units: np.ndarray, blocks: int, words: int, passed: float, seed: int) -> list[np.ndarray]:
-    dims = units.shape[1]
-    rotation, directions, cap = code(dims, blocks, words, passed, seed)
-    turned = np.zeros((len(units), blocks * directions.shape[2]))
-    turned[:, :dims] = units @ rotation
-    products = np.einsum("nbd,bwd->nbw", turned.reshape(len(units), blocks, -1), directions, optimize=True)
-    half, out = blocks // 2, []
-    for p in products:
+def _code(dims: int, codes: int, blocks: int, words: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each code its rotation and the directions of each block (unit vectors over sqrt(blocks))."""
+    out = []
+    for c in range(codes):
+        rng = np.random.default_rng([seed + c, dims])
+        rotation = np.linalg.qr(rng.standard_normal((dims, dims)))[0]
+        directions = rng.standard_normal((blocks, words, -(-dims // blocks)))
+        out.append((rotation, directions / np.linalg.norm(directions, axis=2, keepdims=True) / np.sqrt(blocks)))
+    return out
+
+
+def words_for(n: int, dims: int, blocks: int = 2) -> int:
+    """Directions of a block for ``n`` vectors: the filters of a code number about n / 4 to n, so a filter's expected rows don't grow
+    with n. A power of two. Under 64 dimensions at most 4 a dimension, as more directions only repeat each other there."""
+    words = 1 << max(4, math.ceil(math.log2(max(1, n) / 4) / blocks))
+    return words if dims >= 64 else max(8, min(words, 4 * dims))
+
+
+def cap_for(dims: int, codes: int, blocks: int, words: int, least: float, recall: float, seed: int, pairs: int = 512, best: int = 128) -> float:
+    """The inner product that a filter asks for, such that a share ``recall`` of random pairs with a cosine of exactly ``least`` pass
+    a common filter. Of each pair only the ``best`` directions of either half are tried, which can only raise the recall."""
+    rng = np.random.default_rng([seed, dims, words])
+    x, z = rng.standard_normal((2, pairs, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300)
+    ends = np.concatenate([x, least * x + np.sqrt(1 - least**2) * z])
+    shared, half = np.full(pairs, -2.0), blocks // 2
+    for code in _code(dims, codes, blocks, words, seed):
+        products = _products(ends, *code)
+        for i in range(pairs):
+            a, b = ([_sums(products[j][:half]), _sums(products[j][half:])] for j in (i, i + pairs))
+            top = [np.argsort(-(u + v))[:best] for u, v in zip(a, b)]
+            reached = [side[0][top[0]][:, None] + side[1][top[1]] for side in (a, b)]
+            shared[i] = max(shared[i], np.minimum(*reached).max())
+    return float(np.quantile(shared, 1 - recall))
+
+
+def _products(units: np.ndarray, rotation: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    blocks, _, length = directions.shape
+    turned = np.zeros((len(units), blocks * length))
+    turned[:, : units.shape[1]] = units @ rotation
+    return np.einsum("nbd,bwd->nbw", turned.reshape(len(units), blocks, length), directions, optimize=True)
+
+
+def decode(units: np.ndarray, codes: int, blocks: int, words: int, cap: float, seed: int) -> list[np.ndarray]:
+    """For each unit vector the filters, ascending, whose inner product with it reaches the cap; of a code without any, the best
+    filter instead."""
+    found = [_decode(units, code, cap) for code in _code(units.shape[1], codes, blocks, words, seed)]
+    return [np.concatenate([own + c * words**blocks for c, own in enumerate(lists)]) for lists in zip(*found)]
+
+
+def _decode(units: np.ndarray, code: tuple[np.ndarray, np.ndarray], cap: float) -> list[np.ndarray]:
+    half, out = len(code[1]) // 2, []
+    for p in _products(units, *code):
         left, right = _sums(p[:half]), _sums(p[half:])
         order = np.argsort(-right)
         reach = np.searchsorted(-right[order], left - cap, side="right")  # how many on the right suffice for each on the left
@@ -96,14 +124,16 @@ def _compare(a: list[tuple], b: list[tuple] | None, dims: int, filter_: int, lea
         np.fill_diagonal(near, False)
     if not near.any():
         return
-    # Pairs that share a lesser filter are counted there.
-    own = [np.frombuffer(r[3], np.int32) for r in rows]
-    lesser = [f[: np.searchsorted(f, filter_)] for f in own]
-    values, place = np.unique(np.concatenate(lesser), return_inverse=True)
-    counted = near
-    if len(values):
-        has = np.zeros((len(rows), len(values)), np.float32)
-        has[np.repeat(np.arange(len(rows)), [len(f) for f in lesser]), place] = 1
+    linked = near.any(axis=1) if b is None else np.concatenate([near.any(axis=1), near.any(axis=0)])
+    # Pairs that share a lesser filter are counted there. Only filters that two linked rows pass can say so.
+    at = np.flatnonzero(linked)
+    lesser = [f[: np.searchsorted(f, filter_)] for f in (np.frombuffer(rows[k][3], np.int64) for k in at)]
+    values, place, many = np.unique(np.concatenate(lesser), return_inverse=True, return_counts=True)
+    counted, common = near, np.cumsum(many > 1) - 1
+    if (many > 1).any():
+        has = np.zeros((len(rows), common[-1] + 1), np.float32)
+        shared = many[place] > 1
+        has[np.repeat(at, [len(f) for f in lesser])[shared], common[place[shared]]] = 1
         counted = near & ~((has[:n] @ (has if b is None else has[n:]).T) > 0.5)
     weights = np.array([r[1] for r in rows], np.int64)
     other = weights if b is None else weights[n:]
@@ -112,8 +142,7 @@ def _compare(a: list[tuple], b: list[tuple] | None, dims: int, filter_: int, lea
     ids = [r[0] for r in rows]
     if b is not None:
         links = np.concatenate([links, counted.T.astype(np.int64) @ weights[:n]])
-    linked = near.any(axis=1) if b is None else np.concatenate([near.any(axis=1), near.any(axis=0)])
-    for k in np.flatnonzero(linked):
+    for k in at:
         yield ids[k], int(links[k]), ids[root[k]]
 
 
@@ -150,27 +179,33 @@ def _results(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[k] if k < 3 else [None] * len(found), kind) for k, kind in enumerate(kinds)], _NAMES)
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, codes: int = 3, blocks: int = 2, words: int = 256, passed: float = 14, seed: int = 20, chunk: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.9, recall: float = 0.98, codes: int = 3, blocks: int = 2, words: int | None = None, seed: int = 20, chunk: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Return (``id_col``, n_links, component_id, kept), a row for each row of ``vectors``, in no order.
 
     n_links: the other vectors linked directly, equal ones included; component_id: the least id that can be reached; kept:
     whether that is the own id. Vectors that are null, empty, zero or hold null or non-finite components link with nothing;
     vectors of different lengths never link. Rows with a null id link with nothing and have a null component and kept.
-    Repeated ids are rows of their own that share links. Every vector is indexed; the code is random, so of pairs with a
-    cosine of exactly 0.9 about 2 % aren't found, of higher ones fewer (tests measure recall against brute force).
+    Repeated ids are rows of their own that share links. Every vector is indexed; the code is random: of pairs with a cosine of
+    exactly ``least`` a share ``recall`` is found, of higher ones more (tests measure it against brute force). ``words``: directions
+    a block; by default they follow the number of vectors, so that a filter's expected rows stay the same.
     """
     single = vectors.schema[vector_col].dataType.elementType.simpleString() == "float"
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("vector"))
     usable = F.col("id").isNotNull() & F.coalesce((F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0), F.lit(False))
     distinct = saved(rows.where(usable).groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("weight")))
+    made = {}
+    for r in distinct.groupBy(F.size("vector").alias("dims")).count().collect():  # one row a vector length
+        own = words or words_for(r["count"], r.dims, blocks)
+        made[r.dims] = own, cap_for(r.dims, codes, blocks, own, least, recall, seed)
+    most = max((w for w, _ in made.values()), default=1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256):
+        for batch in slices(batches, max(8, min(256, (1 << 20) // most))):
             raw, lengths = batch.column(0), batch.column(0).value_lengths().to_numpy()
             for dims in np.unique(lengths):
                 at = np.flatnonzero(lengths == dims)
                 own = raw.take(pa.array(at)).flatten().to_numpy().reshape(len(at), dims)
-                found = decode(_units(own.astype(np.float64)), codes, blocks, words, passed, seed)
+                found = decode(_units(own.astype(np.float64)), codes, blocks, *made[int(dims)], seed)
                 many = [len(f) for f in found]
                 k = np.repeat(np.arange(len(at)), many)
                 packed, lists = [u.tobytes() for u in own], [f.tobytes() for f in found]

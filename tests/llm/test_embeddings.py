@@ -3,7 +3,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from segspark.llm import queries
-from segspark.llm.embedding_dedup import decode, near_duplicates
+from segspark.llm.embedding_dedup import cap_for, decode, near_duplicates, words_for
 
 
 def brute(ids, vectors, least=0.9):
@@ -30,15 +30,18 @@ def planted(rng, n=150, dims=64):
     return np.concatenate([base, near, hot, base[:40], base[:1].repeat(90, axis=0)])
 
 
+@pytest.mark.parametrize("rows", [100, 50_000, 1_000_000])
 @pytest.mark.parametrize("dims", [2, 3, 8, 20, 64, 100])
-def test_recall_at_the_threshold(dims):
+def test_recall_at_the_threshold(dims, rows):
+    words = words_for(rows, dims)
+    cap = cap_for(dims, 3, 2, words, 0.9, 0.98, 20)
     rng = np.random.default_rng(8)
     x = rng.standard_normal((600, dims))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z = rng.standard_normal((600, dims))
     z -= (z * x).sum(1, keepdims=True) * x
     z /= np.linalg.norm(z, axis=1, keepdims=True)
-    lists = [decode(v, 3, 2, 256, 14, 20) for v in (x, 0.9 * x + np.sqrt(1 - 0.81) * z)]
+    lists = [decode(v, 3, 2, words, cap, 20) for v in (x, 0.9 * x + np.sqrt(1 - 0.81) * z)]
     assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(*lists)]) > 0.95
 
 
@@ -75,3 +78,13 @@ def test_query_against_brute_force(spark):
     assert len(got) == len(ids) and all(got[i].n_links <= n for i, n in zip(ids, many))
     assert sum(r.n_links for r in got.values()) >= 0.98 * many.sum()
     assert np.mean([got[i].component_id == c for i, c in zip(ids, comp)]) > 0.98
+
+
+def test_filters_hold_as_many_rows_at_every_size():
+    rng, held = np.random.default_rng(4), []
+    for rows in (4_000, 64_000, 1_000_000):
+        words = words_for(rows, 64)
+        x = rng.standard_normal((200, 64))
+        lists = decode(x / np.linalg.norm(x, axis=1, keepdims=True), 3, 2, words, cap_for(64, 3, 2, words, 0.9, 0.98, 20), 20)
+        held.append(np.mean([len(f) for f in lists]) * rows / (3 * words**2))
+    assert max(held) < 100 and held[-1] < 3 * held[0]
