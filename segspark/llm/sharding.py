@@ -13,12 +13,13 @@ goes through a group of equal texts only where leaving the group whole would mis
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segspark.llm.common import saved
 
-_STEP, _SCALE, _HASH = 12, 20, 43  # bits a histogram resolves in a pass; bits of a dimension and of the hash in a key
+_STEP, _SCALE, _HASH = 16, 20, 43  # bits a histogram resolves in a pass; bits of a dimension and of the hash in a key
 
 
 def text_dimensions(text_col: str = "text") -> dict[str, Column]:
@@ -31,9 +32,13 @@ def text_dimensions(text_col: str = "text") -> dict[str, Column]:
     }
 
 
-def _picked(values: dict[int, int], node: Column) -> Column:
-    """The value of the node that a row is in. One literal a node of the level."""
-    return F.element_at(F.create_map(*[F.lit(x) for k, v in values.items() for x in (k, v)]), node)
+_TYPES = {"node": pa.int32(), "dim": pa.int32(), "shift": pa.int32(), "right": pa.int32()}
+
+
+def _nodes(like: DataFrame, names: str, rows: list[tuple]) -> DataFrame:
+    """A table of one row a node, to be joined: under 100 bytes for each shard that is asked for."""
+    fields = {n: pa.array([r[k] for r in rows], _TYPES.get(n, pa.int64())) for k, n in enumerate(names.split())}
+    return F.broadcast(like.sparkSession.createDataFrame(pa.table(fields)))
 
 
 class _Cut:
@@ -70,31 +75,22 @@ class _Cut:
 def _cuts(rows: DataFrame, dims: list[str], leaves: dict[int, int], target: float, tolerance: float) -> dict[int, tuple[int, int, int]]:
     """node -> (dimension, key, salt) for all nodes in ``leaves`` that hold rows and have more than one leaf."""
     wide = {n: k for n, k in leaves.items() if k > 1}
-    inside = rows.where(F.col("node").isin(list(wide)))
+    inside = rows.join(_nodes(rows, "node", [(n,) for n in wide]), "node")
     about = inside.groupBy("node").agg(F.sum("size").alias("size"), *[f(d).alias(f"{s}{k}") for k, d in enumerate(dims) for s, f in (("lo", F.min), ("hi", F.max))]).collect()
     open_, done = {}, {}
     for r in about:  # one row a node
         k = max(range(len(dims)), key=lambda k: r[f"hi{k}"] - r[f"lo{k}"])
         part = wide[r.node]
         open_[r.node] = _Cut(k, r[f"lo{k}"] << _HASH, (r[f"hi{k}"] + 1 << _HASH) - 1, r.size * (part // 2) / part)
-    dim_of = {n: c.dim for n, c in open_.items()}
     while open_:
-        node = F.col("node")
-        key = F.shiftleft(F.element_at(F.array(*dims), _picked(dim_of, node) + 1), _HASH).bitwiseOR(F.col("tie"))
-        salted = {n: c.key for n, c in open_.items() if c.key is not None}
-        at = key
-        inner = F.lit(True)
-        if salted:
-            at = F.when(node.isin(list(salted)), F.col("salt")).otherwise(key)
-            inner = ~node.isin(list(salted)) | (key == _picked(salted, node))
-        offset = at - _picked({n: c.lo for n, c in open_.items()}, node)
-        place = F.call_function("shiftright", offset, _picked({n: c.shift for n, c in open_.items()}, node))
-        bins = rows.where(node.isin(list(open_)) & inner).select("node", place.cast("long").alias("bin"), "size").where((F.col("bin") >= 0) & (F.col("bin") < 1 << _STEP))
-        bins = bins.groupBy("node", "bin").agg(F.sum("size").alias("weight"))
-        order = Window.partitionBy("node").orderBy("bin")  # at most 4,096 bins a node
+        state = [(n, c.dim, c.lo, c.shift, int(c.want - c.before), c.key) for n, c in open_.items()]
+        found = rows.join(_nodes(rows, "node dim lo shift wanted within", state), "node").withColumn("key", _key(dims))
+        offset = F.when(F.col("within").isNull(), F.col("key")).otherwise(F.col("salt")) - F.col("lo")
+        bins = found.where("within is null or key = within").select("node", "wanted", "size", F.call_function("shiftright", offset, F.col("shift")).cast("long").alias("bin"))
+        bins = bins.where((F.col("bin") >= 0) & (F.col("bin") < 1 << _STEP)).groupBy("node", "wanted", "bin").agg(F.sum("size").alias("weight"))
+        order = Window.partitionBy("node").orderBy("bin")  # at most 65,536 bins a node
         bins = bins.withColumn("under", F.sum("weight").over(order) - F.col("weight"))
-        wants = _picked({n: int(c.want - c.before) for n, c in open_.items()}, node)
-        best = bins.where(F.col("under") <= wants).groupBy("node").agg(F.max_by(F.struct("bin", "weight", "under"), "bin").alias("b")).select("node", "b.*").collect()
+        best = bins.where("under <= wanted").groupBy("node").agg(F.max_by(F.struct("bin", "weight", "under"), "bin").alias("b")).select("node", "b.*").collect()
         for r in best:
             if open_[r.node].narrow(r, tolerance * target):
                 c = open_.pop(r.node)
@@ -102,6 +98,11 @@ def _cuts(rows: DataFrame, dims: list[str], leaves: dict[int, int], target: floa
     return done
 
 
+def _key(dims: list[str]) -> Column:
+    """A row's place along dimension ``dim`` of its node."""
+    return F.shiftleft(F.element_at(F.array(*dims), F.col("dim") + 1), _HASH).bitwiseOR(F.col("tie"))
+
+
 def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, dimensions: dict[str, Column] | None = None, tolerance: float = 0.002, overhead: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return (``id_col``, size, text_crc32, shard, slot), a row for each row of ``docs``, in no order.
 
@@ -138,13 +139,12 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     leaves = {0: shards}
     while any(k > 1 for k in leaves.values()) and whole.n:
         cuts = _cuts(rows, names, leaves, total / shards, tolerance)
-        node = F.col("node")
-        key = F.shiftleft(F.element_at(F.array(*names), _picked({n: c[0] for n, c in cuts.items()}, node) + 1), _HASH).bitwiseOR(F.col("tie"))
-        cut, salt = _picked({n: c[1] for n, c in cuts.items()}, node), _picked({n: c[2] for n, c in cuts.items()}, node)
-        left = (key < cut) | ((key == cut) & (F.col("salt") < salt))
         # A node's number is the number of its first shard.
-        halves = {n: n + k // 2 for n, k in leaves.items() if n in cuts}
-        rows = saved(rows.withColumn("node", F.when(node.isin(list(cuts)) & ~F.coalesce(left, F.lit(False)), _picked(halves, node)).otherwise(node)))
+        table = _nodes(rows, "node dim cut cut_salt right", [(n, *cut, n + leaves[n] // 2) for n, cut in cuts.items()])
+        key, node = _key(names), F.col("node")
+        left = (key < F.col("cut")) | ((key == F.col("cut")) & (F.col("salt") < F.col("cut_salt")))
+        node = F.when(F.col("right").isNotNull() & ~F.coalesce(left, F.lit(False)), F.col("right")).otherwise(node)
+        rows = saved(rows.join(table, "node", "left").select("id", "size", "crc", "tie", "salt", *names, node.alias("node")))
         leaves = {m: j for n, k in leaves.items() if n in cuts for m, j in ((n, k // 2), (n + k // 2, k - k // 2))} | {n: 1 for n, k in leaves.items() if n not in cuts}
     return _slots(rows.select("id", "size", "crc", "salt", F.col("node").alias("shard")), whole.n, shards).select(
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.col("shard").cast("int").alias("shard"), "slot"
