@@ -81,6 +81,76 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_round_trip, op2_token_counts, op3_toxicity, op4_simhash, op5_license_scan, op6_decontamination, op7_substring_dedup, op8_embedding_dedup, op9_secrets, op10_kd_shards)}
-
-ORACLE_SQL: dict[str, str] = {}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from segspark.llm.merkle import fold, folded, leaf, manifest, proof_digest, proofs
+
+    names = ["doc_id", "source", "lang", "n_chars", "text"]
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    tampered = F.when(chosen, leaf([*map(F.col, names[:-1]), folded(F.col("text"))]))
+    m = manifest(table(spark, sf_dir, "documents"), names, extra={"tampered": tampered})
+    rows = proofs(m).withColumn("folded_root", fold(F.coalesce("tampered", "digest"), F.col("path")))
+    root = F.lit(m.root).cast("string")
+    return rows.select(F.col("id").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", root.alias("root"), proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == root).alias("verified"))
+
+
+_FUNCTIONS = (
+    op1_bpe_round_trip, op2_token_counts, op3_toxicity, op4_simhash, op5_license_scan, op6_decontamination, op7_substring_dedup,
+    op8_embedding_dedup, op9_secrets, op10_kd_shards, op13_merkle_manifest,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _FUNCTIONS}
+
+#: CRC-32 over lists of bytes, by a table of its 256 steps.
+_CRC = """steps as (select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as t
+  from (select unnest(range(256)) as i))"""
+
+
+def _crc32(raw: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295, {raw}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _merkle_sql(levels: int = 6) -> str:
+    """The same trees level by level, each level grouped by its parents; good for 16 ** ``levels`` rows a source."""
+
+    def framed(value: str) -> str:
+        return f"case when {value} is null then '-' else concat(strlen(cast({value} as varchar)), ':', {value}) end"
+
+    def leaf(text: str) -> str:
+        return "sha256(concat(" + ", ".join(map(framed, ("doc_id", "source", "lang", "n_chars", text))) + "))"
+
+    def tree(name: str, start: str) -> str:
+        found = f"{name}0 as ({start})"
+        for k in range(levels):
+            below = f"{name}{k}"
+            found += f""", {below}s as (select *, count(*) over (partition by tree) as n, list(digest) over (partition by tree, idx // 16 order by idx rows between unbounded preceding and unbounded following) as run from {below}),
+            {name}{k + 1} as (select tree, idx // 16 as idx, case when any_value(n) > 1 then sha256(string_agg(digest, '' order by idx)) else any_value(digest) end as digest from {below}s group by tree, idx // 16)"""
+        return found
+
+    def climbed(name: str, rows: str, tree: str, idx: str, given: list[str]) -> str:
+        """``rows`` with a list of siblings appended to s and the digests in ``given`` folded, through all levels of a tree."""
+        found, before = "", rows
+        for k in range(levels):
+            at = f"({idx} // {16**k})"
+            ahead, behind = (f"coalesce(list_aggregate(list_slice(run, {a}, {b}), 'string_agg', ''), '')" for a, b in (("1", f"{at} % 16"), (f"{at} % 16 + 2", "16")))
+            news = ", ".join(f"case when n > 1 then sha256(concat({ahead}, d.{c}, {behind})) else d.{c} end as {c}" for c in given)
+            found += f", {name}{k} as (select d.* exclude (s, {', '.join(given)}), d.s || case when n > 1 then concat({ahead}, {behind}) else '' end as s, {news} from {before} d join {tree}{k}s x on x.tree is not distinct from d.{'source' if tree == 'a' else 'zero'} and x.idx = {at})"
+            before = f"{name}{k}"
+        return found
+
+    raw = "list_transform(range(1, length(cast(doc_id as varchar)) + 1), lambda i: cast(ord(cast(doc_id as varchar)[i]) as bigint))"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    chosen = f"doc_id is not null and {_crc32(raw)} % 5 = 0"
+    return (
+        f"with {_CRC}, leaves as (select doc_id, source, {leaf('text')} as leaf, case when {chosen} then {leaf(lower)} else {leaf('text')} end as changed from documents, steps), "
+        + "placed as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as idx from leaves), "
+        + tree("a", "select source as tree, idx, leaf as digest from placed")
+        + f", tops as (select tree as source, row_number() over (order by tree nulls first) - 1 as place, digest as subroot from a{levels}), "
+        + tree("b", "select 0 as tree, place as idx, subroot as digest from tops")
+        + ", begun as (select doc_id, source, leaf, idx, changed as folded_root, '' as s from placed)"
+        + climbed("c", "begun", "a", "d.idx", ["folded_root"])
+        + f", joined as (select c.*, t.place, t.subroot, 0 as zero from c{levels - 1} c join tops t on c.source is not distinct from t.source)"
+        + climbed("e", "joined", "b", "d.place", ["folded_root"])
+        + f" select doc_id, leaf, subroot, r.digest as root, sha256(s) as proof_sha256, folded_root, folded_root = r.digest as verified from e{levels - 1}, b{levels} r"
+    )
+
+
+ORACLE_SQL: dict[str, str] = {"op13_merkle_manifest": _merkle_sql()}
