@@ -81,6 +81,32 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def one_letter_less(doc_id):
+    """Where 31 divides the CRC-32 of ``<doc_id>:<word>``, the word without one letter; a null id is written as nothing."""
+    from zlib import crc32
+
+    start = crc32(f"{'' if doc_id is None else doc_id}:".encode())
+
+    def changed(word: str) -> str:
+        h = crc32(word.encode(), start)
+        return word if h % 31 else word[: h % len(word)] + word[h % len(word) + 1 :]
+
+    return changed
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from segspark.llm.spelling import variants, word_counts
+
+    return variants(word_counts(table(spark, sf_dir, "documents"), change=one_letter_less))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from segspark.llm.mixing import mix, taken
+
+    found = taken(mix(table(spark, sf_dir, "documents"), weights=[5, 2, 1]))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from segspark.llm.merkle import fold, folded, leaf, manifest, proof_digest, proofs
 
@@ -95,7 +121,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FUNCTIONS = (
     op1_bpe_round_trip, op2_token_counts, op3_toxicity, op4_simhash, op5_license_scan, op6_decontamination, op7_substring_dedup,
-    op8_embedding_dedup, op9_secrets, op10_kd_shards, op13_merkle_manifest,
+    op8_embedding_dedup, op9_secrets, op10_kd_shards, op11_spelling_variants, op12_mixing, op13_merkle_manifest,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _FUNCTIONS}
 
@@ -153,4 +179,26 @@ def _merkle_sql(levels: int = 6) -> str:
     )
 
 
-ORACLE_SQL: dict[str, str] = {"op13_merkle_manifest": _merkle_sql()}
+def _spelling_sql() -> str:
+    """Near words by what is left of both without one letter, or with one letter blotted out."""
+    bytes_ = "flatten(list_transform(range(1, length(s) + 1), lambda i: case when ord(s[i]) < 128 then [cast(ord(s[i]) as bigint)] else [cast(192 + (ord(s[i]) >> 6) as bigint), cast(128 + (ord(s[i]) & 63) as bigint)] end))"
+    best = "row_number() over (partition by p.a order by w.n desc, p.b) as k, count(*) over (partition by p.a) as near"
+    return (
+        f"with recursive {_CRC}, lowered as (select doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents), "
+        "runs as (select doc_id, w, count(*) as n from (select doc_id, unnest(regexp_extract_all(text, '[a-zÀ-ÿ]+')) as w from lowered) where length(w) >= 7 group by 1, 2), "
+        f"hashed as (select w, n, {_crc32(bytes_)} as h from (select *, concat(doc_id, ':', w) as s from runs), steps), "
+        "kept as (select case when h % 31 = 0 then concat(substr(w, 1, cast(h % length(w) as int)), substr(w, cast(h % length(w) as int) + 2)) else w end as word, n from hashed), "
+        "words as (select word, cast(sum(n) as bigint) as n from kept where length(word) >= 7 group by 1 having sum(n) >= 2), "
+        "cut as (select word, unnest(range(1, length(word) + 1)) as i from words), "
+        "less as (select distinct word, concat(substr(word, 1, cast(i as int) - 1), substr(word, cast(i as int) + 1)) as part from cut), "
+        "blot as (select word, concat(substr(word, 1, cast(i as int) - 1), '*', substr(word, cast(i as int) + 1)) as part from cut), "
+        "one as (select l.word as a, w.word as b from less l join words w on w.word = l.part), "
+        "pairs as (select a, b from one union select b, a from one union select x.word, y.word from blot x join blot y on x.part = y.part and x.word <> y.word), "
+        f"ranked as (select p.a, p.b, w.n as form_n, {best} from pairs p join words w on w.word = p.b), "
+        "found as (select w.word, case when r.form_n >= 10 * w.n then r.b end as form, w.n, coalesce(r.near, 0) as n_near, case when r.form_n >= 10 * w.n then r.form_n end as form_n from words w left join ranked r on r.a = w.word and r.k = 1), "
+        "walk as (select word, word as root, 0 as step from found union all select walk.word, f.form, step + 1 from walk join found f on f.word = walk.root where f.form is not null) "
+        "select f.word, form, root, n, n_near, form_n from found f join (select word, arg_max(root, step) as root from walk group by word) r on r.word = f.word"
+    )
+
+
+ORACLE_SQL: dict[str, str] = {"op11_spelling_variants": _spelling_sql(), "op13_merkle_manifest": _merkle_sql()}
