@@ -6,9 +6,12 @@ two words r and s the prefix of r ends no later in the order than that of s, the
 prefix of s: so every near pair meets when all pivots are looked up among all prefixes.
 
 Position limits. With one edit, either the word up to and with its first pivot is left as it is, or the word from its second pivot
-on. So the first pivot is looked up at equal places from the start, the second at equal places from the end, each with what lies
-beyond it and with the other word's length (one less, equal, one more): six keys a word, met by two for each bigram of a prefix. Keys are
-hashes; the join checks the words themselves by a banded edit distance, so hashes and the order of bigrams change the work only.
+on. So the first pivot is looked up at equal places from the start, and the second, all read backwards, at equal places from the
+end. Of the rest, which holds the edit, one half is left as well: the further half or, cut short by a letter, the nearer one. So a key
+has the other word's length (one less, equal, one more), all that comes before the pivot's end, and a half of the rest: twelve keys a
+word, met by four for each bigram of a prefix. Keys are hashes. The join then compares the parity of letter counts, which one edit
+changes in two places at most, and last the words themselves by a banded edit distance; so hashes, signatures and the order of
+bigrams change the work only.
 
 Equal bigrams. A prefix takes every bigram that isn't after its last one in the order. Of equal bigrams, the first five are enough: pivots
 are among the first three of their kind in their word, and one edit makes at most two new ones before them.
@@ -115,26 +118,59 @@ def pivots_and_prefix(word: str, frequency: dict[str, int]) -> tuple[tuple[int,
     return cheapest_disjoint(rarest), prefix
 
 
-def _key(side: str, length: int, part: str) -> int:
-    return xxhash.xxh64_intdigest(f"{side}{length}:{part}") - (1 << 63)
+def _hashed(side: str, length: int, end: int, middle: int, word: str, shift: int = 0) -> tuple[int, int]:
+    """Keys for a word that is to have ``length`` letters and keeps those before ``end``: with the rest before ``middle``, short of a
+    letter, and with the rest after it."""
+    further = f"{side}{length}:{word[: max(middle - 1, end)]}"
+    nearer = f"{side}{length}.{end}:{word[:end]}:{word[middle - shift :]}"
+    return xxhash.xxh64_intdigest(further) - (1 << 63), xxhash.xxh64_intdigest(nearer) - (1 << 63)
+
+
+def looked_up(word: str, first: int, second: int) -> set[int]:
+    """Keys under which the pivots at ``first`` and ``second`` look for words of one edit."""
+    keys = set()
+    for side, w, end in (("<", word, first + 2), (">", word[::-1], len(word) - second)):
+        for d in (-1, 0, 1):
+            length = len(w) + d
+            keys.update(_hashed(side, length, end, end + (length - end) // 2, w, d))
+    return keys
+
+
+def met(word: str, prefix: list[int]) -> set[int]:
+    """Keys under which the bigrams of a prefix are found."""
+    keys, back, n = set(), word[::-1], len(word)
+    for i in prefix:
+        for side, w, end in (("<", word, i + 2), (">", back, n - i)):
+            keys.update(_hashed(side, n, end, end + (n - end) // 2, w))
+    return keys
+
+
+def signature(word: str) -> int:
+    """A bit for each letter (modulo 63) that stands an odd number of times."""
+    bits = 0
+    for c in word:
+        bits ^= 1 << ord(c) % 63
+    return bits
 
 
 def _keys(words: DataFrame, frequency: dict[str, int]) -> DataFrame:
-    """(key, pivot, word, n): six keys of the pivots and two for each bigram of the prefix."""
+    """(key, pivot, sign, word, n): the keys of a word's pivots and of its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2048, 1 << 20):
-            keys, pivot, row = [], [], []
+            keys, pivot, row, signs = [], [], [], []
             for k, w in enumerate(batch.column(0).to_pylist()):
-                (first, second), prefix = pivots_and_prefix(w, frequency)
-                looked = [_key(side, len(w) + d, part) for d in (-1, 0, 1) for side, part in (("<", w[: first + 2]), (">", w[second:]))]
-                met = {_key(side, len(w), part) for i in prefix for side, part in (("<", w[: i + 2]), (">", w[i:]))}
-                keys += [*looked, *met]
-                pivot += [True] * len(looked) + [False] * len(met)
-                row += [k] * (len(looked) + len(met))
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(pivot, pa.bool_()), batch.column(0).take(pa.array(row, pa.int32())), batch.column(1).take(pa.array(row, pa.int32()))], ["key", "pivot", "word", "n"])
+                pivots, prefix = pivots_and_prefix(w, frequency)
+                looked, found = looked_up(w, *pivots), met(w, prefix)
+                keys += [*looked, *found]
+                pivot += [True] * len(looked) + [False] * len(found)
+                row += [k] * (len(looked) + len(found))
+                signs.append(signature(w))
+            at = pa.array(row, pa.int32())
+            columns = [pa.array(keys, pa.int64()), pa.array(pivot, pa.bool_()), pa.array(signs, pa.int64()).take(at), batch.column(0).take(at), batch.column(1).take(at)]
+            yield pa.record_batch(columns, ["key", "pivot", "sign", "word", "n"])
 
-    return map_texts(words.select("word", "n"), run, "key long, pivot boolean, word string, n long")
+    return map_texts(words.select("word", "n"), run, "key long, pivot boolean, sign long, word string, n long")
 
 
 def near_words(words: DataFrame, table: int = 65_536) -> DataFrame:
@@ -142,15 +178,16 @@ def near_words(words: DataFrame, table: int = 65_536) -> DataFrame:
     Words are distinct and have four code points or more; null words are left out."""
     words = words.where(F.length("word") >= _SHORTEST)
     keys = saved(_keys(words, _frequencies(words, table)))
-    pivots = keys.where("pivot").select("key", "word", "n")
-    prefixes = keys.where("not pivot").select("key", F.col("word").alias("near"), F.col("n").alias("near_n"))
-    met = pivots.join(prefixes, "key").where((F.col("word") != F.col("near")) & (F.levenshtein("word", "near", 1) == 1))
+    pivots = keys.where("pivot").drop("pivot")
+    prefixes = keys.where("not pivot").select("key", F.col("sign").alias("near_sign"), F.col("word").alias("near"), F.col("n").alias("near_n"))
+    alike = F.bit_count(F.col("sign").bitwiseXOR(F.col("near_sign"))) <= 2
+    found = pivots.join(prefixes, "key").where(alike & (F.col("word") != F.col("near")) & (F.levenshtein("word", "near", 1) == 1))
     ordered = F.col("word") < F.col("near")
 
     def pick(a: str, b: str, name: str) -> Column:
         return F.when(ordered, F.col(a)).otherwise(F.col(b)).alias(name)
 
-    pairs = met.select(pick("word", "near", "word"), pick("n", "near_n", "n"), pick("near", "word", "near"), pick("near_n", "n", "near_n"))
+    pairs = found.select(pick("word", "near", "word"), pick("n", "near_n", "n"), pick("near", "word", "near"), pick("near_n", "n", "near_n"))
     pairs = pairs.groupBy("word", "near").agg(F.first("n").alias("n"), F.first("near_n").alias("near_n"))
     both = F.array(F.struct("word", "n", "near", "near_n"), F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))
     return pairs.select(F.inline(both))
