@@ -195,7 +195,7 @@ def mix(docs: DataFrame, weights: list[float], most: float = 3, block: int = 512
     table = pa.table({"src": pa.array(range(len(found)), pa.int32()), "from": pa.array([r.source for r in found], pa.string()), "source_size": pa.array([r["size"] for r in found], pa.int64()), "target": pa.array(want, pa.float64())})
     rows = rows.join(F.broadcast(spark.createDataFrame(table)), F.col("source").eqNullSafe(F.col("from"))).drop("from")  # a row a source, bounded above
     placed = saved(_placed(rows))
-    met = _slots(spark, sources, shard_slots, seed).join(_pieces(placed, block, texts), ["src", "block"])
+    met = _slots(spark, sources, shard_slots, seed).hint("merge").join(_pieces(placed, block, texts), ["src", "block"])
     last = F.least(F.col("last"), F.col("first") + F.col("words") - F.col("at"))
     if texts:
         kept = F.slice(F.split("text", " "), 1, F.greatest(last - F.col("first"), F.lit(0)).cast("int"))
