@@ -1,20 +1,26 @@
 """Predicted diversity over segments, composite likelihood, its gradient, and the optimiser around them.
 
-A parameter vector is [log10 weight of each B map..., log10 weight of each sweep map..., tau]. Each evaluation is one narrow
-aggregate over a cached, pre-aggregated segment table; the driver holds the simplex only.
+A parameter vector is [log10 weight of each B map..., log10 weight of each sweep map..., tau]. Fits take one aggregate over a cached,
+pre-aggregated segment table for each step, which has the value, gradient and curvature of several step lengths of all fits at once
+(every fit may leave out a block); the driver holds parameters only.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _number(x: float | Column) -> float | Column:
+    return x if isinstance(x, Column) else float(x)
+
+
 @dataclass(frozen=True)
 class Model:
     """Which columns hold log B maps and sweep maps, and the floors. ``unit``: the rate the B maps were made with."""
@@ -27,19 +33,19 @@ class Model:
 
     def parts(self, p: list[float]) -> tuple[list[float], list[float], float]:
         k = len(self.b_maps)
-        return list(p[:k]), list(p[k:-1]), float(p[-1])
+        return [*map(_number, p[:k])], [*map(_number, p[k:-1])], _number(p[-1])
 
-    def _terms(self, p: list[float]) -> tuple[Column, Column, Column]:
+    def _terms(self, p: list[float | Column]) -> tuple[Column, Column, Column]:
         b, c, tau = self.parts(p)
         total = F.lit(0.0)
         for m, x in zip(self.b_maps, b):
-            total = total + F.col(m) * F.lit(10.0**x / self.unit)
+            total = total + F.col(m) * (F.lit(10.0**x / self.unit) if isinstance(x, float) else F.pow(F.lit(10.0), x) / self.unit)
         sweep = F.lit(0.0)
         for m, x in zip(self.c_maps, c):
-            sweep = sweep + F.col(m) * F.lit(10.0**x)
-        return F.greatest(F.exp(total), F.lit(self.least_b)), sweep, F.col("nu") / F.lit(tau)
+            sweep = sweep + F.col(m) * (F.lit(10.0**x) if isinstance(x, float) else F.pow(F.lit(10.0), x))
+        return F.greatest(F.exp(total), F.lit(self.least_b)), sweep, F.col("nu") / tau
 
-    def pi(self, p: list[float]) -> Column:
+    def pi(self, p: list[float | Column]) -> Column:
         """pi0 (1 + theta) / (1 / B + C + theta) with pi0 = theta / (1 + theta), not below the floor."""
         big_b, sweep, theta = self._terms(p)
         return F.greatest(theta / (1.0 / big_b + sweep + theta), F.lit(self.least_pi))
@@ -71,9 +77,123 @@ class Model:
         names = [*self.b_maps, *self.c_maps, "tau"]
         return segments.agg(F.array(*[F.struct(F.lit(n).alias("parameter"), (F.sum(outer * d) * -1e5 / pairs).alias("derivative")) for n, d in zip(names, parts)]).alias("g")).select(F.inline("g"))
 
-    def fit(self, segments: DataFrame, start: list[float], steps: int = 12_000, penalty: Callable[[np.ndarray], float] | None = None) -> "Fit":
-        """Nelder-Mead from ``start`` to the tolerances; ``converged`` tells whether ``steps`` were enough. ``penalty`` is added for
-        parameters out of bounds."""
+    def _sums(self, rows: dict[str, np.ndarray], p: np.ndarray) -> np.ndarray:
+        """Log probability, pairs, gradient and lower triangle of the curvature, summed over rows; floors are taken as not reached."""
+        k, n, ln10 = len(self.b_maps), len(p), math.log(10)
+        parts = [rows[m] * (10.0**x / self.unit) for m, x in zip(self.b_maps, p[:k])]
+        sweeps = [rows[m] * 10.0**x for m, x in zip(self.c_maps, p[k:-1])]
+        lost = 1.0 / np.maximum(np.exp(sum(parts)), self.least_b)
+        theta = rows["nu"] / p[-1]
+        down = lost + sum(sweeps) + theta
+        pi = np.maximum(theta / down, self.least_pi)
+        # derivatives of the numerator theta and of the denominator
+        up = [0.0] * (n - 1) + [-theta / p[-1]]
+        deep = [-lost * x * ln10 for x in parts] + [x * ln10 for x in sweeps] + up[-1:]
+
+        def second(i: int, j: int):
+            if i == n - 1:
+                return (2 * theta / p[-1] ** 2,) * 2 if j == i else (0.0, 0.0)
+            if i < k:
+                return 0.0, lost * ln10**2 * (parts[i] * parts[j] - (parts[i] if i == j else 0.0))
+            return 0.0, sweeps[i - k] * ln10**2 if i == j else 0.0
+
+        first = [u / down - theta * d / down**2 for u, d in zip(up, deep)]
+        hom, het = rows["hom"], rows["het"]
+        outer, inner = het / pi - hom / (1 - pi), het / pi**2 + hom / (1 - pi) ** 2
+        found = [hom * np.log1p(-pi) + het * np.log(pi), hom + het, *[outer * d for d in first]]
+        for i in range(n):
+            for j in range(i + 1):
+                u, d = second(i, j)
+                both = u / down - (up[i] * deep[j] + up[j] * deep[i] + theta * d) / down**2 + 2 * theta * deep[i] * deep[j] / down**3
+                found.append(outer * both - inner * first[i] * first[j])
+        return np.array([x.sum() for x in found])
+
+    def _evaluated(self, kept: DataFrame, asked: list[tuple[int, int, object, np.ndarray]], block: str | None) -> dict[tuple[int, int], tuple]:
+        """(fit, candidate) -> (value, gradient, curvature) of the mean log probability of a pair for each vector asked for, in one job:
+        Arrow batches are summed up for each vector, these sums once more. Rows of the block that a fit leaves out don't count for it."""
+        n, maps = len(asked[0][3]), [*self.b_maps, *self.c_maps]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((len(asked), 2 + n + n * (n + 1) // 2))
+            for batch in batches:
+                rows = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("hom", "het", "nu", *maps)}
+                blocks = np.array(batch.column(block).to_pylist(), dtype=object) if block else None
+                for k, (_, _, without, p) in enumerate(asked):
+                    keep = blocks != without if block and without is not None else slice(None)
+                    sums[k] += self._sums({c: x[keep] for c, x in rows.items()}, p)
+            yield pa.record_batch([pa.array(range(len(asked)), pa.int32()), pa.array(sums.tolist(), pa.list_(pa.float64()))], ["k", "s"])
+
+        parts = kept.mapInArrow(run, "k int, s array<double>")
+        found = {}
+        for r in parts.groupBy("k").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(2 + n + n * (n + 1) // 2)]).alias("s")).collect():  # a row a vector
+            x, curve = np.array(r.s, float), np.zeros((n, n))
+            if x[1]:
+                curve[np.tril_indices(n)] = x[2 + n :] / x[1]
+                found[asked[r.k][:2]] = (x[0] / x[1], x[2 : 2 + n] / x[1], curve + np.tril(curve, -1).T)
+        return found
+
+    def fits(self, segments: DataFrame, starts: dict, block: str | None = None, bounds: list[tuple[float, float]] | None = None, steps: int = 60, tolerance: float = 1e-7) -> dict:
+        """One fit for each key of ``starts``, all at once: each leaves out the rows whose ``block`` is the key (None: no rows).
+
+        Newton steps with the curvature's eigenvalues taken as positive, within ``bounds`` (default: log10 weights from -12 to 6, tau above
+        1e-6): a parameter at its bound that wants out stays there. Each job evaluates several step lengths of all fits; a fit ends when its
+        step is below ``tolerance``, or no length improves its value any more. Jobs don't grow with the fits. A fit without rows isn't returned."""
+        keys, n = list(starts), len(self.b_maps) + len(self.c_maps) + 1
+        low, high = np.array(bounds or [(-12.0, 6.0)] * (n - 1) + [(1e-6, 1e6)]).T
+        kept = segments.select("hom", "het", "nu", *self.b_maps, *self.c_maps, *[block] * bool(block)).cache()
+        lengths = (1.0, 0.5, 0.2, 0.05, 0.005)
+        try:
+            at = {f: np.clip(np.array(starts[key], float), low, high) for f, key in enumerate(keys)}
+            now = {f: x for (f, _), x in self._evaluated(kept, [(f, 0, keys[f], p) for f, p in at.items()], block).items()}
+            calls, done = {f: 1 for f in now}, set()
+            for _ in range(steps):
+                asked = []
+                for f in now.keys() - done:
+                    _, slope, curve = now[f]
+                    free = ~((at[f] <= low) & (slope < 0) | (at[f] >= high) & (slope > 0))
+                    step = np.zeros(n)
+                    if free.any():
+                        size, axes = np.linalg.eigh(curve[np.ix_(free, free)])
+                        step[free] = axes @ ((axes.T @ slope[free]) / np.maximum(np.abs(size), 1e-12 * np.abs(size).max() + 1e-300))
+                        step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-300))
+                    if np.abs(step).max() <= tolerance:
+                        done.add(f)
+                    else:
+                        asked += [(f, c, keys[f], np.clip(at[f] + t * step, low, high)) for c, t in enumerate(lengths)]
+                if not asked:
+                    break
+                found, tried = self._evaluated(kept, asked, block), {(f, c): p for f, c, _, p in asked}
+                for f in {f for f, *_ in asked}:
+                    calls[f] += len(lengths)
+                    best = max(range(len(lengths)), key=lambda c: (found[f, c][0] if math.isfinite(found[f, c][0]) else -math.inf, -c))
+                    gained = found[f, best][0] - now[f][0]
+                    if gained > 0:
+                        at[f], now[f] = tried[f, best], found[f, best]
+                    if not gained > 1e-13 * abs(now[f][0]):
+                        done.add(f)  # as good as it gets in double precision, as where a weight goes to zero
+            return {keys[f]: Fit(at[f], -1e5 * x[0], calls[f], f in done) for f, x in now.items()}
+        finally:
+            kept.unpersist()
+
+    def fit(self, segments: DataFrame, start: list[float], bounds: list[tuple[float, float]] | None = None, steps: int = 60) -> "Fit":
+        """The best parameters within ``bounds`` from ``start`` on."""
+        return self.fits(segments, {None: start}, bounds=bounds, steps=steps)[None]
+
+    def leave_one_out(self, segments: DataFrame, start: list[float], block: str, blocks: list, bounds: list[tuple[float, float]] | None = None) -> dict:
+        """block -> fit without it. All begin where the fit of all rows ends, which is near."""
+        middle = self.fit(segments, start, bounds).parameters.tolist()
+        return self.fits(segments, dict.fromkeys(blocks, middle), block, bounds)
+
+    def predict_left_out(self, segments: DataFrame, fits: dict, block: str, name: str = "pred") -> DataFrame:
+        """Each row's prediction by the fit that left out its block; rows of other blocks are dropped."""
+        names = [f"__p{k}" for k in range(len(self.b_maps) + len(self.c_maps) + 1)]
+        fields = f"{block} {segments.schema[block].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names)
+        table = segments.sparkSession.createDataFrame([(b, *f.parameters.tolist()) for b, f in fits.items()], fields)
+        return segments.join(F.broadcast(table), block).withColumn(name, self.pi([F.col(n) for n in names])).drop(*names)  # a row a block
+
+    def fit_simplex(self, segments: DataFrame, start: list[float], steps: int = 12_000, penalty: Callable[[np.ndarray], float] | None = None) -> "Fit":
+        """Nelder-Mead from ``start`` to the tolerances, a job an evaluation; ``converged`` tells whether ``steps`` were enough. ``penalty``
+        is added for parameters out of bounds."""
         kept = segments.select("hom", "het", "nu", *self.b_maps, *self.c_maps).cache()
 
         def value(p: np.ndarray) -> float:
@@ -86,11 +206,11 @@ class Model:
         finally:
             kept.unpersist()
 
-    def fit_two_steps(self, segments: DataFrame, starts: list[list[float]], best: int = 3, steps: int = 12_000) -> "Fit":
+    def fit_two_steps(self, segments: DataFrame, starts: list[list[float]], best: int = 3) -> "Fit":
         """Fits from all starts, then one from the harmonic mean of the best fits' parameters; ``converged`` is of the last fit."""
-        first = sorted((self.fit(segments, s, steps) for s in starts), key=lambda f: f.value)[:best]
+        first = sorted((self.fit(segments, s) for s in starts), key=lambda f: f.value)[:best]
         middle = len(first) / sum(1 / f.parameters for f in first)
-        return self.fit(segments, middle.tolist(), steps)
+        return self.fit(segments, middle.tolist())
 
 
 @dataclass(frozen=True)

@@ -98,7 +98,14 @@ def neighbour(df: DataFrame, by: list[str], pos: str, value: str, name: str, wid
 
 
 def _place(value: Column, cuts: list, low: int = 0) -> Column:
-    """How many of the ascending cuts are below the value, as a tree of comparisons."""
+    """How many of the ascending cuts are below the value, as a tree of comparisons; of many cuts, one in 32 makes the tree, and those in
+    between are counted in arrays, so that the generated code stays small."""
+    if len(cuts) > 64:
+        heads = cuts[31::32]
+        between = F.array(*[F.array(*map(F.lit, cuts[k : k + 31])) for k in range(0, len(heads) * 32 + 1, 32)])
+        part = _place(value, heads)
+        inner = F.element_at(between, part.cast("int") + 1)
+        return part * 32 + F.size(F.filter(inner, lambda c: c < value)) + low
     if not cuts:
         return F.lit(low).cast("long")
     k = len(cuts) // 2

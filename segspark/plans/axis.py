@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segspark.functions import genetics as g
-from segspark.operators import bins, intervals as iv, lookup, maps, stats
+from segspark.operators import bins, intervals as iv, lookup, kernels, maps, stats
 from segspark.plans import views as v
 
 W = 256  # bucket width in days: several buckets an axis, so that scans carry across them
@@ -147,6 +147,19 @@ def b_kernel_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chrom", "pos", F.round("total", 6).alias("total"))
 
 
+def b_kernel_sum_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same kernel over all sources, however far, within 1e-11 of its largest value times their number."""
+    probes, focal = _events(spark, sf_dir)
+    rows = kernels.smooth_sum(probes, focal, lambda d: g.background_kernel(g.haldane(d / 1_000_000.0), 0.01) / 100.0, 20_000, 1e-11)
+    return rows.select("chrom", "pos", F.round("total", 6).alias("total"))
+
+
+def sweep_kernel_sum_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probes, focal = _events(spark, sf_dir)
+    rows = kernels.exponential_sum(probes, focal, 1e-4)
+    return rows.select("chrom", "pos", F.round("total", 6).alias("total"))
+
+
 def composite_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     from segspark.operators.scan import neighbour
 
@@ -168,7 +181,7 @@ def rate_windows_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("chrom", "window", "bases", "subs", F.round("rate", 6).alias("rate"))
 
 
-QUERIES = {f.__name__: f for f in (mask_islands, interval_merge, interval_intersect, interval_intersect_closed, interval_subtract, interval_coverage_k, overlap_bases, progressive_filters, segment_overlay, rle_collapse, capped_map, lengths_to_coordinates, long_intervals_split, overlap_group_sizes, asof_lookup, step_lookup_clamped, nearest_focal_distance, collated_bins, nearest_interval_edge, point_in_interval, gpos_interpolation, segment_means, sites_kept_by_mask, kernel_sum_limited, b_kernel_sum, composite_map, conserved_per_map_bin, rate_windows_filled)}
+QUERIES = {f.__name__: f for f in (mask_islands, interval_merge, interval_intersect, interval_intersect_closed, interval_subtract, interval_coverage_k, overlap_bases, progressive_filters, segment_overlay, rle_collapse, capped_map, lengths_to_coordinates, long_intervals_split, overlap_group_sizes, asof_lookup, step_lookup_clamped, nearest_focal_distance, collated_bins, nearest_interval_edge, point_in_interval, gpos_interpolation, segment_means, sites_kept_by_mask, kernel_sum_limited, b_kernel_sum, b_kernel_sum_all, sweep_kernel_sum_all, composite_map, conserved_per_map_bin, rate_windows_filled)}
 
 
 def _merged(name: str, source: str, where: str = "true") -> str:
@@ -189,6 +202,7 @@ _PROBES = f"{v.POINTS}, probes as (select * from points where event_type <> 'pur
 _NEAR = f"{_PROBES}, near as (select p.event_id, case when up is null then down when down is null then up when up <= -down then up else down end as distance from (select event_id, (select min(f.pos) - p.pos from focal f where f.chrom = p.chrom and f.pos >= p.pos) as up, (select max(f.pos) - p.pos from focal f where f.chrom = p.chrom and f.pos <= p.pos) as down from probes p) p)"
 _TILED = f"{v.STEPS}, tiled as (select * from (select chrom, \"start\", lead(\"start\") over (partition by chrom order by \"start\") as \"end\", value from map_b) where \"end\" is not null)"
 _KERNEL = f"{_PROBES}, g as (select distinct chrom, pos from probes), w as (select chrom, pos, count(*) as w from points where event_type = 'purchase' group by chrom, pos), j as (select g.chrom, g.pos, coalesce(sum(w), 0) as sources, coalesce(sum(w * ({{k}})), 0) as total from g left join w on g.chrom = w.chrom and abs(g.pos - w.pos) <= 50000 group by g.chrom, g.pos)"
+_KERNEL_ALL = _KERNEL.replace(" and abs(g.pos - w.pos) <= 50000", "")
 
 
 def _rle(source: str) -> str:
@@ -219,6 +233,8 @@ ORACLE_SQL = {
     "gpos_interpolation": f"""with {v.KNOTS}, p as (select distinct chrom, pos from sites), b as (select p.*, (select max(k.pos) from knots k where k.chrom = p.chrom and k.pos <= p.pos) as x0, (select min(k.pos) from knots k where k.chrom = p.chrom and k.pos >= p.pos) as x1 from p) select b.chrom, b.pos, round(case when x0 is null then k1.gpos when x1 is null or x1 = x0 then k0.gpos else k0.gpos + (k1.gpos - k0.gpos) * (b.pos - x0) / cast(x1 - x0 as double) end, 6) as gpos from b left join knots k0 on k0.chrom = b.chrom and k0.pos = x0 left join knots k1 on k1.chrom = b.chrom and k1.pos = x1""",
     "segment_means": f"""with {v.SITES}, {v.STEPS}, d as (select s.chrom, s.alt, (select max(b."start") from map_b b where b.chrom = s.chrom and b."start" <= s.pos) as seg from sites s) select chrom, seg, count(*) as n, cast(sum(alt) as bigint) as alt, round(avg(case when alt > 25 then 1.0::double else 0.0::double end), 6) as share from d where seg is not null group by chrom, seg""",
     "sites_kept_by_mask": f"""with {v.SEGMENTS}, {v.INTERVALS} select chrom, pos, sites from segs s where exists (select 1 from iv_a i where i.chrom = s.chrom and i."start" <= s.pos and i."end" > s.pos) and not exists (select 1 from iv_b i where i.chrom = s.chrom and i."start" <= s.pos and i."end" > s.pos)""",
+    "b_kernel_sum_all": f"with {_KERNEL_ALL.format(k='1 / (cast(0.01 as double) * power(1 + cast(99.0 as double) * ((1 - exp(-2 * abs(g.pos - w.pos) / cast(1000000 as double))) / 2), 2)) / 100')} select chrom, pos, round(total, 6) as total from j",
+    "sweep_kernel_sum_all": f"with {_KERNEL_ALL.format(k='exp(-abs(g.pos - w.pos) / cast(10000 as double))')} select chrom, pos, round(total, 6) as total from j",
     "kernel_sum_limited": f"with {_KERNEL.format(k='exp(-abs(g.pos - w.pos) / cast(10000 as double))')} select chrom, pos, cast(sources as bigint) as sources, round(total, 6) as total from j",
     "b_kernel_sum": f"with {_KERNEL.format(k='1 / (cast(0.01 as double) * power(1 + cast(99.0 as double) * ((1 - exp(-2 * abs(g.pos - w.pos) / cast(1000000 as double))) / 2), 2)) / 100')} select chrom, pos, round(total, 6) as total from j",
     "composite_map": f"""with {v.SEGMENTS}, t as (select * from (select chrom, pos as "start", lead(pos) over (partition by chrom order by pos) as "end", cast(floor(exp(b1 * 2 + b2 * 3) * 20 + cast(0.5 as double)) as bigint) as value from segs) where "end" is not null), {_rle('t')}""",

@@ -30,7 +30,9 @@ def cpg_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagged_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = v.segments(spark, sf_dir).groupBy("chrom", (F.floor(F.col("pos") / 50) + 1).alias("edge")).agg((F.avg("nu") > 0.14).cast("int").alias("flag"))
+    """Blocks whose sites have a mean rate over 0.14, in whole hundredths, so that no order of summation decides."""
+    rows = v.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 5).alias("chrom"), (F.datediff("l_shipdate", F.lit(v.ORIGIN).cast("date")) + 1).alias("pos"), F.round(F.col("l_tax") * 100).cast("long").alias("t"))
+    rows = rows.groupBy("chrom", (F.floor(F.col("pos") / 50) + 1).alias("edge")).agg((F.sum("t") > 4 * F.count("t")).cast("int").alias("flag"))
     return n.flagged_blocks(rows, 50)
 
 
@@ -79,7 +81,7 @@ _MEANS = {x: f"sum({x} * sites) / cast(sum(sites) as double)" for x in ("pred",
 ORACLE_SQL = {
     "neutral_sites": f"with {_CHANGES}, {v.INTERVALS} select chrom, pos, ref, alt from ch where {_INSIDE.format(t='iv_a')} and not {_INSIDE.format(t='iv_p')} and concat(ref, alt) not in ('CT', 'GA')",
     "cpg_changes": f"with {_CHANGES} select ch.chrom, ch.pos, ch.ref, ch.alt from ch join ch b on b.chrom = ch.chrom and (ch.ref = 'C' and ch.alt = 'T' and b.pos = ch.pos + 1 and b.ref = 'G' or ch.ref = 'G' and ch.alt = 'A' and b.pos = ch.pos - 1 and b.ref = 'C')",
-    "flagged_blocks": f'with {v.SEGMENTS} select chrom, pos // 50 * 50 as "start", pos // 50 * 50 + 50 as "end" from segs group by 1, 2, 3 having avg(nu) > {_D(0.14)}',
+    "flagged_blocks": f'with {v.SITES} select chrom, pos // 50 * 50 as "start", pos // 50 * 50 + 50 as "end" from sites group by 1, 2, 3 having sum(cast(round(-b2 * 100) as bigint)) > 4 * count(*)',
     "closed_map": f"with {v.KNOTS}, e as (select chrom, min(pos) as first, arg_min(gpos, pos) as low, max(pos) as last, arg_max(gpos, pos) as high from knots group by chrom) select chrom, pos, round(gpos / pos, 6) as rate, gpos from knots union all select chrom, cast(1 as bigint), round(1000000 * low / first, 6), {_D(0)} from e where first > 1 union all select chrom, cast({v.LENGTH} as bigint), {_D(0)}, high from e where last < {v.LENGTH}",
     "sites_within_map": f"with {v.KNOTS}, e as (select chrom, min(pos) as first, max(pos) as last from knots group by chrom) select s.chrom, s.pos, count(*) as sites from sites s join e on s.chrom = e.chrom where s.pos > first and s.pos < last group by 1, 2",
     "physical_places": f"with {v.KNOTS}, l as (select *, lag(pos) over (partition by chrom order by pos) as p0, lag(gpos) over (partition by chrom order by pos) as g0 from knots) select chrom, gpos - {_D(0.5)} as gpos, case when p0 is null then pos else cast(floor(p0 + (pos - p0) * (gpos - {_D(0.5)} - g0) / (gpos - g0)) as bigint) end as pos from l",

@@ -11,6 +11,7 @@ from segspark.plans import views as v
 from segspark.plans.sites import draw_sql
 
 MODEL = Model(["b1", "b2"], unit=1.0)
+_BOUNDS = [(-6.0, 6.0), (0.01, 100.0)]  # a weight of a millionth does nothing
 PARAMETERS = [0.3, 0.1, 0.25]  # log10 weights of the two maps, and tau
 
 
@@ -42,7 +43,7 @@ def loglik_bootstrap_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def optimise_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fit = Model(["b1"]).fit(v.segments(spark, sf_dir), [0.0, 0.25])
+    fit = Model(["b1"]).fit(v.segments(spark, sf_dir), [0.0, 0.25], _BOUNDS)
     if not fit.converged:
         raise RuntimeError("the fit didn't converge")
     return spark.createDataFrame([("b1", round(float(fit.parameters[0]), 3)), ("tau", round(float(fit.parameters[1]), 3))], "parameter string, value double")
@@ -133,11 +134,29 @@ def jackknife_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("blocks", F.round("mean", 6).alias("mean"), F.round(F.col("variance") * 1e6, 4).alias("variance_e6"))
 
 
+def _left_out(spark: SparkSession, sf_dir: str) -> tuple[Model, DataFrame, dict]:
+    """The model of one map, segments, and for each chromosome the fit without it."""
+    model, rows = Model(["b1"]), v.segments(spark, sf_dir)
+    return model, rows, model.leave_one_out(rows, [0.0, 0.25], "chrom", list(range(5)), _BOUNDS)
+
+
 def leave_one_out_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions with parameters fitted without a segment's own chromosome: here tau moves with the chromosome left out."""
-    parameters = spark.range(5).select(F.col("id").alias("chrom"), (0.25 + F.col("id") * 0.01).alias("tau"))
-    rows = v.segments(spark, sf_dir).join(F.broadcast(parameters), "chrom").withColumn("nu", F.col("nu") / F.col("tau") * 0.25)  # five rows
-    return _rounded(MODEL.predict(rows, PARAMETERS).groupBy("chrom").agg(F.avg("pred").alias("pred")), "pred")
+    """Mean predictions of each chromosome by the parameters fitted without it."""
+    model, rows, fits = _left_out(spark, sf_dir)
+    return model.predict_left_out(rows, fits, "chrom").groupBy("chrom").agg(F.round(F.avg("pred"), 5).alias("pred"))
+
+
+def leave_one_out_rsquared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R^2 of windows under the predictions that leave out each window's own chromosome."""
+    model, rows, fits = _left_out(spark, sf_dir)
+    windows = bins.dense(bins.fixed(model.predict_left_out(rows, fits, "chrom"), 100))
+    return stats.r_squared(windows, "obs", "pred").select(F.round("r2", 3).alias("r2"), "windows")
+
+
+def leave_one_out_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is fitted without each chromosome: the map's weight, tau, and -1 times the mean log probability of a pair."""
+    found = [(int(b), round(10 ** float(f.parameters[0]), 3), round(float(f.parameters[1]), 4), round(float(f.value) / 1e5, 6)) for b, f in _left_out(spark, sf_dir)[2].items()]
+    return spark.createDataFrame(found, "chrom long, weight double, tau double, cllh double")
 
 
 def bootstrap_means(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +199,7 @@ def merged_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_weighted(rows)
 
 
-QUERIES = {f.__name__: f for f in (predicted_pi, composite_loglik, loglik_gradient, loglik_bootstrap_weights, optimise_params, window_obs_pred, window_rsquared, sliding_obs_pred, moving_average, equal_weight_bins, equal_count_bins, value_edge_bins, top_fraction, pearson_maps, spearman_maps, ols_intercept_ci, error_bands, signed_rank, jackknife_blocks, jackknife_variance, leave_one_out_pred, bootstrap_means, permutation_pvalue, sim_deterministic, combine_sparse_bins, savgol_windows, loess_windows, nonredundant_greedy, merged_weighted)}
+QUERIES = {f.__name__: f for f in (predicted_pi, composite_loglik, loglik_gradient, loglik_bootstrap_weights, optimise_params, window_obs_pred, window_rsquared, sliding_obs_pred, moving_average, equal_weight_bins, equal_count_bins, value_edge_bins, top_fraction, pearson_maps, spearman_maps, ols_intercept_ci, error_bands, signed_rank, jackknife_blocks, jackknife_variance, leave_one_out_pred, leave_one_out_rsquared, leave_one_out_parameters, bootstrap_means, permutation_pvalue, sim_deterministic, combine_sparse_bins, savgol_windows, loess_windows, nonredundant_greedy, merged_weighted)}
 
 _D = "cast({} as double)".format
 _B, _THETA = f"greatest(exp(b1 * power({_D(10)}, {_D(0.3)}) + b2 * power({_D(10)}, {_D(0.1)})), {_D('1e-5')})", f"nu / {_D(0.25)}"
@@ -219,13 +238,36 @@ ORACLE_SQL = {
     "signed_rank": f"with {v.SEGMENTS}, w as (select (pos - 1) // 20 as win, sum(het) as a, sum(hom // 4) as b from segs group by 1), r as (select sign(a - b) as s, row_number() over (order by abs(a - b), win) as k from w where a <> b) select cast(sum(s * k) as bigint) as w, count(*) as n from r",
     "jackknife_blocks": f"with {_LEFT} select idx, round(estimate, 6) as estimate from j",
     "jackknife_variance": f"with {_LEFT} select count(*) as blocks, round(avg(estimate), 6) as mean, round((cast(count(*) as double) - 1) * var_pop(estimate) * 1000000, 4) as variance_e6 from j",
-    "leave_one_out_pred": f"with {v.SEGMENTS}, s as (select chrom, b1, b2, nu / (cast(0.25 as double) + chrom * cast(0.01 as double)) * cast(0.25 as double) as nu from segs) select chrom, round(avg({_PI}), 6) as pred from s group by chrom",
     "bootstrap_means": f"with {_BLOCKS}, c as (select count(*) as c from blocks), d as (select i // c as rep, i % c as k, c from (select unnest(generate_series(0, 200 * c - 1)) as i, c from c)), x as (select rep, {draw_sql('rep', 'k', 'c')} as idx from d) select rep, round(cast(sum(het) as double) / cast(sum(pairs) as double), 6) as estimate from x join blocks b on b.idx = x.idx group by rep",
     "permutation_pvalue": f"with {_BLOCKS}, b as (select idx, sites - sites // 2 - sites // 2 as d from blocks), r as (select unnest(generate_series(0, 498)) as rep), s as (select rep, sum(case when {draw_sql('rep', 'idx', 2)} = 0 then d else -d end) as s from b, r group by rep), o as (select sum(d) as observed from b) select cast(observed as bigint) as observed, cast(sum(case when abs(s) >= abs(observed) then 1 else 0 end) as bigint) as exceed, round(cast(sum(case when abs(s) >= abs(observed) then 1 else 0 end) + 1 as double) / 500, 6) as p from s, o group by observed",
     "sim_deterministic": f"with {_PRED} select chrom, pos, cast(floor(round(pred, 9) * (het + hom) + cast(0.5 as double)) as bigint) as sim_het, het + hom - cast(floor(round(pred, 9) * (het + hom) + cast(0.5 as double)) as bigint) as sim_hom from pred",
 }
 
 
+#: Scoring steps for one map and tau, for each fit f over the segments of other chromosomes than f.
+_X = "least(greatest(x + greatest(least((gx * ftt - gt * fxt) / nullif(det, 0), 1), -1), -6), 6)"
+_T = "case when x <= -6 and gx < 0 then t + gt / ftt else greatest(t + (gt * fxx - gx * fxt) / nullif(det, 0), 0.01) end"
+_ONE = f"""select *, th / down as p, th * lost * a * ln({_D(10)}) / (down * down) as dx, -(th / t) * (1 / down - th / (down * down)) as dt from (
+  select *, lost + th as down from (select i.f, i.k, i.x, i.t, s.het, s.hom, s.b1 * pow({_D(10)}, i.x) as a, exp(-s.b1 * pow({_D(10)}, i.x)) as lost, s.nu / i.t as th
+  from steps i, segs s where s.chrom <> i.f and i.k < 80))"""
+_SCORED = f"""{v.SEGMENTS}, steps as (select f, 0 as k, {_D(0)} as x, {_D(0.25)} as t from (select unnest({{fits}}) as f) union all
+  select f, k + 1, coalesce({_X}, x), coalesce({_T}, t) from (select *, fxx * ftt - fxt * fxt as det from (
+  select f, k, any_value(x) as x, any_value(t) as t, sum((het / p - hom / (1 - p)) * dx) as gx, sum((het / p - hom / (1 - p)) * dt) as gt,
+  sum((het + hom) / (p * (1 - p)) * dx * dx) as fxx, sum((het + hom) / (p * (1 - p)) * dx * dt) as fxt, sum((het + hom) / (p * (1 - p)) * dt * dt) as ftt from ({_ONE}) group by f, k))),
+  fitted as (select f, x, t from steps where k = 80)"""
+_LEFT_OUT = f"with recursive {_SCORED.format(fits='[0, 1, 2, 3, 4]')}, pred as (select chrom, pos, het, hom, sites, nu / t / (exp(-b1 * pow({_D(10)}, x)) + nu / t) as pred from segs join fitted on f = chrom)"
+ORACLE_SQL["optimise_params"] = f"with recursive {_SCORED.format(fits='[-1]')} select 'b1' as parameter, round(x, 3) as value from fitted union all select 'tau', round(t, 3) from fitted"
+ORACLE_SQL["leave_one_out_pred"] = f"{_LEFT_OUT} select chrom, round(avg(pred), 5) as pred from pred group by chrom"
+ORACLE_SQL["leave_one_out_rsquared"] = (
+    f"{_LEFT_OUT}, {_DENSE[_DENSE.index('win as (') :]}, m as (select avg(obs) as m from dense) "
+    "select round(1 - sum((obs - pred) * (obs - pred)) / sum((obs - m) * (obs - m)), 3) as r2, count(*) as windows from dense, m"
+)
+ORACLE_SQL["leave_one_out_parameters"] = (
+    f"{_LEFT_OUT} select chrom, round(any_value(pow({_D(10)}, x)), 3) as weight, round(any_value(t), 4) as tau, round(any_value(cllh), 6) as cllh from (select f as chrom, x, t from fitted) "
+    "join (select f.f as chrom, -sum(hom * ln(1 - p) + het * ln(p)) / cast(sum(hom + het) as double) as cllh from (select f, chrom, het, hom, nu / t / (exp(-b1 * pow(cast(10 as double), x)) + nu / t) as p from segs join fitted on f <> chrom) f group by f.f) using (chrom) group by chrom"
+)
+
+
 def folded(rows: str, state: dict[str, tuple[str, str]]) -> str:
     """A recursive pass over ``rows`` (with chrom and k from 1): columns of the state with their first and next expression; s is the
     state before, r the row."""

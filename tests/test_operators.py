@@ -177,7 +177,7 @@ def test_gradient_equals_differences_and_fit_finds_the_truth(spark):
         up, down = ([*p[:k], p[k] + d, *p[k + 1 :]] for d in (1e-5, -1e-5))
         numeric = (model.log_likelihood(data, up).first().cllh - model.log_likelihood(data, down).first().cllh) / 2e-5
         assert math.isclose(got[name], numeric, rel_tol=1e-4, abs_tol=1e-3)
-    fit = model.fit(data, [-0.6, -0.2, 1.0], 120)
+    fit = model.fit(data, [-0.6, -0.2, 1.0])
     assert np.allclose(fit.parameters, truth, atol=0.05)
 
 
