@@ -59,3 +59,40 @@ def permutation(blocks: DataFrame, replicates: int, a: str, b: str) -> DataFrame
     rows = sums.crossJoin(F.broadcast(observed))  # one row
     exceed = F.sum((F.abs("s") >= F.abs("observed")).cast("long"))
     return rows.agg(F.first("observed").alias("observed"), exceed.alias("exceed"), ((exceed + 1).cast("double") / F.lit(replicates + 1.0)).alias("p"))
+
+
+def grouped(windows: DataFrame, order: list[str], size: int, maps: dict[str, tuple[str, str]]) -> DataFrame:
+    """(idx, n, and for each map four sums): moments of groups of ``size`` windows that follow each other in ``order``, the remainder
+    dropped; ``maps``: name -> (observed, predicted). Windows are bins of the data behind them; their moments are all that is resampled."""
+    from pyspark.sql import Window
+
+    pairs = {m: (F.col(o).cast("double"), F.col(p).cast("double")) for m, (o, p) in maps.items()}
+    rows = windows.select(*order, *[c for m, (o, p) in pairs.items() for c in (o.alias(f"{m}_o"), p.alias(f"{m}_p"))])
+    rows = rows.withColumn("idx", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("long"))
+    sums = [s for m in maps for o, p in [(F.col(f"{m}_o"), F.col(f"{m}_p"))] for s in (F.sum(o).alias(f"{m}_o"), F.sum(o * o).alias(f"{m}_oo"), F.sum((o - p) * (o - p)).alias(f"{m}_r"))]
+    return rows.groupBy("idx").agg(F.count("*").alias("n"), *sums).where(F.col("n") == size)
+
+
+def _r2(m: str) -> Column:
+    """R^2 around y = x from summed moments."""
+    o, oo, r, n = (F.sum(c).cast("double") for c in (f"{m}_o", f"{m}_oo", f"{m}_r", "n"))
+    return 1.0 - r / (oo - o * o / n)
+
+
+def bootstrap_r2(groups: DataFrame, replicates: int, maps: list[str]) -> DataFrame:
+    """(rep, a column a map): R^2 of each replicate, which draws as many groups as there are, with replacement and the same for all maps;
+    rep -1 has all groups once. Moments of groups are drawn, so a replicate costs a row a group, whatever the windows."""
+    n = groups.count()
+    draws = groups.sparkSession.range(replicates * n).select(F.floor(F.col("id") / n).alias("rep"), (F.col("id") % n).alias("k"))
+    drawn = draws.select("rep", draw(F.col("rep"), F.col("k"), max(n, 1)).alias("idx")).join(groups, "idx")
+    rows = drawn.unionByName(groups.withColumn("rep", F.lit(-1).cast("long")))
+    return rows.groupBy("rep").agg(*[_r2(m).alias(m) for m in maps])
+
+
+def compared(replicates: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: both values of all groups, the standard deviations of the replicates, and p = (replicates whose b - a is at least that of
+    all groups, plus one) / (replicates + 1)."""
+    whole = replicates.where("rep < 0").select(F.col(a).alias("__a"), F.col(b).alias("__b"))
+    rows = replicates.where("rep >= 0").crossJoin(F.broadcast(whole))  # one row
+    exceed = F.sum((F.col(b) - F.col(a) >= F.col("__b") - F.col("__a")).cast("long"))
+    return rows.agg(F.first("__a").alias(a), F.first("__b").alias(b), F.stddev_pop(a).alias(f"sd_{a}"), F.stddev_pop(b).alias(f"sd_{b}"), ((exceed + 1).cast("double") / (F.count("*") + 1).cast("double")).alias("p"))
