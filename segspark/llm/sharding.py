@@ -4,7 +4,8 @@ The root holds all rows and the wanted number of leaves (total bytes over target
 split along its widest dimension, at the weighted quantile that gives each side bytes in proportion to its leaves. Cuts are
 found for all nodes of a level at once by distributed histograms over the key's bits, each pass narrowing every node's range
 to one bin; only the bin that holds the cut comes to the driver, one row a node. A level is a few narrow aggregates over
-(id, size, dimensions); texts never move.
+(id, size, dimensions); texts never move. Once a node holds at most ``at_once`` rows, the tree below it is built by one task, so
+levels with jobs of their own end where the rows of a node fit one group.
 
 Rows are ordered within a dimension by its value and then by a hash of the text, so that a cut rarely parts equal texts; it
 goes through a group of equal texts only where leaving the group whole would miss the wanted bytes by more than
@@ -13,6 +14,7 @@ goes through a group of equal texts only where leaving the group whole would mis
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,9 +38,10 @@ _TYPES = {"node": pa.int32(), "dim": pa.int32(), "shift": pa.int32(), "right": p
 
 
 def _nodes(like: DataFrame, names: str, rows: list[tuple]) -> DataFrame:
-    """A table of one row a node, to be joined: under 100 bytes for each shard that is asked for."""
+    """A table of one row a node, to be joined: under 100 bytes for each shard that is asked for; broadcast up to 10 MB."""
     fields = {n: pa.array([r[k] for r in rows], _TYPES.get(n, pa.int64())) for k, n in enumerate(names.split())}
-    return F.broadcast(like.sparkSession.createDataFrame(pa.table(fields)))
+    table = like.sparkSession.createDataFrame(pa.table(fields))
+    return F.broadcast(table) if len(rows) <= 100_000 else table.hint("merge")
 
 
 class _Cut:
@@ -72,11 +75,14 @@ class _Cut:
         return False
 
 
-def _cuts(rows: DataFrame, dims: list[str], leaves: dict[int, int], target: float, tolerance: float) -> dict[int, tuple[int, int, int]]:
-    """node -> (dimension, key, salt) for all nodes in ``leaves`` that hold rows and have more than one leaf."""
-    wide = {n: k for n, k in leaves.items() if k > 1}
+def _ranges(rows: DataFrame, dims: list[str], wide: dict[int, int]) -> list:
+    """For each node in ``wide`` its rows, bytes, and lowest and highest value in every dimension."""
     inside = rows.join(_nodes(rows, "node", [(n,) for n in wide]), "node")
-    about = inside.groupBy("node").agg(F.sum("size").alias("size"), *[f(d).alias(f"{s}{k}") for k, d in enumerate(dims) for s, f in (("lo", F.min), ("hi", F.max))]).collect()
+    return inside.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("size"), *[f(d).alias(f"{s}{k}") for k, d in enumerate(dims) for s, f in (("lo", F.min), ("hi", F.max))]).collect()
+
+
+def _cuts(rows: DataFrame, dims: list[str], about: list, wide: dict[int, int], target: float, tolerance: float) -> dict[int, tuple[int, int, int]]:
+    """node -> (dimension, key, salt) for the nodes in ``about``, each of ``wide[node]`` leaves."""
     open_, done = {}, {}
     for r in about:  # one row a node
         k = max(range(len(dims)), key=lambda k: r[f"hi{k}"] - r[f"lo{k}"])
@@ -103,7 +109,7 @@ def _key(dims: list[str]) -> Column:
     return F.shiftleft(F.element_at(F.array(*dims), F.col("dim") + 1), _HASH).bitwiseOR(F.col("tie"))
 
 
-def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, dimensions: dict[str, Column] | None = None, tolerance: float = 0.002, overhead: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, dimensions: dict[str, Column] | None = None, tolerance: float = 0.002, overhead: int = 16, at_once: int = 65_536, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return (``id_col``, size, text_crc32, shard, slot), a row for each row of ``docs``, in no order.
 
     Give either ``shards`` or ``target_bytes`` (then as many shards as the bytes need). size: UTF-8 bytes of the text plus
@@ -136,21 +142,55 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
         return F.coalesce(F.floor((F.col(n) - lo) / (hi - lo) * ((1 << _SCALE) - 1)), F.lit(0)).cast("long")
 
     rows = rows.select("id", "size", "crc", "tie", "salt", *[scaled(n).alias(n) for n in names], F.lit(0).alias("node"))
-    leaves = {0: shards}
-    while any(k > 1 for k in leaves.values()) and whole.n:
-        cuts = _cuts(rows, names, leaves, total / shards, tolerance)
+    leaves, target = {0: shards}, total / shards
+    while whole.n > at_once and (wide := {n: k for n, k in leaves.items() if k > 1}):
+        about = [r for r in _ranges(rows, names, wide) if r.n > at_once]
+        if not about:
+            break
+        cuts = _cuts(rows, names, about, wide, target, tolerance)
         # A node's number is the number of its first shard.
         table = _nodes(rows, "node dim cut cut_salt right", [(n, *cut, n + leaves[n] // 2) for n, cut in cuts.items()])
         key, node = _key(names), F.col("node")
         left = (key < F.col("cut")) | ((key == F.col("cut")) & (F.col("salt") < F.col("cut_salt")))
         node = F.when(F.col("right").isNotNull() & ~F.coalesce(left, F.lit(False)), F.col("right")).otherwise(node)
         rows = saved(rows.join(table, "node", "left").select("id", "size", "crc", "tie", "salt", *names, node.alias("node")))
-        leaves = {m: j for n, k in leaves.items() if n in cuts for m, j in ((n, k // 2), (n + k // 2, k - k // 2))} | {n: 1 for n, k in leaves.items() if n not in cuts}
+        leaves = {m: j for n, k in leaves.items() if n in cuts for m, j in ((n, k // 2), (n + k // 2, k - k // 2))} | {n: k for n, k in leaves.items() if n not in cuts}
+    if any(k > 1 for k in leaves.values()):
+        rows = saved(_finished(rows, names, leaves, target, tolerance))
     return _slots(rows.select("id", "size", "crc", "salt", F.col("node").alias("shard")), whole.n, shards).select(
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.col("shard").cast("int").alias("shard"), "slot"
     )
 
 
+def _finished(rows: DataFrame, dims: list[str], leaves: dict[int, int], target: float, tolerance: float) -> DataFrame:
+    """Rows with the leaf that they end in; every node's rows are one group of at most ``at_once``."""
+
+    def run(group: pa.Table) -> pa.Table:
+        size, tie, salt, *values = (group.column(c).to_numpy().astype(np.int64) for c in ("size", "tie", "salt", *dims))
+        leaf, waiting = np.empty(len(size), np.int32), [(np.arange(len(size)), group.column("node")[0].as_py(), group.column("leaves")[0].as_py())]
+        while waiting:
+            at, node, k = waiting.pop()
+            if k == 1 or not len(at):
+                leaf[at] = node
+                continue
+            widest = max(values, key=lambda v: int(v[at].max() - v[at].min()))
+            key = (widest[at] << _HASH) | tie[at]
+            order = np.lexsort((salt[at], key))
+            held = np.concatenate([[0], np.cumsum(size[at][order])])
+            miss = np.abs(held - held[-1] * (k // 2) / k)
+            whole = np.concatenate([[True], np.diff(key[order]) != 0, [True]])  # cuts that leave equal keys together
+            best = int(np.argmin(np.where(whole, miss, np.inf)))
+            cut = best if miss[best] <= tolerance * target else int(np.argmin(miss))
+            waiting += [(at[order[:cut]], node, k // 2), (at[order[cut:]], node + k // 2, k - k // 2)]
+        return group.drop_columns(["node", "leaves"]).append_column("node", pa.array(leaf))
+
+    wide = rows.join(_nodes(rows, "node leaves", [(n, k) for n, k in leaves.items() if k > 1]), "node", "left")
+    kept = [c for c in rows.columns if c != "node"]
+    schema = rows.select(*kept, "node").schema
+    done = wide.where("leaves is not null").select(*kept, "node", "leaves").groupBy("node").applyInArrow(run, schema)
+    return done.unionByName(wide.where("leaves is null").select(*kept, "node"))
+
+
 def _slots(rows: DataFrame, n: int, shards: int, at_once: int = 4096) -> DataFrame:
     """Add slot: numbered within buckets of about ``at_once`` rows, after the counts of the shard's earlier buckets."""
     buckets = max(1, -(-n // (shards * at_once)))

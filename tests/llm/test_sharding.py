@@ -24,7 +24,11 @@ def test_query_law(spark):
 
 def test_hot_group_is_cut_and_small_groups_stay(spark):
     rows = [(i, "same text " * 9) for i in range(3000)] + [(10_000 + i, f"text {i // 3} " * (1 + i // 3 % 40)) for i in range(3000)]
-    got = kd_shards(spark.createDataFrame(rows, "doc_id long, text string"), shards=10).collect()
+    for at_once in (65_536, 1000):  # below one task, and level by level first
+        whole_groups(kd_shards(spark.createDataFrame(rows, "doc_id long, text string"), shards=10, at_once=at_once).collect())
+
+
+def whole_groups(got):
     size = Counter()
     for r in got:
         size[r.shard] += r["size"]
@@ -39,8 +43,8 @@ def test_hot_group_is_cut_and_small_groups_stay(spark):
 def test_odd_rows(spark):
     rows = [(None, None), (1, ""), (1, ""), (1, ""), (2, "é" * 50_000), (None, "x")]
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, size int, shard int")
-    for shards in (1, 3, 40):
-        got = kd_shards(docs, shards=shards).collect()
+    for shards, at_once in ((1, 9), (3, 9), (40, 9), (3, 2)):
+        got = kd_shards(docs, shards=shards, at_once=at_once).collect()
         assert sorted((str(r.doc_id), r["size"]) for r in got) == sorted((str(i), len((t or "").encode()) + 16) for i, t in rows)
         assert all(0 <= r.shard < shards for r in got)
     assert {r.shard for r in kd_shards(docs, target_bytes=20_000).collect()} <= set(range(6))
