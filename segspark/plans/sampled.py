@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segspark.operators import bins, populations, ranges, resample, simulate
+from segspark.functions import genetics as g
+from segspark.operators import coding, maps, populations, ranges, resample, simulate
+from segspark.plans import neutral
 from segspark.plans import views as v
 from segspark.plans import windows as w
 from segspark.plans.sites import draw_sql
@@ -66,9 +68,28 @@ def bootstrap_rsquared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*[F.round(c, 4).alias(c) for c in found.columns])
 
 
+def coding_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers are genes and their orders exons, of which a second transcript has every other; days hold two letters each."""
+    from segspark.plans.neutral import _changes
+
+    start = F.datediff("o_orderdate", F.lit(v.ORIGIN).cast("date")).cast("long")
+    rows = v.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 5).alias("chrom"), F.col("o_custkey").alias("gene"), F.when(F.col("o_custkey") % 2 == 0, "-").otherwise("+").alias("strand"), start.alias("start"), (start + 3 + F.col("o_orderkey") % 7).alias("end"), (F.col("o_orderkey") % 2 == 0).alias("both"))
+    rows = rows.withColumn("transcript", F.explode(F.when(F.col("both"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("both")
+    letters = _changes(spark, sf_dir).select("chrom", "pos", F.col("ref").alias("q"), F.col("alt").alias("t"))
+    found = coding.coding_changes(rows, letters)
+    return found.select("gene", "sites", "degeneracy", "syn", "nonsyn", *[F.round(c, 6).alias(c) for c in ("ds", "dn", "dnds")])
+
+
+def sweep_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sweeps at half-yearly days with sites, on a grid of all of them; map distances are days, a hundredth of a unit each."""
+    sites = v.sites(spark, sf_dir).select("chrom", "pos", (F.col("pos") / 100.0).alias("gpos"))
+    found = maps.sweep_map(sites, sites.where("pos % 180 = 0").distinct(), 0.05, 20_000.0, delta=0.07)
+    return found.select("chrom", "pos", F.round("rate", 6).alias("rate"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (windows_around_sites, population_pairs, population_pairs_by_segment, sim_beta_binomial, sim_two_chromosomes, sim_snp_places, bootstrap_rsquared)
+    for f in (windows_around_sites, population_pairs, population_pairs_by_segment, sim_beta_binomial, sim_two_chromosomes, sim_snp_places, bootstrap_rsquared, coding_changes, sweep_map)
 }
 
 _D = "cast({} as double)".format
@@ -92,7 +113,23 @@ _ON_MAP = f"""{v.KNOTS}, p as (select distinct chrom, pos from sites), beside as
 _MEAN = "round(avg({v}), 6)".format
 _ROLL = draw_sql("rep", "k", "c")
 _R2 = "1 - sum((obs - {m}) * (obs - {m})) / (sum(obs * obs) - sum(obs) * sum(obs) / cast(count(*) as double))".format
+_AMINO = f"substr('{g.AMINO_ACIDS}', cast((instr('TCAG', substr({{c}}, 1, 1)) - 1) * 16 + (instr('TCAG', substr({{c}}, 2, 1)) - 1) * 4 + instr('TCAG', substr({{c}}, 3, 1)) as int), 1)"
+_SUB = "concat(substr(codon, 1, place), {b}, substr(codon, place + 2))"
+_CODING = f"""with {{changes}}, ex as (select o_custkey % 5 as chrom, o_custkey as gene, o_custkey % 2 as fwd, date_diff('day', date '{v.ORIGIN}', cast(o_orderdate as date)) as s, 3 + o_orderkey % 7 as len, unnest(case when o_orderkey % 2 = 0 then [0, 1] else [0] end) as tr from orders),
+  pl as (select distinct chrom, gene, tr, fwd, unnest(range(s, s + len)) as pos from ex), ix as (select *, row_number() over (partition by gene, tr order by case when fwd = 1 then pos else -pos end) - 1 as idx from pl),
+  le as (select ix.gene, ix.tr, ix.pos, idx // 3 as cod, idx % 3 as place, case when fwd = 1 then ref else translate(ref, 'ACGT', 'TGCA') end as q, case when fwd = 1 then alt else translate(alt, 'ACGT', 'TGCA') end as t from ix join ch on ch.chrom = ix.chrom and ch.pos = ix.pos),
+  co as (select *, string_agg(q, '') over w as codon, count(*) over w as n from le window w as (partition by gene, tr, cod order by place rows between unbounded preceding and unbounded following)),
+  fi as (select *, row_number() over (partition by gene, pos order by tr) as k from co where n = 3),
+  ea as (select gene, q <> t as changed, {_AMINO.format(c='codon')} = {_AMINO.format(c=_SUB.format(b='t'))} as same, {' + '.join(f"case when q <> '{b}' and {_AMINO.format(c='codon')} = {_AMINO.format(c=_SUB.format(b=f"'{b}'"))} then 1 else 0 end" for b in 'ACGT')} as deg from fi where k = 1),
+  su as (select gene, count(*) as sites, cast(sum(deg) as bigint) as degeneracy, count(*) filter (changed and same) as syn, count(*) filter (changed and not same) as nonsyn from ea group by gene),
+  ra as (select *, case when syn > 0 then cast(syn as double) / degeneracy else 0 end as ds, case when syn > 0 then cast(nonsyn as double) / (3 * sites - degeneracy) else 0 end as dn from su)
+  select gene, sites, degeneracy, syn, nonsyn, round(ds, 6) as ds, round(dn, 6) as dn, round(case when syn > 0 then dn / ds else 0 end, 6) as dnds from ra"""
+_TIME = f"{_D(g.sweep_time(0.05, 20_000.0))}"
 ORACLE_SQL = {
+    "coding_changes": _CODING.format(changes=neutral._CHANGES),
+    "sweep_map": f"with {v.SITES}, u as (select distinct chrom, pos, pos / {_D(100)} as g from sites), c as (select *, cast(floor((g - min(g) over (partition by chrom)) / {_D(0.07)}) as bigint) as cell from u), "
+    "k as (select *, lag(cell) over w as p, lead(cell) over w as n from c window w as (partition by chrom order by g)), kept as (select * from k where p is null or n is null or p <> cell or n <> cell) "
+    f"select k.chrom, k.pos, round(coalesce(sum(exp(-abs(k.g - u.g) * {_TIME})), 0), 6) as rate from kept k left join u on u.chrom = k.chrom and u.pos % 180 = 0 group by 1, 2",
     "windows_around_sites": (
         f"with {_ON_MAP}, "
         f"e as (select chrom, pos, cast({_BACK.format(g='b.glow')} as bigint) as low, cast({_BACK.format(g='b.ghigh')} as bigint) as high from b), "
