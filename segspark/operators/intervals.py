@@ -226,11 +226,12 @@ def merge_weighted(intervals: DataFrame, width: int = WIDTH) -> DataFrame:
     return _fold(intervals, ["chrom"], True, fold, f"chrom {intervals.schema['chrom'].dataType.simpleString()}, start long, end long, value long", width)
 
 
-def without_gaps(intervals: DataFrame, lengths: DataFrame) -> DataFrame:
+def without_gaps(intervals: DataFrame, lengths: DataFrame, width: int = WIDTH) -> DataFrame:
     """After ``merge_weighted``, stretch each start to the end before it (the first to 0), and the last end to the key's length."""
-    order = Window.partitionBy("chrom").orderBy("start")
-    merged = merge_weighted(intervals).join(F.broadcast(lengths.select("chrom", "length")), "chrom")  # one row a key
-    return merged.select("chrom", F.coalesce(F.lag("end").over(order), F.lit(0)).alias("start"), F.when(F.lead("end").over(order).isNull(), F.col("length")).otherwise(F.col("end")).alias("end"), "value")
+    merged = scan.neighbour(merge_weighted(intervals, width), ["chrom"], "start", "end", "__before", width)
+    last = merged.groupBy("chrom").agg(F.max("start").alias("__last")).join(lengths.select("chrom", "length"), "chrom")
+    merged = merged.join(F.broadcast(last), "chrom")  # one row a key
+    return merged.select("chrom", F.coalesce("__before", F.lit(0)).alias("start"), F.when(F.col("start") == F.col("__last"), F.col("length")).otherwise(F.col("end")).alias("end"), "value")
 
 
 def nonredundant(genes: DataFrame, width: int = WIDTH) -> DataFrame:

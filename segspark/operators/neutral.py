@@ -32,6 +32,53 @@ def cpg_changes(sites: DataFrame, bases: DataFrame, by: list[str] = BY) -> DataF
     return rows.join(beside, [*by, "__at"]).where(F.col("__base") == wanted).drop("__at", "__base")
 
 
+def cpg_places(bases: DataFrame, by: list[str] = BY) -> DataFrame:
+    """(key, pos, base): the C and the G of every C that a G follows, from (key, pos, base), by an equi-join on the next place."""
+    letter = F.upper("base")
+    c, g = (bases.where(letter == x).select(*by, F.col("pos").alias("pos"), F.lit(x).alias("base")) for x in "CG")
+    at = c.join(g.select(*by, (F.col("pos") - 1).alias("pos")), [*by, "pos"]).select(*by, "pos").distinct()
+    return at.select(*by, F.inline(F.array(F.struct(F.col("pos"), F.lit("C").alias("base")), F.struct((F.col("pos") + 1).alias("pos"), F.lit("G").alias("base")))))
+
+
+def variable_share(places: DataFrame, variable: DataFrame, by: list[str] = BY) -> DataFrame:
+    """(key, places, share): of the distinct places (key, pos), how many are among those of ``variable``."""
+    marked = places.select(*by, "pos").distinct().join(variable.select(*by, "pos").distinct().withColumn("__hit", F.lit(1.0)), [*by, "pos"], "left")
+    return marked.groupBy(*by).agg(F.count("*").alias("places"), F.avg(F.coalesce("__hit", F.lit(0.0))).alias("share"))
+
+
+def conversion_biased(ref: Column, alt: Column) -> Column:
+    """Whether gene conversion favours one letter of a change: one of A and T against one of C and G; unknown letters: false."""
+    weak, strong = ["A", "T"], ["C", "G"]
+    a, b = F.upper(ref), F.upper(alt)
+    return F.coalesce((a.isin(weak) & b.isin(strong)) | (a.isin(strong) & b.isin(weak)), F.lit(False))
+
+
+def without_biased(sites: DataFrame, opposite: bool = False) -> DataFrame:
+    """Sites without changes that gene conversion favours (``opposite``: without those it doesn't); sites that don't vary stay."""
+    biased, varies = conversion_biased(F.col("ref"), F.col("alt")), F.coalesce(F.col("ref") != F.col("alt"), F.lit(False))
+    return sites.where(~varies | (biased if opposite else ~biased))
+
+
+def enough_data(windows: DataFrame, bases: int = 100, subs: int = 1) -> DataFrame:
+    """Windows with at least so many bases and substitutions."""
+    return windows.where((F.col("bases") >= bases) & (F.col("subs") >= subs))
+
+
+def constant_rate(segments: DataFrame, weight: str = "sites") -> DataFrame:
+    """Segments with their rates replaced by the mean rate by ``weight``."""
+    w = F.col(weight).cast("double")
+    mean = segments.agg((F.sum(F.col("nu") * w) / F.sum(w)).alias("__nu"))
+    return segments.crossJoin(F.broadcast(mean)).withColumn("nu", F.col("__nu")).drop("__nu")  # one row
+
+
+def genome_places(points: DataFrame, lengths: DataFrame, key: str = "chrom") -> DataFrame:
+    """Points with genome_pos: the place in all keys laid end to end in their order, by (key, length), a row a key."""
+    from pyspark.sql import Window
+
+    before = F.sum("length").over(Window.orderBy(key)) - F.col("length")  # one row a key
+    return points.join(F.broadcast(lengths.select(key, before.alias("__off"))), key).withColumn("genome_pos", F.col("pos") + F.col("__off")).drop("__off")
+
+
 def flagged_blocks(blocks: DataFrame, size: int, by: list[str] = BY) -> DataFrame:
     """Intervals of the blocks (key, edge, flag) with flag 1; ``edge`` is the number of the block's upper edge, in ``size``."""
     return blocks.where("flag = 1").select(*by, ((F.col("edge") - 1) * size).cast("long").alias("start"), (F.col("edge") * size).cast("long").alias("end"))

@@ -46,6 +46,11 @@ def relative_error(hits: Column, total: Column) -> Column:
     return F.sqrt(p * (1.0 - p) / total.cast("double")) / p
 
 
+def ratio_variance(x: Column, y: Column, var_x: Column, var_y: Column) -> Column:
+    """Variance of y / x for independent x and y with these means and variances, to first order."""
+    return (var_x * (y / x) * (y / x) + var_y) / (x * x)
+
+
 def r_squared(df: DataFrame, observed: str, predicted: str) -> DataFrame:
     """1 - SSres / SStot around y = x (not of a regression), the residual covariance term, and rows."""
     mean = df.agg(F.avg(observed).alias("__m"))

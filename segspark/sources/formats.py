@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segspark.operators import scan
 
 
 def _value() -> Column:
@@ -89,14 +90,17 @@ def genetic_map(lines: DataFrame, scale: float = 0.01) -> DataFrame:
     return rows.select(f[0].alias("chrom"), f[1].cast("long").alias("pos"), f[2].cast("double").alias("rate"), (f[3].cast("double") * scale).alias("gpos"))
 
 
-def without_nested(knots: DataFrame, width: int = 1 << 20) -> DataFrame:
-    """Drop map rows (chrom, gpos, start, end) whose end doesn't pass every end before it in the order of gpos; add the rate per Mb."""
-    from pyspark.sql import Window
+def without_nested(knots: DataFrame, width: float = 1.0) -> DataFrame:
+    """Drop map rows (chrom, gpos, start, end) whose end doesn't pass every end before it in the order of gpos; add the rate per Mb. Kept ends
+    are the running maximum, so two scans in buckets of ``width`` map units do without a task for a whole key."""
+    rows = scan.running_max(knots, ["chrom"], "gpos", "end", "__before", width, ["start", "end"]).where("__before is null or end > __before").drop("__before")
+    rows = scan.neighbour(rows.withColumn("__own", F.struct("gpos", "end")), ["chrom"], "gpos", "__own", "__last", width, ["start", "end"])
+    return rows.withColumn("rate", (F.col("gpos") - F.col("__last.gpos")) / (F.col("end") - F.col("__last.end")) * 1e6).drop("__own", "__last")
 
-    order = Window.partitionBy("chrom").orderBy("gpos", "start")
-    kept = knots.withColumn("__before", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))).where("__before is null or end > __before").drop("__before")
-    step = F.col("gpos") - F.lag("gpos").over(order)
-    return kept.withColumn("rate", step / (F.col("end") - F.lag("end").over(order)) * 1e6)
+
+def haplotype_means(probabilities: DataFrame, by: list[str] = ["chrom", "pos"], value: str = "prob") -> DataFrame:
+    """The mean over haplotypes of a probability a haplotype and place, with their number; nulls don't count."""
+    return probabilities.groupBy(*by).agg(F.count(value).alias("haplotypes"), F.avg(value).alias(value))
 
 
 def thinned(knots: DataFrame, resolution: int) -> DataFrame:
