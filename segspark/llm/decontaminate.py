@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
 Texts become sequences of tokens, and tokens with a type become placeholders: numbers, names (capitalised words that don't
-begin a sentence) and units. A capitalised word that begins a sentence may be a name or not, so windows that hold one are taken
+begin a sentence; a word all in capitals after another capital letter is none) and units. A capitalised word that begins a sentence may be a name or not, so windows that hold one are taken
 twice: with the word, and with a name in its place. Windows without any other word than placeholders say nothing about a question:
 they are compared by their values. Windows of the documents are hash-joined with those of the benchmark items, where they are read;
 only what met is shuffled, with the values of its slots. The windows of an item that meet a document at nearly the same place
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: Units that become placeholders. Fixed values.
 UNITS = "% $ € £ ° km m cm mm miles mile feet foot inch inches kg g mg lb lbs pounds ounces tons l ml liters litres gallons hours hour minutes minute seconds second days day weeks week months month years year dollars dollar euros euro cents percent degrees mph kmh kwh watts volts".split()
-_TOKEN = r"(?<=[\p{L}\p{N},;:)]) \p{Lu}[\p{L}'’-]*|\d(?:[\d.,]*\d)?|[\p{L}]+|[%$€£°]"
+_TOKEN = r"(?<=[\p{L}\p{N},;:)]) (?!(?<=\p{Lu} )\p{Lu}+(?!\p{L}))\p{Lu}[\p{L}'’-]*|\d(?:[\d.,]*\d)?|[\p{L}]+|[%$€£°]"
 NUMBER, NAME, UNIT = "<num>", "<name>", "<unit>"
 
 
@@ -54,6 +54,7 @@ def _probes(benchmark: DataFrame, width: int, item_col: str, text_col: str) -> t
     items = benchmark.select(F.col(item_col).alias("item"), tokens(F.col(text_col)).alias("t")).dropDuplicates().where(F.size("t") > 1)
     items = items.withColumn("tag", F.xxhash64("t")).withColumn("w", F.least(F.size("t") - 1, F.lit(width)))
     items = items.withColumn("own", F.transform("t", lambda x: F.xxhash64(canonical(x)))).withColumn("named", F.transform("t", lambda x: F.xxhash64(_named(x))))
+    items = items.withColumn("plain", F.transform("t", lambda x: F.xxhash64(canonical(F.ltrim(x)))))  # as in a copy all in capitals or without any
     items = items.withColumn("slots", F.transform("t", lambda x: canonical(x).isin(NUMBER, NAME, UNIT)))
 
     def window(i: Column) -> Column:
@@ -64,22 +65,24 @@ def _probes(benchmark: DataFrame, width: int, item_col: str, text_col: str) -> t
             return whens
 
         x = F.slice("t", i + 1, F.col("w"))
-        return F.struct(i.alias("at"), x.alias("x"), hashed("own").alias("own_h"), hashed("named").alias("named_h"), hashed("t", F.lit("raw")).alias("raw_h"), F.forall(F.slice("slots", i + 1, F.col("w")), lambda s: s).alias("raw"))
+        return F.struct(i.alias("at"), x.alias("x"), hashed("own").alias("own_h"), hashed("named").alias("named_h"), hashed("plain").alias("plain_h"), hashed("t", F.lit("raw")).alias("raw_h"), F.forall(F.slice("slots", i + 1, F.col("w")), lambda s: s).alias("raw"))
 
     found = items.select("item", "tag", "t", "w", F.inline(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("w")), window)))
     same = F.when(F.col("raw"), F.col("raw_h")).when(F.col("w") == width, F.col("named_h")).otherwise(F.col("own_h"))
     found = found.withColumn("kind", F.min("at").over(Window.partitionBy("item", "tag", same)))
     sizes = found.groupBy("item", "tag").agg(F.first("t").alias("item_tokens"), F.countDistinct("kind").alias("of"))
-    hashes = F.when(F.col("raw"), F.array("raw_h")).when(F.col("w") == width, F.array_distinct(F.array("own_h", "named_h"))).otherwise(F.array("own_h"))
+    hashes = F.when(F.col("raw"), F.array("raw_h")).when(F.col("w") == width, F.array_distinct(F.array("own_h", "named_h", "plain_h"))).otherwise(F.array_distinct(F.array("own_h", "plain_h")))
     each = found.withColumn("h", F.explode(hashes)).groupBy("item", "tag", "h").agg(F.min_by(F.struct("at", "kind", "x", "w", "raw"), "at").alias("p"))
     return each.select("item", "tag", "h", "p.*"), sizes
 
 
 def _doc_windows(rows: DataFrame, widths: list[int], width: int, raw: bool) -> DataFrame:
-    """(id, row, t, doc_at, h): windows of all wanted widths, with words as they are, with names in their place where that differs,
+    """(id, row, t, lows, doc_at, h): windows of all wanted widths, with words as they are, with names in their place where that differs,
     and by values if ``raw``. The tokens stay beside them; they are copied only for windows that meet an item."""
     name = F.xxhash64(F.lit(NAME))
     rows = rows.withColumn("own", F.transform("t", lambda x: F.xxhash64(canonical(x))))
+    # Each word in lower case once, so that a lookup is as long as the vocabulary and not as the text.
+    rows = rows.withColumn("lows", F.array_distinct(F.filter("t", lambda x: (x >= "A") & ~_first(x))))
     rows = rows.withColumn("named", F.zip_with("t", "own", lambda t, h: F.when(_first(t), name).otherwise(h)))
 
     def cut(name: str, w: int) -> list[Column]:  # elements one by one, as slice would copy the whole array for each window
@@ -91,8 +94,8 @@ def _doc_windows(rows: DataFrame, widths: list[int], width: int, raw: bool) -> D
         hashes += [F.when(F.col("doc_at") <= F.size("t") - w, h) for h in own]
     # Places are generated, and hashed and joined in the same stage of generated code, so that tokens aren't copied for each window.
     # Outer, as Spark else infers a filter on the array and makes it a second time; the join drops nulls.
-    placed = rows.select("id", "row", "t", "own", "named", F.posexplode_outer("own").alias("doc_at", "one"))
-    return placed.select("id", "row", "t", "doc_at", F.explode(F.array_distinct(F.array(*hashes))).alias("h"))
+    placed = rows.select("id", "row", "t", "lows", "own", "named", F.posexplode_outer("own").alias("doc_at", "one"))
+    return placed.select("id", "row", "t", "lows", "doc_at", F.explode(F.array_distinct(F.array(*hashes))).alias("h"))
 
 
 def _chain(runs: Column) -> Column:
@@ -137,7 +140,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 6, coverage
     def word(k: int) -> Column:
         """Whether a pair of first words are no names, as the document has one of them in lower case."""
         x, y = F.get("x", F.lit(k)), F.get("t", F.col("doc_at") + k)
-        return F.coalesce((_first(x) & F.array_contains("t", F.lower(x))) | (_first(y) & F.array_contains("t", F.lower(y))), F.lit(False))
+        return F.coalesce((_first(x) & F.array_contains("lows", F.lower(x))) | (_first(y) & F.array_contains("lows", F.lower(y))), F.lit(False))
 
     pair = ["id", "row", "item", "tag"]
     # What is kept of the document is cut out here, in generated code, before any row is stored.

@@ -7,7 +7,7 @@ import regex
 from segspark.llm import queries
 from segspark.llm.decontaminate import NAME, NUMBER, UNIT, UNITS, contaminated, without_contaminated
 
-_TOKEN = regex.compile(r"(?<=[\p{L}\p{N},;:)]) \p{Lu}[\p{L}'’-]*|\d(?:[\d.,]*\d)?|[\p{L}]+|[%$€£°]")
+_TOKEN = regex.compile(r"(?<=[\p{L}\p{N},;:)]) (?!(?<=\p{Lu} )\p{Lu}+(?!\p{L}))\p{Lu}[\p{L}'’-]*|\d(?:[\d.,]*\d)?|[\p{L}]+|[%$€£°]")
 
 
 def canonical(t):
@@ -32,13 +32,14 @@ def brute(docs, items, width=6, least=0.6, slack=16):
                 continue
             w = min(width, len(x) - 1)
             own_x, named_x = [canonical(t) for t in x], [named(t) for t in x] if w == width else [canonical(t) for t in x]
+            plain_x = [canonical(t.strip()) for t in x]
             starts = range(1, len(x) - w + 1)
             raw = {s: all(c in slot for c in own_x[s : s + w]) for s in starts}
             form = {s: ("raw", *x[s : s + w]) if raw[s] else tuple(named_x[s : s + w]) for s in starts}
             kind = {s: min(r for r in starts if form[r] == form[s]) for s in starts}
             hashes = {}
             for s in starts:
-                for h in [form[s]] if raw[s] else [tuple(own_x[s : s + w]), form[s]]:
+                for h in [form[s]] if raw[s] else [tuple(own_x[s : s + w]), form[s], tuple(plain_x[s : s + w])]:
                     hashes.setdefault(h, s)
             runs = {}
             for p in range(len(d) - w + 1):
@@ -155,3 +156,12 @@ def test_query_equals_brute_force(spark):
     likely = [(i, t) for i, t in docs if any(x[20:50] in t for _, x in items)]
     found = queries.op6_decontamination(spark, data)
     assert rows(found) == brute(likely, items) and not re.search("Python|Arrow|Pandas", found._jdf.queryExecution().toString())
+
+
+def test_capitals_and_an_item_thousands_of_times_in_one_text(spark):
+    item = "What is the capital city of the country where the river Loire and the old town of Nantes lie?"
+    docs = [(1, f"Read this. {item.upper()} Then answer."), (2, "WHAT IS THE BEST WAY TO COOK RICE FOR TWELVE PEOPLE?"), (5, item.lower()), (3, f"{item} So they ask. " * 4000), (4, "Nothing of The Kind Is Here " * 4000)]
+    began = time.time()
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == [1, 3, 5] and time.time() - began < 60
+    assert {r.doc_id: r.place for r in got}[3] <= 16
