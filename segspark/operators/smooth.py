@@ -16,13 +16,14 @@ def polynomial_weights(window: int, degree: int, derivative: int = 0) -> np.ndar
 
 
 def polynomial(series: DataFrame, window: int, degree: int, by: list[str], order: str, value: str) -> DataFrame:
-    """Smooth by polynomial windows; ends are mirrored through the end values."""
+    """Smooth by polynomial windows. Before the first value comes what follows it, as far below it as it differs; after the last what
+    precedes it, as far above."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         y, half, w = pdf[value].to_numpy(float), window // 2, polynomial_weights(window, degree)
         k = min(half, len(y) - 1)
-        head, tail = 2 * y[0] - y[1 : k + 1][::-1], 2 * y[-1] - y[-k - 1 : -1][::-1]
+        head, tail = y[0] - np.abs(y[1 : k + 1][::-1] - y[0]), y[-1] + np.abs(y[-k - 1 : -1][::-1] - y[-1])
         padded = np.pad(np.concatenate([head, y, tail]), half - k, mode="edge")
         return pdf.assign(smooth=np.correlate(padded, w, "valid"))[[*by, order, "smooth"]]
 

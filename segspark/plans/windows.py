@@ -268,6 +268,14 @@ ORACLE_SQL["leave_one_out_parameters"] = (
 )
 
 
+ORACLE_SQL["savgol_windows"] = (
+    f"with {_WIN}, y as (select chrom, win, obs, row_number() over w as k, count(*) over (partition by chrom) as n, first_value(obs) over w as a, last_value(obs) over (partition by chrom order by win rows between unbounded preceding and unbounded following) as z "
+    f"from win window w as (partition by chrom order by win)), o as (select unnest([-2, -1, 0, 1, 2]) as d, unnest([{', '.join(_D(x / 35) for x in (-3, 12, 17, 12, -3))}]) as c) "
+    "select y.chrom, y.win, round(sum(c * case when y.k + d < 1 then y.a - abs(x.obs - y.a) when y.k + d > y.n then y.z + abs(x.obs - y.z) else x.obs end), 6) as smooth "
+    "from y cross join o join y x on x.chrom = y.chrom and x.k = case when y.k + d < 1 then 2 - y.k - d when y.k + d > y.n then 2 * y.n - y.k - d else y.k + d end group by 1, 2"
+)
+
+
 def folded(rows: str, state: dict[str, tuple[str, str]]) -> str:
     """A recursive pass over ``rows`` (with chrom and k from 1): columns of the state with their first and next expression; s is the
     state before, r the row."""
