@@ -4,9 +4,12 @@ Three base patterns are searched for everywhere. Beyond them, texts are lexed as
 an assignment: ``name =``, ``name :=``, ``name:``, ``"name":``, ``x["name"] =``, ``name: type =``, ``f("name",``, ``<name>``. What
 follows a head is read as an expression: quoted strings of any length with escapes, triple-quoted ones, block scalars,
 concatenations, lists, calls and their arguments, alternatives, with comments in between; or as a bare literal. A name also
-stands for the names that enclose it, by braces, indentation or elements. ``name = other`` passes the literals of ``other`` on,
-wherever in the text they are assigned. Literals are scored by the most sensitive name that holds them and by their own make-up;
+stands for the names that enclose it, by braces, indentation, elements or the call whose named argument it is. Setters
+(``setName(...)``), option flags (``--name value``), ``name ?=`` and ``name <-`` assign as well, and ``Bearer`` and the like before
+a literal belong to its name. ``name = other`` passes the literals of ``other`` on, wherever in the text they are assigned. Literals are scored by the most sensitive name that holds them and by their own make-up;
 those that reach the threshold are spans of kind ``literal`` (one for each part of a concatenation), unless a base span covers them.
+Quoted literals with spaces count under strong names (a word of weight 3) that don't describe something (a hint, a label); a name
+within a line of prose before a colon isn't enough for them. Private keys are found by their BEGIN line, whatever holds them.
 """
 
 from __future__ import annotations
@@ -38,10 +41,13 @@ _HINTS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 KINDS = ("assign", "access", "hex", "literal")
 
 #: Weights of words in names. Fixed values of this scanner.
-SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "secrets": 3, "passwords": 3, "token": 2, "tokens": 2, "credential": 3, "credentials": 3, "apikey": 3, "auth": 2, "bearer": 2, "private": 2, "signing": 1, "encryption": 1, "access": 1, "api": 1, "client": 1, "key": 1, "salt": 1, "cookie": 1, "session": 1, "dsn": 1}
+SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "pass": 3, "pw": 3, "authorization": 2, "passphrase": 3, "secret": 3, "secrets": 3, "passwords": 3, "token": 2, "tokens": 2, "credential": 3, "credentials": 3, "apikey": 3, "auth": 2, "bearer": 2, "private": 2, "signing": 1, "encryption": 1, "access": 1, "api": 1, "client": 1, "key": 1, "salt": 1, "cookie": 1, "session": 1, "dsn": 1}
 _ANY_SENSITIVE = re.compile("|".join(SENSITIVE), re.I)  # without such a word no name has a score
+#: Words beside ``pass`` that make it another noun; words of names whose literals tell about a secret. Fixed values of this scanner.
+OTHER_PASS = {"first", "second", "third", "last", "next", "one", "two", "three", "multi", "single", "render", "band", "low", "high", "filter", "through", "test", "shader", "boarding"}
+DESCRIBING = {"hint", "prompt", "label", "message", "msg", "error", "help", "description", "desc", "title", "text", "placeholder", "url", "uri", "path", "file", "filename", "dir", "name", "policy", "rule", "rules", "type", "format", "encoding", "question", "note", "comment", "usage", "header", "doc", "algorithm", "mode"}
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
-_PLACEHOLDERS = re.compile(r"^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|none|null|true|false|changeme|example.*|your[-_].*|todo|redacted)$", re.I)
+_PLACEHOLDERS = re.compile(r"^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|\$\w+|\$\(.*\)|none|null|true|false|changeme|example.*|(?:your|enter|insert|choose)[-_ ].*|todo|redacted)$", re.I)
 
 _NAME = r"[A-Za-z_$][\w$.-]*+"
 _COMMENT = r"/\*(?:(?!\*/|/\*).)*+\*/"
@@ -53,9 +59,10 @@ for _ in range(2):
     _BRACKETS = rf"(?:<(?:{_INNER}|{_BRACKETS})*+>|\[(?:{_INNER}|{_BRACKETS})*+\])"
 _ATOM = rf"(?:&(?:'\w+[ \t]+)?)?[A-Za-z_$][\w$.]*+{_BRACKETS}*+\??"
 _TYPED = rf"[?!]?[ \t]*:[ \t]*(?P<type>{_ATOM}(?:[ \t]*\|[ \t]*{_ATOM})*+)(?:[ \t]*=(?=[ \t]*[\"'])|[ \t]+=(?=[ \t]))"
-#: A head, a brace, or an element's tag. indent: what is before a name that begins its line.
+#: A head, a setter, an option flag, a brace, or an element's tag. indent: what is before a name that begins its line.
 _HEAD = re.compile(
-    rf"""(?:^(?P<indent>[ \t]*+)(?:-[ ]|export[ ])?|(?<![\w$.-]))["']?(?P<name>{_NAME})["']?\]?(?:{_TYPED}|{_GAP}(?P<op>=>|:=|=(?!=)|:(?!:)))"""
+    rf"""(?:^(?P<indent>[ \t]*+)(?:-[ ]|export[ ])?|(?<![\w$.-]))["']?(?P<name>{_NAME})["']?\]?(?:{_TYPED}|{_GAP}(?P<op>=>|:=|\?=|<-(?!-)|=(?!=)|:(?!:)))"""
+    rf"""|(?<![\w$])(?P<setter>(?:set|with|use)(?:_|(?=[A-Z]))\w++)(?=[ \t]*\()|(?<![\w-])--(?P<flag>[A-Za-z][\w-]*+)(?:=|[ \t]++)"""
     rf"""|\([ \t]*(?P<q>["'])(?P<arg>{_NAME})(?P=q)[ \t]*,|(?P<brace>[{{}}])|<(?P<close>/?)(?P<tag>[A-Za-z_][\w.-]*+)(?:[ \t][^<>]*+)?>""",
     re.M | re.S,
 )
@@ -64,6 +71,11 @@ _WHITE = re.compile(rf"(?:\s|\\\r?\n|{_COMMENT})*+", re.S)
 _LINE_COMMENT = re.compile(r"(?://|#)[^\n]*+\n")
 _QUOTED = re.compile(r"""[rRbBuUfF]{0,2}(?:(?P<t>\"{3}|'{3})|(?P<q>["'])(?P<body>(?:(?!(?P=q))[^\\\n]|\\.)*+)(?P=q)|`(?P<back>[^`]*+)`)""", re.S)
 _CALL = re.compile(r"(?:(?:new|await)[ \t]+)?[A-Za-z_$][\w$.]*+[(\[]|[(\[]")
+_ARGUMENT = re.compile(r"(?P<named>[A-Za-z_]\w*+)[ \t]*=[ \t]*(?=[\"'`A-Za-z_(\[])")
+_SCHEME = re.compile(r"(?:[Bb]earer|[Bb]asic|[Tt]oken)[ \t]++(?=[A-Za-z0-9+/_.=~-]{6})")
+_KEY_LINE = re.compile(r"-----(BEGIN|END) (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
+_KEY_RUN = re.compile(r"[A-Za-z0-9+/=]{32}")
+_KEY_REST = re.compile(r"(?:(?:\s|\\[rn])*+[A-Za-z0-9+/=]{16,}+)*+")
 _BARE = re.compile(r"[A-Za-z0-9+/_.=$~-]++")
 _LINE_VALUE = re.compile(r"[^\s\"'`]\S*+")
 _JOIN = re.compile(r"\+|\.(?=[ \t]*[\"'])|&(?!&)")
@@ -86,7 +98,27 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 @lru_cache(maxsize=4096)
 def name_score(name: str) -> int:
-    return sum(SENSITIVE.get(w, 0) for w in {w.lower() for w in _WORDS.findall(name)})
+    words = {w.lower() for w in _WORDS.findall(name)}
+    if "pass" in words and words & OTHER_PASS:
+        words.discard("pass")
+    return sum(SENSITIVE.get(w, 0) for w in words)
+
+
+@lru_cache(maxsize=4096)
+def _describes(name: str) -> bool:
+    return any(w.lower() in DESCRIBING for w in _WORDS.findall(name))
+
+
+def key_spans(text: str) -> list[tuple[int, int, str]]:
+    """Private keys: from a BEGIN line to the END line after it, or to the end of the encoded lines where none follows."""
+    marks = list(_KEY_LINE.finditer(text))
+    found = []
+    for m, after in zip(marks, [*marks[1:], None]):
+        if m[1] == "BEGIN":
+            end = after.end() if after and after[1] == "END" else _KEY_REST.match(text, m.end()).end()
+            if _KEY_RUN.search(text, m.end(), end):
+                found.append((m.start(), end, "literal"))
+    return found
 
 
 def literal_score(literal: str) -> float:
@@ -111,9 +143,11 @@ def _over_lines(text: str, at: int, known: dict[int, int]) -> int:
     return at
 
 
-def _expression(text: str, at: int, known: dict[int, int], calls: bool = True) -> list[list[tuple[int, int, bool]]]:
-    """Operands of the expression at ``at``: each a list of joined parts (start, end, quoted). ``calls``: look into calls and lists."""
-    found, parts, depth, wanted = [], [], 0, True
+def _expression(text: str, at: int, known: dict[int, int], calls: bool = True) -> tuple[list[list[tuple[int, int, bool]]], int]:
+    """Operands of the expression at ``at``, each a list of joined parts (start, end, quoted), and where it ends. ``calls``: look into
+    calls and lists; their named arguments are operands (to 32 calls deep, so that nested ones aren't read over and over), but not those
+    whose names describe something."""
+    found, parts, depth, wanted, told = [], [], 0, True, False
     while True:
         at = _over_lines(text, at, known) if depth or wanted and parts else _SPACES.match(text, at).end()
         if wanted:
@@ -127,6 +161,9 @@ def _expression(text: str, at: int, known: dict[int, int], calls: bool = True) -
                 else:
                     parts.append((*(m.span("body") if m["q"] else m.span("back")), True))
                     at = m.end()
+            elif 0 < depth <= 32 and (m := _ARGUMENT.match(text, at)):
+                told, at = _describes(m["named"]), m.end()
+                continue
             elif calls and (m := _CALL.match(text, at)):
                 depth, at = depth + 1, m.end()
                 continue
@@ -143,13 +180,13 @@ def _expression(text: str, at: int, known: dict[int, int], calls: bool = True) -
         elif depth and text[at : at + 1] in ('"', "'") and parts and parts[-1][2]:
             wanted = True  # strings side by side are one
         elif (m := _OR.match(text, at)) or depth and text[at : at + 1] == ",":
-            found.append(parts)
-            parts, wanted, at = [], True, m.end() if m else at + 1
+            found.append([] if told else parts)
+            parts, wanted, told, at = [], True, told and bool(m), m.end() if m else at + 1
         elif depth and text[at : at + 1] in (")", "]"):
             depth, at = depth - 1, at + 1
         else:
             break
-    return [*found, parts]
+    return [*found, [] if told else parts], at
 
 
 def _block(text: str, at: int, indent: int) -> list[tuple[int, int, bool]]:
@@ -168,9 +205,9 @@ def _block(text: str, at: int, indent: int) -> list[tuple[int, int, bool]]:
     return parts
 
 
-def _assignments(text: str) -> Iterator[tuple[str, int, list[list[tuple[int, int, bool]]]]]:
-    """(name, score of the names that enclose it, operands) of every assignment in the text."""
-    braces, lines, tags, awaited, known, bare_end, seen = [], [], [], None, {}, 0, 0
+def _assignments(text: str) -> Iterator[tuple[str, int, list[list[tuple[int, int, bool]]], bool]]:
+    """(name, score of the names that enclose it, operands, whether it may be prose) of every assignment in the text."""
+    braces, lines, tags, awaited, known, bare_end, seen, set_end = [], [], [], None, {}, 0, 0, 0
     for m in _HEAD.finditer(text):
         if m.end() < bare_end:
             continue  # within a bare literal
@@ -180,6 +217,17 @@ def _assignments(text: str) -> Iterator[tuple[str, int, list[list[tuple[int, int
             elif braces:
                 braces.pop()
             continue
+        if m["setter"]:
+            if m.start() >= set_end and name_score(m["setter"]):
+                operands, set_end = _expression(text, m.end(), known)
+                yield m["setter"], 0, operands, False
+            continue
+        if m["flag"]:
+            if (value := _QUOTED.match(text, m.end())) and value["q"]:
+                yield m["flag"], 0, [[(*value.span("body"), True)]], False
+            elif (value := _LINE_VALUE.match(text, m.end())) and value[0][0] != "-":
+                yield m["flag"], 0, [[(*value.span(), False)]], False
+            continue
         if m["tag"]:
             if not m["close"] and not m[0].endswith("/>"):
                 tags.append((m["tag"], m.end(), max(name_score(m["tag"]), tags[-1][2] if tags else 0)))
@@ -188,7 +236,7 @@ def _assignments(text: str) -> Iterator[tuple[str, int, list[list[tuple[int, int
                 inner = text[start : m.start()]
                 if "<" not in inner and inner.strip():
                     start += len(inner) - len(inner.lstrip())
-                    yield name, tags[-1][2] if tags else 0, [[(start, start + len(inner.strip()), True)]]
+                    yield name, tags[-1][2] if tags else 0, [[(start, start + len(inner.strip()), True)]], False
             continue
         name, at = m["name"] or m["arg"], m.end()
         around = max(braces[-1] if braces else 0, tags[-1][2] if tags else 0)
@@ -208,38 +256,45 @@ def _assignments(text: str) -> Iterator[tuple[str, int, list[list[tuple[int, int
                 seen = after
                 continue
             if m["op"] == ":" and (block := _BLOCK.match(text, after)):
-                yield name, around, [_block(text, block.end(), len(m["indent"]))]
+                yield name, around, [_block(text, block.end(), len(m["indent"]))], False
                 continue
             if m["op"] == "=" and after == at == m.start("op") + 1 and text[m.start("op") - 1] not in " \t/" and (bare := _LINE_VALUE.match(text, at)):
                 bare_end = max(bare_end, bare.end())
-                yield name, around, [[(*bare.span(), False)]]  # NAME=value to the end of the word
+                yield name, around, [[(*bare.span(), False)]], False  # NAME=value to the end of the word
         if text[after : after + 1] == "{":
             awaited = after, max(name_score(name), around)
             continue
         if m["type"] and any(c.isdigit() for c in m["type"]):  # what looks like a type may be a literal: name: literal = ...
-            yield name, around, [[(*m.span("type"), False)]]
-        operands = _expression(text, at, known, calls=not m["arg"])
+            yield name, around, [[(*m.span("type"), False)]], False
+        if scheme := _SCHEME.match(text, after):
+            at, around = scheme.end(), max(around, name_score(name) + 1)
+        operands, _ = _expression(text, at, known, calls=not m["arg"])
         bare_end = max([bare_end, *(end for parts in operands for _, end, quoted in parts if not quoted)])
-        yield name, around, operands
+        yield name, around, operands, m["op"] == ":" and m["indent"] is None and text[m.start("op") - 1] not in "\"'"
 
 
 def _plain(name: str) -> str:
     return name.removeprefix("self.").removeprefix("this.")
 
 
+def _covered(keys: list[tuple[int, int, str]], start: int, end: int) -> bool:
+    k = bisect_right(keys, (start, float("inf"))) - 1
+    return k >= 0 and keys[k][1] >= end
+
+
 def lexed_spans(text: str, threshold: float = 4.0) -> list[tuple[int, int, str]]:
     """(start, end, "literal") of the literals whose names and make-up reach the threshold."""
     if not _ANY_SENSITIVE.search(text):
         return []
-    literals: list[tuple[str, int, list[tuple[int, int, bool]]]] = []
+    literals: list[tuple[str, int, list[tuple[int, int, bool]], bool]] = []
     scores: dict[str, int] = {}
-    for name, around, operands in _assignments(text):
+    for name, around, operands, prose in _assignments(text):
         name = _plain(name)
         scores[name] = max(scores.get(name, 0), name_score(name))
-        literals += [(name, around, parts) for parts in operands if parts]
+        literals += [(name, around, parts, prose) for parts in operands if parts]
     # An operand that is a name of this text passes on what that name holds: its score is at least that of the name it is assigned to.
     users = defaultdict(list)
-    for name, around, parts in literals:
+    for name, around, parts, _ in literals:
         for start, end, quoted in parts:
             if not quoted and _IDENTIFIER.match(text[start:end]) and _plain(text[start:end]) in scores:
                 users[_plain(text[start:end])].append((name, around))
@@ -260,14 +315,24 @@ def lexed_spans(text: str, threshold: float = 4.0) -> list[tuple[int, int, str]]
                 done.add(n)
                 best[n] = max(best[n], s)
                 waiting += sources.get(n, ())
-    found = set()
-    for name, around, parts in literals:
-        if max(best[name], around) < 2:
+    found = set(key_spans(text))
+    keys = sorted(found)
+    for name, around, parts, prose in literals:
+        score = max(best[name], around)
+        if score < 2:
             continue
         own = [(a, b) for a, b, quoted in parts if quoted or not (_IDENTIFIER.match(text[a:b]) and _plain(text[a:b]) in scores)]
+        if own and parts[0][2] and (scheme := _SCHEME.match(text, *own[0])):
+            own[0], score = (scheme.end(), own[0][1]), score + 1
         literal = "".join(text[a:b] for a, b in own)
-        if len(literal) >= 6 and " " not in literal and not _PLACEHOLDERS.match(literal) and max(best[name], around) + literal_score(literal) >= threshold:
-            found.update((a, b, "literal") for a, b in own if b > a)
+        if len(literal) < 6 or _PLACEHOLDERS.match(literal):
+            continue
+        if any(c.isspace() for c in literal):
+            sure = score >= 3 and not prose and all(quoted for _, _, quoted in parts) and not _describes(name)
+        else:
+            sure = score + literal_score(literal) >= threshold
+        if sure:
+            found.update((a, b, "literal") for a, b in own if b > a and not _covered(keys, a, b))
     return sorted(found)
 
 
