@@ -4,16 +4,21 @@ Templates are winnowed once: of every ``window`` consecutive hashes of ``gram``
 kept, in an inverted index from hash to (template, place). Texts are winnowed the same way, so any run of at least
 gram + window - 1 words that a text shares with a template shares a fingerprint. Hits that lie near one diagonal of a text
 and a template are one candidate, which is aligned word by word within a band around its diagonals. Alignments of one template
-that follow each other are one match, so that text put in between doesn't hide a license. Words of a template that decide
-which license it is (name, version, variant) must all match.
+that follow each other are one match, so that text put in between doesn't hide a license, unless it names another license. Words
+of a template that decide which license it is (name, version, variant) must all match.
+
+Names ("MIT License", "GPL v3", "2-clause BSD", identifiers) are too short to winnow: their words are the keys of a second index, of
+single words. A name is read with its version and with "or later", "only" or "with ... exception" after it, and it says which
+license a matched line names. Each of several names ("A or B") is a match of its own.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +34,7 @@ TEXTS = {
     "Apache-2.0-grants": """Grant of {Copyright} License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form. 3. Grant of {Patent} License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable (except as stated in this section) patent license to make, have made, use, offer to sell, sell, import, and otherwise transfer the Work, where such license applies only to those patent claims licensable by such Contributor that are necessarily infringed by their Contribution(s) alone or by combination of their Contribution(s) with the Work to which such Contribution(s) was submitted.""",
     "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. """ + (DISCLAIMER := """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
     "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. """ + (ENDORSE := """{Neither the name} of the copyright holder nor the names of its contributors may be used to {endorse} or promote products derived from this software without specific prior written permission.""") + " " + DISCLAIMER,
+    "BSD-4-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. All {advertising} materials mentioning features or use of this software must display the following {acknowledgement}: This product includes software developed by the copyright holder. 4. """ + ENDORSE + " " + DISCLAIMER,
     "BSD-conditions": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
     "BSD-3-Clause-addition": ENDORSE,
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
@@ -77,6 +83,18 @@ TEMPLATES = _templates()
 #: Words that turn a statement about a license into its opposite, and words that name licenses and variants. Fixed values.
 NEGATIONS = {"not", "never", "no", "isn", "aren", "wasn", "without", "neither", "nor", "unless", "instead"}
 VARIANTS = {"nc", "nd", "sa", "lesser", "affero", "library", "noncommercial", "noderivatives", "sharealike", "except", "only"}
+#: Negations that reach over a whole sentence; the others reach four words. Fixed values.
+FAR_NEGATIONS = {"not", "never", "isn", "aren", "wasn", "weren", "doesn", "don", "neither", "nor"}
+#: Versions of named licenses, the clauses that words before "BSD" mean, and words after which a short name is a license. Fixed values.
+VERSIONS = {"GPL": ("1.0", "2.0", "3.0"), "LGPL": ("2.0", "2.1", "3.0"), "AGPL": ("1.0", "2.0", "3.0"), "Apache": ("1.0", "1.1", "2.0"), "MPL": ("1.0", "1.1", "2.0")}
+CLAUSES = {"simplified": "2", "new": "3", "modified": "3", "revised": "3", "original": "4", "2": "2", "3": "3", "4": "4", "two": "2", "three": "3", "four": "4"}
+BEFORE_NAMES = {"under", "license", "licence", "licenses", "identifier"}
+SHORT_NAMES = {"mit": "MIT", "isc": "ISC", "zlib": "Zlib"}
+_LICENSE = {"license", "licence", "licenses"}
+_GNU = re.compile(r"([al]?)gpl(?:v?(\d))?$")
+_NUMBER = re.compile(r"v?(\d+)$")
+_NEAR = re.compile(r"[\s,(–-]*$")
+_SENTENCE = re.compile(r"[.!?](?=\s)|\n[ \t\r]*\n")
 _WORD = re.compile(r"[^\W_]+")
 _SHIFT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -203,8 +221,9 @@ def aligned(template: list[str], words: list[str], low: int, high: int) -> tuple
     return matched[::-1], start, end
 
 
-def _chains(found: list[tuple[list[int], int, int]], longest: int) -> Iterator[list[tuple[list[int], int, int]]]:
-    """Alignments of one template that follow each other in text and template, not more than ``longest`` words apart."""
+def _chains(found: list[tuple[list[int], int, int]], longest: int, joins: Callable[[int, int], bool] | None = None) -> Iterator[list[tuple[list[int], int, int]]]:
+    """Alignments of one template that follow each other in text and template, not more than ``longest`` words apart, where
+    ``joins`` allows the words from one's end to the other's start between them."""
     open_: list[list[tuple[list[int], int, int]]] = []
     for f in sorted(found, key=lambda f: (f[1], f[2])):
         held = []
@@ -215,7 +234,7 @@ def _chains(found: list[tuple[list[int], int, int]], longest: int) -> Iterator[l
                 held.append(c)
         open_ = held
         for c in open_:
-            if c[-1][2] <= f[1] and c[-1][0][-1] < f[0][0]:
+            if c[-1][2] <= f[1] and c[-1][0][-1] < f[0][0] and (joins is None or joins(c[-1][2], f[1])):
                 c.append(f)
                 break
         else:
@@ -223,50 +242,205 @@ def _chains(found: list[tuple[list[int], int, int]], longest: int) -> Iterator[l
     yield from open_
 
 
-def matches(text: str | None, index: Index, coverage: float, band: int) -> list[tuple[str, float, int, int, int, str]]:
+class _Names:
+    """Names of licenses in a text: list of (license, nearest, first word, end word), by place; license is "unknown" for versions
+    and clauses that don't exist, and for licenses with an exception."""
+
+    #: Words that begin names. Fixed values.
+    KEYS = {"mit", "isc", "zlib", "unlicense", "bsd", "apache", "mozilla", "mpl", "gnu", "gpl", "lgpl", "agpl", "cc0", "cc"}
+
+    def __init__(self, text: str, spans: list[tuple[int, int]], words: list[str]):
+        self.text, self.spans, self.words, self.found = text, spans, words, []
+        for i, w in enumerate(words):
+            if (w in self.KEYS or "gpl" in w and _GNU.match(w)) and not (self.found and i < self.found[-1][3]):
+                if name := self._read(i):
+                    self.found.append(name)
+
+    def _gap(self, k: int) -> str:
+        """What is between word k and the next one, or the end of the text."""
+        return self.text[self.spans[k][1] : self.spans[k + 1][0] if k + 1 < len(self.words) else None]
+
+    def _next(self, end: int, wanted: set[str]) -> int:
+        """``end``, or one more if the word there is among the wanted and no sentence lies between."""
+        return end + 1 if end < len(self.words) and self.words[end] in wanted and _NEAR.match(self._gap(end - 1)) else end
+
+    def _version(self, end: int) -> tuple[str | None, int]:
+        """The version that follows, as major.minor, and the end of it."""
+        at = self._next(end, {"version", "v", "ver", "versions"})
+        if at < len(self.words) and (m := _NUMBER.match(self.words[at])) and (_NEAR.match(self._gap(at - 1)) or at > end and self.words[at - 1] != "version"):
+            if at + 1 < len(self.words) and self._gap(at) == "." and self.words[at + 1].isdigit():
+                return f"{int(m[1])}.{int(self.words[at + 1])}", at + 2
+            return f"{int(m[1])}.0", at + 1
+        return None, end
+
+    def _read(self, i: int) -> tuple[str, str, int, int] | None:
+        words, w, start = self.words, self.words[i], i
+        direct = i > 0 and (words[i - 1] in BEFORE_NAMES or i > 1 and words[i - 1] == "the" and words[i - 2] in BEFORE_NAMES)
+        direct = direct or bool(self.found) and self.found[-1][3] >= i - 2 and words[self.found[-1][3] : i] in (["or"], ["and"], ["or", "the"], ["and", "the"])
+        if w in SHORT_NAMES:
+            end = self._next(i + 1, _LICENSE)
+            return (SHORT_NAMES[w], SHORT_NAMES[w], i, end) if end > i + 1 or direct else None
+        if w == "unlicense":
+            return ("Unlicense", "Unlicense", i, self._next(i + 1, _LICENSE)) if direct or self._next(i + 1, _LICENSE) > i + 1 else None
+        if w == "cc0":
+            version, end = self._version(i + 1)
+            return ("CC0-1.0" if version in (None, "1.0") else "unknown", "CC0-1.0", i, end) if version or direct else None
+        if w == "cc":
+            end = i + 1
+            while (more := self._next(end, {"by", "nc", "nd", "sa"})) > end:
+                end = more
+            short = "-".join(words[i + 1 : end]).upper()
+            version, after = self._version(end)
+            known = short in CREATIVE and version in ("1.0", "2.0", "2.5", "3.0", "4.0")
+            return (f"CC-{short}-{version}" if known else "unknown", f"CC-{short}-{version if known else '4.0'}", i, after) if version and short else None
+        if w == "bsd":
+            clauses, end = None, i + 1
+            if i > 1 and words[i - 1] in ("clause", "clauses") and _NEAR.match(self._gap(i - 1)):
+                clauses, start = words[i - 2], i - 2
+            elif i and words[i - 1] in CLAUSES and not words[i - 1].isdigit():
+                clauses, start = words[i - 1], i - 1
+            elif i + 2 < len(words) and words[i + 2] in ("clause", "clauses") and _NEAR.match(self._gap(i)):
+                clauses, end = words[i + 1], i + 3
+            full = self._next(end, _LICENSE)
+            if clauses is None:
+                return ("BSD", "BSD", i, full) if full > end or direct else None
+            name = f"BSD-{CLAUSES[clauses]}-Clause" if clauses in CLAUSES else "unknown"
+            return name, name if name != "unknown" else "BSD", start, full
+        version, end, plain = None, i + 1, False
+        if w == "gnu":
+            kind = {"lesser": "LGPL", "library": "LGPL", "affero": "AGPL"}.get(words[i + 1] if i + 1 < len(words) else "")
+            end = i + 2 if kind else i + 1
+            if words[end : end + 2] != ["general", "public"]:
+                return None
+            family, end, plain = kind or "GPL", self._next(end + 2, _LICENSE), True
+            end = self._next(end, {"gpl", "lgpl", "agpl"})
+        elif w == "mozilla":
+            if words[i + 1 : i + 2] != ["public"]:
+                return None
+            family, end, plain = "MPL", self._next(i + 2, _LICENSE), True
+        elif w in ("apache", "mpl"):
+            family, end = ("Apache" if w == "apache" else "MPL"), self._next(self._next(i + 1, {"software"}), _LICENSE)
+            plain = words[end - 1] in _LICENSE
+        else:
+            m = _GNU.match(w)
+            family, version = f"{m[1].upper()}GPL", m[2]
+            if version:  # as in gplv2, lgplv2.1
+                if end < len(words) and self._gap(i) == "." and words[end].isdigit():
+                    version, end = f"{version}.{int(words[end])}", end + 1
+                else:
+                    version += ".0"
+        if not version:
+            version, end = self._version(self._next(end, _LICENSE))
+        if not (version or plain or direct or words[end - 1] in _LICENSE):
+            return None
+        nearest = f"{family}-{VERSIONS[family][-1]}"
+        if not version:
+            return family, nearest, start, self._next(end, _LICENSE)
+        name = f"{family}-{version}" if version in VERSIONS[family] else "unknown"
+        if "GPL" in family:
+            name, end = self._suffix(name, end)
+        return name, nearest if name == "unknown" else f"{family}-{version}", start, self._next(end, _LICENSE)
+
+    def _suffix(self, name: str, end: int) -> tuple[str, int]:
+        words, after = self.words, self.words[end : end + 7]
+        if after[:1] == ["with"] and "exception" in after:
+            return "unknown", end + after.index("exception") + 1
+        if self._gap(end - 1)[:1] == "+":
+            return (f"{name}-or-later" if name != "unknown" else name), end
+        if end < len(words) and re.match(r"[\s,(–-]*$", self._gap(end - 1)):
+            if after[0] == "only":
+                return (f"{name}-only" if name != "unknown" else name), end + 1
+            if after[0] in ("or", "and"):
+                for k, w in enumerate(after[1:], 1):
+                    if w in ("later", "newer", "higher"):
+                        return (f"{name}-or-later" if name != "unknown" else name), self._next(end + k + 1, {"version"})
+                    if w not in ("any", "at", "your", "option"):
+                        break
+        return name, end
+
+
+def _negated(text: str, spans: list[tuple[int, int]], words: list[str], places: list[int]) -> list[bool]:
+    """For each word place whether its sentence has a negation before it ("not only" is none), or one stands up to four words before."""
+    far = [0, *accumulate(w in FAR_NEGATIONS and words[k + 1 : k + 2] != ["only"] for k, w in enumerate(words))]
+    breaks, starts = [m.end() for m in _SENTENCE.finditer(text)], [a for a, _ in spans]
+    found = []
+    for p in places:
+        k = bisect_right(breaks, starts[p])
+        first = bisect_left(starts, breaks[k - 1]) if k else 0
+        close = {w for j, w in enumerate(words[max(first, p - 4) : p], max(first, p - 4)) if words[j : j + 2] != ["not", "only"]}
+        found.append(far[p] > far[first] or bool(NEGATIONS & close))
+    return found
+
+
+def matches(text: str | None, index: Index, coverage: float, band: int, named: bool = True) -> list[tuple[str, float, int, int, int, str]]:
     """(license, coverage, matched words, start, end, nearest) in code points, end exclusive, by start.
 
     nearest is the template's license; license is the same, or "unknown" where a decisive word isn't matched, or a word that names
-    a variant or negates stands within the matched words or a negation up to four words before them. Of overlapping spans a known
-    license goes before an unknown one, then the one with most matched words, then of the template that they cover most, then the first.
+    a variant or negates stands within the matched words, a negation up to four words before them, or before a name in its sentence.
+    A line says the license whose name is in it, with its version; where it holds several names each is a match instead. Names outside
+    of other matches have coverage 1. Of overlapping spans a known license goes before an unknown one, then the one with most matched
+    words, then of the template that they cover most, then the first; names go last.
     """
     if not text:
         return []
     low = text.lower()
-    words = _WORD.findall(low)
+    shown = low if len(low) == len(text) else text
+    spans = [m.span() for m in _WORD.finditer(shown)]
+    words = [low[a:b] for a, b in spans] if shown is low else _WORD.findall(low)
+    if len(spans) != len(words):  # lower case made other words; places are those of the lowered text
+        shown, spans = low, [m.span() for m in _WORD.finditer(low)]
     by = defaultdict(list)
+    held = defaultdict(list)
     for template, least, most, _, _ in index.candidates(words, band):
         near = min(band, len(index.words[template]) // 2)
-        places, a, b = aligned(index.words[template], words, least - near, most + near)
-        if places:
-            by[template].append((places, a, b))
-    found = []
+        held[template].append((least - near, most + near))
+    for template, diagonals in held.items():
+        own = index.words[template]
+        within = set().union(*(words[max(0, low_) : high + len(own)] for low_, high in diagonals))  # all that an alignment can match
+        if sum(w in within for w in own) < coverage * len(own):
+            continue
+        for low_, high in diagonals:
+            places, a, b = aligned(own, words, low_, high)
+            if places:
+                by[template].append((places, a, b))
+    names = _Names(shown, spans, words).found if named else []
+    negated = _negated(shown, spans, words, [n[2] for n in names]) if names else []
+    firsts, name_words = [n[2] for n in names], {words[n[2]] for n in names}
+    found = []  # (is a name, isn't known, license, nearest, words of the template, matched words, first and end word, order)
     for template, parts in by.items():
         own = index.words[template]
-        for chain in _chains(parts, len(own)):
+        line = len(own) <= 16
+        for chain in _chains(parts, len(own), None if line else lambda a, b: not (bisect_left(firsts, b) > bisect_left(firsts, a))):
             places = {p for part in chain for p in part[0]}
             if len(places) < coverage * len(own):
                 continue
             a, b = chain[0][1], chain[-1][2]
             inner = {w for _, x, y in chain for w in words[x:y]} - set(own)
             known = places.issuperset(index.decisive[template]) and not inner & (NEGATIONS | VARIANTS) and not NEGATIONS & set(words[max(0, a - 4) : a])
-            if known and len(own) <= 16:  # a short line's name ends where it says: no other version or variant may follow
-                after = words[b : b + 2]
-                known = not (after and (after[0] in VARIANTS or after[0].isdigit() and own[-1].isdigit()))
-            found.append((not known, template, len(places), a, b))
-    if not found:
-        return []
-    kept: list[tuple[int, int, int, int, bool]] = []
+            license_, nearest = index.names[template], index.names[template]
+            if line:  # a short line's name ends where it says: no other version or variant may follow
+                held = range(bisect_left(firsts, a), bisect_left(firsts, b))
+                if len(held) > 1 or inner & name_words:
+                    continue  # the names are matches of their own
+                if held:
+                    k = held[0]
+                    if names[k][0] != "unknown":
+                        license_ = names[k][0]
+                    known, nearest, b = names[k][0] != "unknown" and not negated[k] and not inner & NEGATIONS, names[k][1], max(b, names[k][3])
+                else:
+                    after = words[b : b + 2]
+                    known = known and not (after and (after[0] in VARIANTS or after[0].isdigit() and own[-1].isdigit()))
+            found.append((False, not known, license_ if known else "unknown", nearest, len(own), len(places), a, b, template))
+    found += [(True, n or name == "unknown", "unknown" if n else name, nearest, b - a, b - a, a, b, 0) for (name, nearest, a, b), n in zip(names, negated)]
+    kept: list[tuple] = []
     starts: list[int] = []
-    for unknown, template, n, a, b in sorted(found, key=lambda f: (f[0], -f[2], len(index.words[f[1]]), f[3], f[1])):
+    for f in sorted(found, key=lambda f: (f[0], f[1], -f[5], f[4], f[6], f[8])):
+        a, b = f[6:8]
         k = bisect_right(starts, a)
-        if (not k or kept[k - 1][3] <= a) and (k == len(kept) or kept[k][2] >= b):
+        if (not k or kept[k - 1][7] <= a) and (k == len(kept) or kept[k][6] >= b):
             starts.insert(k, a)
-            kept.insert(k, (template, n, a, b, unknown))
-    spans = [m.span() for m in _WORD.finditer(low if len(low) == len(text) else text)]
-    if len(spans) != len(words):  # lower case made other words; places are those of the lowered text
-        spans = [m.span() for m in _WORD.finditer(low)]
-    return [("unknown" if unknown else index.names[k], n / len(index.words[k]), n, spans[a][0], spans[b - 1][1], index.names[k]) for k, n, a, b, unknown in kept]
+            kept.insert(k, f)
+    return [(license_, n / size, n, spans[a][0], spans[b - 1][1], nearest) for _, _, license_, nearest, size, n, a, b, _ in kept]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.8, gram: int = 3, window: int = 2, band: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,7 +448,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
 
     coverage: the share of the template's words that the alignments matched, at least the parameter. start and end: code points
     in the text, end exclusive. license is "unknown" where the words that decide are others than those of ``nearest``, or negated.
-    ``templates``: texts by license, decisive words in braces. Null and empty texts match nothing; ids may be null or repeated
+    ``templates``: texts by license, decisive words in braces, in place of the library's and of the names that it reads. Null and empty texts match nothing; ids may be null or repeated
     (each row reports its own); other columns are left out. Templates of fewer than ``gram`` words are never found.
     """
     fixed = templates if templates is not None else TEMPLATES
@@ -282,7 +456,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(fixed, gram, window)
         for batch in slices(batches):
-            found = [(i, m) for i, t in enumerate(batch.column(1).to_pylist()) for m in matches(t, index, coverage, band)]
+            found = [(i, m) for i, t in enumerate(batch.column(1).to_pylist()) for m in matches(t, index, coverage, band, named=templates is None)]
             kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             columns = [pa.array([m[k] for _, m in found], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _ in found], pa.int64())), *columns], ["id", "license", "coverage", "matched", "start", "end", "nearest"])

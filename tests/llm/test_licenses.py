@@ -78,6 +78,33 @@ def test_words_that_decide():
     assert {t: found(t) for t in right} == {t: {k} for t, k in right.items()}
 
 
+def test_names_versions_and_negations():
+    index = Index(TEMPLATES, 3, 2)
+    right = {  # texts and (license, what is marked); each beside its near miss
+        "dual licensed under the MIT License or the Apache License, Version 2.0.": [("MIT", "licensed under the MIT License"), ("Apache-2.0", "Apache License, Version 2.0")],
+        "SPDX-License-Identifier: MIT OR Apache-2.0": [("MIT", "MIT"), ("Apache-2.0", "Apache-2.0")], "SPDX-License-Identifier: MIT": [("MIT", "MIT")], "MIT License": [("MIT", "MIT License")],
+        "BSD 4-Clause License": [("BSD-4-Clause", "BSD 4-Clause License")], "the 2-clause BSD license": [("BSD-2-Clause", "2-clause BSD license")], "BSD 5-Clause License": [("unknown", "BSD 5-Clause License")],
+        "GNU General Public License v3.0": [("GPL-3.0", "GNU General Public License v3.0")], "the GPL, version 2. 0 errors": [("GPL-2.0", "GPL, version 2")], "Released under the GPL-3.0 license.": [("GPL-3.0", "GPL-3.0 license")],
+        "licensed under the GNU General Public License, version 3 or later": [("GPL-3.0-or-later", "licensed under the GNU General Public License, version 3 or later")], "GPLv2+": [("GPL-2.0-or-later", "GPLv2")], "GPLv2": [("GPL-2.0", "GPLv2")],
+        "lgplv2.1 only": [("LGPL-2.1-only", "lgplv2.1 only")], "GPL-2.0 with Classpath exception": [("unknown", "GPL-2.0 with Classpath exception")], "Apache License, Version 1.1": [("Apache-1.1", "Apache License, Version 1.1")], "Apache License, Version 7.1": [("unknown", "Apache License, Version 7.1")],
+        "We do not use any code that is licensed under the MIT License": [("unknown", "licensed under the MIT License")], "We do not know. It is licensed under the MIT License": [("MIT", "licensed under the MIT License")], "not only licensed under the MIT License": [("MIT", "licensed under the MIT License")],
+        "This comes with no warranty of a kind and is released under the MIT License": [("MIT", "released under the MIT License")], "They went to MIT, used Apache Spark and a zlib stream.": [], "": [],
+    }
+    for text, want in right.items():
+        assert [(m[0], text[m[3] : m[4]]) for m in matches(text, index, 0.8, 8)] == want, text
+    four = plain("BSD-4-Clause")
+    assert [m[0] for m in matches(four, index, 0.8, 8)] == ["BSD-4-Clause"] and [m[0] for m in matches(plain("BSD-3-Clause"), index, 0.8, 8)] == ["BSD-3-Clause"]
+    both = f"{plain('MIT')}\n\n{plain('ISC')}\n{plain('Zlib')}"
+    assert [m[0] for m in matches(both, index, 0.8, 8)] == ["MIT", "ISC", "Zlib"]
+
+
+def test_long_texts_of_licenses_and_names():
+    index = Index(TEMPLATES, 3, 2)
+    start = time.perf_counter()
+    assert len(matches((plain("MIT") + "\n") * 300, index, 0.8, 8)) == 300
+    assert len(matches("not MIT License or GPL version " * 20_000, index, 0.8, 8)) == 40_000 and time.perf_counter() - start < 20
+
+
 def test_repeated_lines_take_linear_time():
     index = Index(TEMPLATES, 3, 2)
     start = time.perf_counter()
