@@ -11,7 +11,7 @@ from segspark.operators import neutral as n
 from segspark.operators import stats
 from segspark.plans import neutral
 from segspark.plans import views as v
-from segspark.sources import formats
+from segspark.sources import alignments, formats
 
 
 def _lines(rows: DataFrame, *parts: Column, by: str = "\t") -> DataFrame:
@@ -146,11 +146,47 @@ def ratio_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chrom", F.round(stats.ratio_variance(F.col("x"), F.col("y"), F.col("vx"), F.col("vy")), 6).alias("variance"))
 
 
+_SPECIES = ["hs", "pt", "mm"]
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of an alignment of three sequences, a block of five columns an order."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    line = lambda name, k, by: F.concat(F.lit(f"s {name}.chr1 "), o * 5, F.lit(" 5 + 900 "), *[_letter("ACGT-N", F.floor(by / j) + k) for j in (1, 2, 3, 4, 5)])
+    lines = _lines(v.table(spark, sf_dir, "orders"), F.lit("a score=1"), line("hs", 0, o), line("pt", 1, c), line("mm", 2, o + c), by="\n")
+    return alignments.reference_places(formats.maf(lines), _SPECIES)
+
+
+def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Disjoint intervals of the places with orders, in four classes."""
+    rows = v.table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 8).alias("k")).distinct()
+    return rows.select(F.lit("chr1").alias("chrom"), (F.col("k") * 40).alias("start"), (F.col("k") * 40 + 23).alias("end"), (F.col("k") % 4).alias("label"))
+
+
+def class_substitutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments.substitutions(alignments.in_class(_places(spark, sf_dir), _classes(spark, sf_dir)), _SPECIES)
+
+
+def class_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments.sub_alignments(alignments.in_class(_places(spark, sf_dir), _classes(spark, sf_dir)), _SPECIES, piece=4000)
+
+
+def alignment_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments.quality(_places(spark, sf_dir), _SPECIES, _classes(spark, sf_dir), 0.5)
+
+
+def score_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places whose number of sites lies between the 30th and the 60th percentile."""
+    counts = v.sites(spark, sf_dir).groupBy("chrom", "pos").agg(F.count("*").alias("score"))
+    return alignments.score_slice(counts, 0.3, 0.6)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         bed_lines, genetic_map_lines, b_map_lines, axt_lines, maf_lines, call_mask_lines, mean_depth, population_members, greatest_scores, gene_parts,
         map_without_nested, cpg_places, variable_cpg, without_biased, windows_with_data, constant_rate, genome_places, haplotype_sums, ratio_errors,
+        class_substitutions, class_alignments, alignment_quality, score_slice,
     )
 }
 
@@ -167,6 +203,9 @@ _AXT = " union all ".join(f"select o_orderkey as o, {j} as k, {_pick('ACGT-', f'
 _MASK = " union all ".join(f"select c_custkey as c, {j - 1} as pos, {_pick('PNP' if j < 7 else 'PNN', f'c_custkey // {j}')} as x from customer" for j in range(1, 13))
 _CPG = f"{neutral._CHANGES}, c0 as (select a.chrom, a.pos from ch a join ch b on a.chrom = b.chrom and b.pos = a.pos + 1 where a.ref = 'C' and b.ref = 'G'), cpg as (select chrom, pos, 'C' as base from c0 union all select chrom, pos + 1, 'G' from c0)"
 _BIASED = "((ref in ('A', 'T')) <> (alt in ('A', 'T')))"
+_ONE = " union all ".join(f"select {j} as k, {_pick('ACGT-N', f'o_orderkey // {j + 1}')} as a, {_pick('ACGT-N', f'o_custkey // {j + 1} + 1')} as b, {_pick('ACGT-N', f'(o_orderkey + o_custkey) // {j + 1} + 2')} as c" for j in range(5))
+_PLACES = f"al as (select o_orderkey as o, k, a, b, c from (select o_orderkey, o_custkey from orders) as od, lateral ({_ONE})), pl as (select *, 5 * o + sum(case when a <> '-' then 1 else 0 end) over (partition by o order by k) - 1 as pos from al), "
+_PLACES += "cl as (select a, b, c, cast(pos as bigint) as pos, cast(pos // 40 % 4 as bigint) as label from pl where a <> '-' and pos % 40 < 23), it as (select distinct o_orderkey // 8 as k from orders)"
 _EXONS = "ex as (select *, unnest([{'k': 0, 's': o, 'e': o + 5 + o % 10}, {'k': 1, 's': o + 20, 'e': o + 25 + c % 10}, {'k': 2, 's': o + 50, 'e': o + 57}], recursive := true) from g)"
 ORACLE_SQL = {
     "bed_lines": "select concat('chr', o_custkey % 5) as chrom, concat('L', o_orderkey % 7) as label, count(*) as n, cast(sum(o_orderkey - 1) as bigint) as start, cast(sum(o_orderkey + o_custkey % 50) as bigint) as \"end\" from orders group by 1, 2",
@@ -193,5 +232,14 @@ ORACLE_SQL = {
     "constant_rate": f"with {v.SEGMENTS}, m as (select sum(nu * sites) / cast(sum(sites) as double) as nu from segs), s as (select chrom, b1, b2, m.nu as nu from segs, m) select chrom, round(avg({neutral.w._PI}), 6) as pred from s group by chrom",
     "genome_places": f"with {v.SITES}, p as (select distinct chrom, pos from sites), l as (select chrom, max(pos) as len from p group by chrom), o as (select chrom, sum(len) over (order by chrom) - len as off from l) select p.chrom, pos, cast(pos + off as bigint) as genome_pos from p join o on p.chrom = o.chrom",
     "haplotype_sums": f"with {v.SITES}, h as (select chrom, pos, count(*) as n, avg(alt / {_D(50)}) as prob from sites group by 1, 2) select chrom, pos // 100 as win, cast(sum(n) as bigint) as haplotypes, round(sum(prob), 6) as prob from h group by 1, 2",
+    "class_substitutions": f"with {_PLACES}, p as (select label, 'pt' as species, a, b as x from cl union all select label, 'mm', a, c from cl) select label, species, count(*) filter ({_PLAIN('a')} and {_PLAIN('x')} and a = x) as same, "
+    f"count(*) filter ({_PLAIN('a')} and {_PLAIN('x')} and a <> x) as different, count(*) filter (not ({_PLAIN('a')} and {_PLAIN('x')})) as missing from p group by 1, 2",
+    "class_alignments": f"with {_PLACES}, p as (select label, pos, unnest([{{'species': 'hs', 'x': a}}, {{'species': 'pt', 'x': b}}, {{'species': 'mm', 'x': c}}], recursive := true) from cl) "
+    "select label, species, 'chr1' as chrom, pos // 4000 as piece, cast(count(*) as int) as columns, string_agg(x, '' order by pos) as sequence from p group by 1, 2, 4",
+    "alignment_quality": f"with {_PLACES}, t as (select cast(count(*) * 23 as bigint) as bases from it), p as (select unnest([{{'species': 'hs', 'x': a}}, {{'species': 'pt', 'x': b}}, {{'species': 'mm', 'x': c}}], recursive := true) from cl), "
+    f"f as (select species, count(*) filter ({_PLAIN('x')}) as n from p group by 1) select species, bases, bases - n as missing, bases - n < {_D(0.5)} * bases as ok from f, t",
+    "score_slice": f"with {v.SITES}, s as (select chrom, pos, count(*) as score from sites group by 1, 2), u as (select score, sum(count(*)) over (order by score) as upto, sum(count(*)) over () as total from s group by score), "
+    f"b as (select min(score) filter (upto >= {_D(0.3)} * total) as low, min(score) filter (upto >= {_D(0.6)} * total) as high from u), i as (select chrom, pos, pos - row_number() over (partition by chrom order by pos) as run from s, b where score between low and high) "
+    "select chrom, min(pos) as start, max(pos) + 1 as \"end\" from i group by chrom, run",
     "ratio_errors": f"with {v.SEGMENTS}, m as (select chrom, avg(sites) as x, avg(poly) as y, var_pop(sites) as vx, var_pop(poly) as vy from segs group by 1) select chrom, round((vx * (y / x) * (y / x) + vy) / (x * x), 6) as variance from m",
 }
