@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segspark.operators import scan
+from segspark.operators import folds, scan
 
 
 def coalescence_time(b: Column, starts: list[float], sizes: list[float], ploidy: float = 2.0) -> Column:
@@ -46,20 +46,9 @@ def changed_from_previous(rows: DataFrame, share: float, value: str, by: list[st
     return rows.where(changed).drop("__prev")
 
 
-def changed_from_kept(rows: DataFrame, share: float, value: str, by: list[str] = ["chrom"], pos: str = "pos") -> DataFrame:
-    """The same against the last row kept. Each decision depends on the one before, so one Arrow group a key; thin the input with
-    ``changed_from_previous`` at share 0 first, which never drops what this would keep."""
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, kept, last = pdf.sort_values(pos), [], None
-        for k, x in enumerate(pdf[value].tolist()):
-            if last is None or x != last and (last == 0 or abs(x - last) > share * abs(last)):
-                kept.append(k)
-                last = x
-        return pdf.iloc[kept]
-
-    return rows.groupBy(*by).applyInPandas(fold, rows.schema)
+def changed_from_kept(rows: DataFrame, share: float, value: str, by: list[str] = ["chrom"], pos: str = "pos", width: int = 1 << 20) -> DataFrame:
+    """The same against the last row kept."""
+    return folds.changed(rows, share, value, by, pos, width)
 
 
 def jukes_cantor(share: Column) -> Column:

@@ -104,19 +104,10 @@ def haplotype_means(probabilities: DataFrame, by: list[str] = ["chrom", "pos"],
 
 
 def thinned(knots: DataFrame, resolution: int) -> DataFrame:
-    """Down-sample a map (chrom, pos, gpos): the first knot, and each that lies at least ``resolution`` past the last one kept. Sequential, so
-    one Arrow group a chromosome."""
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, kept, last = pdf.sort_values("pos"), [], None
-        for k, pos in enumerate(pdf["pos"].tolist()):
-            if last is None or pos - last >= resolution:
-                kept.append(k)
-                last = pos
-        return pdf.iloc[kept][["chrom", "pos", "gpos"]]
-
-    return knots.groupBy("chrom").applyInPandas(fold, knots.select("chrom", "pos", "gpos").schema)
+    """Down-sample a map (chrom, pos, gpos): the first knot, and each that lies at least ``resolution`` past the last one kept."""
+    from segspark.operators.folds import spaced
+
+    return spaced(knots.select("chrom", "pos", "gpos"), resolution)
 
 
 # --- sequences and alignments
