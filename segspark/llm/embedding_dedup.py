@@ -69,6 +69,40 @@ def cap_for(dims: int, codes: int, blocks: int, words: int, least: float, recall
     return float(np.quantile(shared, 1 - recall))
 
 
+FITTED = 4096  # vectors, about, of one length on which the centre is fitted; fewer than 1,000 vectors have none
+
+
+def centred(units: np.ndarray, mean: np.ndarray | None) -> np.ndarray:
+    """Unit vectors less the mean as units again; one that is the mean stays itself."""
+    if mean is None:
+        return units
+    moved = units - mean
+    norms = np.linalg.norm(moved, axis=1, keepdims=True)
+    return np.where(norms > 1e-6, moved / np.maximum(norms, 1e-6), units)
+
+
+def pairs_met(lists: list[np.ndarray], n: int) -> float:
+    """How many others each of ``n`` vectors is compared with, filter by filter, by the filters of a sample of them."""
+    many = np.unique(np.concatenate(lists), return_counts=True)[1].astype(float)
+    return float((many * (many - 1)).sum()) / len(lists) / max(1, len(lists) - 1) * n
+
+
+def fit(sample: np.ndarray, n: int, codes: int, blocks: int, words: int, least: float, recall: float, seed: int, tried: int = 1024) -> tuple[float, np.ndarray | None]:
+    """The cap for ``n`` vectors like the unit vectors of ``sample``, and the mean to take from them first, or None. Pairs at cosine ``least`` lie
+    at a fixed distance, so their cosine about the mean follows from how far from it they are; of the sample's distances the least but for
+    one in fifty counts."""
+    dims = sample.shape[1]
+    cap, mean = cap_for(dims, codes, blocks, words, least, recall, seed), sample.mean(axis=0).round(6)
+    if mean @ mean < 0.02:
+        return cap, None
+    moved = 1 - (1 - least) / max(float(np.quantile(((sample - mean) ** 2).sum(axis=1), 0.02)), 1e-9)
+    if moved < 0.1:
+        return cap, None
+    own = cap_for(dims, codes, blocks, words, moved, recall, seed)
+    plain, about = (pairs_met(decode(centred(sample[:tried], m), codes, blocks, words, c, seed), n) for m, c in ((None, cap), (mean, own)))
+    return (own, mean) if about < 0.8 * plain else (cap, None)
+
+
 def _products(units: np.ndarray, rotation: np.ndarray, directions: np.ndarray) -> np.ndarray:
     blocks, _, length = directions.shape
     turned = np.zeros((len(units), blocks * length))
@@ -196,8 +230,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, recall: float = 0.98
     made = {}
     for r in distinct.groupBy(F.size("vector").alias("dims")).count().collect():  # one row a vector length
         own = words or words_for(r["count"], r.dims, blocks)
-        made[r.dims] = own, cap_for(r.dims, codes, blocks, own, least, recall, seed)
-    most = max((w for w, _ in made.values()), default=1)
+        if r["count"] >= 1000:
+            drawn = distinct.where((F.size("vector") == r.dims) & (F.pmod(F.xxhash64("vector"), F.lit(r["count"])) < FITTED)).select("vector")
+            sample = _units(np.array([x.vector for x in drawn.collect()], np.float64))  # about FITTED rows whatever the table
+            made[r.dims] = own, *fit(sample, r["count"], codes, blocks, own, least, recall, seed)
+        else:
+            made[r.dims] = own, cap_for(r.dims, codes, blocks, own, least, recall, seed), None
+    most = max((w for w, _, _ in made.values()), default=1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, max(8, min(256, (1 << 20) // most))):
@@ -205,7 +244,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, recall: float = 0.98
             for dims in np.unique(lengths):
                 at = np.flatnonzero(lengths == dims)
                 own = raw.take(pa.array(at)).flatten().to_numpy().reshape(len(at), dims)
-                found = decode(_units(own.astype(np.float64)), codes, blocks, *made[int(dims)], seed)
+                own_words, cap, mean = made[int(dims)]
+                found = decode(centred(_units(own.astype(np.float64)), mean), codes, blocks, own_words, cap, seed)
                 many = [len(f) for f in found]
                 k = np.repeat(np.arange(len(at)), many)
                 packed, lists = [u.tobytes() for u in own], [f.tobytes() for f in found]

@@ -3,7 +3,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from segspark.llm import queries
-from segspark.llm.embedding_dedup import cap_for, decode, near_duplicates, words_for
+from segspark.llm.embedding_dedup import cap_for, centred, decode, fit, near_duplicates, pairs_met, words_for
 
 
 def brute(ids, vectors, least=0.9):
@@ -88,3 +88,43 @@ def test_filters_hold_as_many_rows_at_every_size():
         lists = decode(x / np.linalg.norm(x, axis=1, keepdims=True), 3, 2, words, cap_for(64, 3, 2, words, 0.9, 0.98, 20), 20)
         held.append(np.mean([len(f) for f in lists]) * rows / (3 * words**2))
     assert max(held) < 100 and held[-1] < 3 * held[0]
+
+
+def _leaning(rng, n, dims=64, shared=0.5):
+    """Unit vectors with a common direction, whose cosines have the mean ``shared``."""
+    x = rng.standard_normal((n, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.sqrt(1 - shared) * x
+    x[:, 0] += np.sqrt(shared)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("rows", [4_000, 16_000])
+def test_a_common_direction_is_taken_out(rows):
+    rng = np.random.default_rng(6)
+    units, words = _leaning(rng, 3000), words_for(rows, 64)
+    cap, mean = fit(units, rows, 3, 2, words, 0.9, 0.98, 20)
+    assert mean is not None and abs(mean @ mean - 0.5) < 0.02
+    about = pairs_met(decode(centred(units, mean), 3, 2, words, cap, 20), rows)
+    plain = pairs_met(decode(units, 3, 2, words, cap_for(64, 3, 2, words, 0.9, 0.98, 20), 20), rows)
+    assert about < 0.5 * plain
+    z = rng.standard_normal(units.shape)
+    z -= (z * units).sum(1, keepdims=True) * units
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    ends = [decode(centred(v, mean), 3, 2, words, cap, 20) for v in (units[:600], (0.9 * units + np.sqrt(0.19) * z)[:600])]
+    assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(*ends)]) > 0.95
+    spread = rng.standard_normal((3000, 64))
+    spread /= np.linalg.norm(spread, axis=1, keepdims=True)
+    assert fit(spread, rows, 3, 2, words, 0.9, 0.98, 20)[1] is None
+
+
+def test_links_about_a_common_direction(spark):
+    rng = np.random.default_rng(9)
+    base = _leaning(rng, 900)
+    vectors = np.concatenate([base, *[base[:150] + rng.standard_normal((150, 64)) * s for s in (0.02, 0.045, 0.055)]])
+    many, comp = brute(list(range(len(vectors))), vectors)
+    docs = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in near_duplicates(docs).collect()}
+    assert len(got) == len(vectors) and all(got[i].n_links <= n for i, n in enumerate(many))
+    assert sum(r.n_links for r in got.values()) >= 0.96 * many.sum() > 500
+    assert np.mean([got[i].component_id == c for i, c in enumerate(comp)]) > 0.97
