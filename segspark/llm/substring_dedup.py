@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences: after . ! ? and white space, and at line ends. Runs are consecutive sentences, at least ``sentences``
-of them with at least ``words`` words in all. From every sentence the shortest run is hashed, and the shortest that ends with it:
+A text is cut into sentences: after . ! ? and white space, after the full-width marks with or without it, and at line ends. Runs are
+consecutive sentences, at least ``sentences`` of them with at least ``words`` words in all. Words are parted by white space; in scripts that
+put none between words (Han, kana, Thai, Lao, Burmese, Khmer) each two letters count as a word. From every sentence the shortest run is hashed, and the shortest that ends with it:
 if a longer run repeats, so do the shortest from each of its sentences that end within it, and the shortest that ends where it
 ends, and these cover it. So the result is that of hashing every run of any length, from at most two hashes a sentence. A single
 sentence of at least ``alone`` words is a run too. Runs are joined globally by their 128-bit hash; every run but the first, by id
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from segspark.llm.common import saved, map_texts, slices
 
-_END = re.compile(r"[.!?]\s+|\n\s*")
+_END = re.compile("[.!?]\\s+|[\u3002\uff01\uff0e\uff1f\uff61]+[\u300d\u300f\u201d\u2019\uff09]*\\s*|\n\\s*")
+_UNPARTED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff]+")
 
 
 def sentences_of(text: str) -> list[str]:
@@ -29,14 +31,20 @@ def sentences_of(text: str) -> list[str]:
     return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)]) if b > a]
 
 
+def words_in(sentence: str) -> int:
+    """Words parted by white space, and one for each two letters of scripts that part none."""
+    return len(_UNPARTED.sub(" ", sentence).split()) + sum(len(run) + 1 >> 1 for run in _UNPARTED.findall(sentence))
+
+
 def runs_of(parts: list[str], sentences: int, words: int, alone: int) -> list[tuple[int, int, bytes]]:
     """(first sentence, number of sentences, hash) of the runs of one text. White space doesn't count in the hash."""
     import xxhash
 
     held = [p.split() for p in parts]
-    upto = [0, *accumulate(map(len, held))]
+    many = [max(len(h), words_in(p)) for h, p in zip(held, parts)] if any(map(_UNPARTED.search, parts)) else [len(h) for h in held]
+    upto = [0, *accumulate(many)]
     plain = [" ".join(h) for h in held]
-    found, n = {(k, k + 1) for k in range(len(parts)) if len(held[k]) >= alone}, len(parts)
+    found, n = {(k, k + 1) for k in range(len(parts)) if many[k] >= alone}, len(parts)
     end = start = 0
     for k in range(n):
         end = max(end, k)

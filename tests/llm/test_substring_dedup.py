@@ -70,6 +70,24 @@ def test_repeats_go_and_the_first_stays(spark):
     assert without_repeats(docs.limit(0)).count() == 0
 
 
+def test_scripts_without_spaces(spark):
+    rng = random.Random(8)
+
+    def text(first, last, end, n=12):
+        return "".join("".join(chr(rng.randrange(first, last)) for _ in range(rng.randrange(9, 16))) + end for _ in range(n))
+
+    shared = [text(0x4E00, 0x9000, "\u3002"), text(0x3042, 0x3090, "\uff01\u300d"), text(0x0E01, 0x0E2E, "\n")]
+    docs, short = [], "\u4e2d\u6587\u3002" * 2  # two sentences of one word each: no run
+    for k, s in enumerate(shared):
+        own = [text(0x5000, 0x5FFF, "\u3002", 3) for _ in range(3)]
+        docs += [(10 * k, own[0] + s + short), (10 * k + 1, own[1] + s + own[2] + short)]
+    got = {r.doc_id: (r.text, r.n_sentences, r.n_removed) for r in without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for k, s in enumerate(shared):
+        assert got[10 * k][0] == docs[2 * k][1] and got[10 * k][2] == 0
+        assert got[10 * k + 1][0] == docs[2 * k + 1][1].replace(s, "") and got[10 * k + 1][2] == 12
+    assert "".join(sentences_of(shared[1] + shared[0])) == shared[1] + shared[0] and len(sentences_of(shared[1])) == 12
+
+
 def test_query_equals_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     assert {r.doc_id: (r.text, r.n_removed) for r in queries.op7_substring_dedup(spark, DATA).collect()} == brute(docs)
