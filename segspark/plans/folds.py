@@ -14,7 +14,7 @@ WIDTH = 128  # days; a bucket
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Map features of days: intervals of orders in part delivered or with two line priorities, scored by how many there are."""
+    """Map features of days, both ends included: the intervals of delivered orders that start on two of three days, scored by how many there are."""
     rows = v.intervals_b(spark, sf_dir).where("start % 3 < 2")
     return rows.groupBy("chrom", F.col("start") + 1, "end").agg(F.count("*").cast("double").alias("score")).toDF("chrom", "start", "end", "score")
 
