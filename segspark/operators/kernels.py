@@ -6,6 +6,7 @@ parents do, meet once at their level: sources' nodes to targets' nodes. A grid p
 interpolated, and the sources in its own bucket and the two beside it one by one. So there are three joins of small tables, whatever the
 number of levels: a level halves the buckets, each meets three others. Two buckets that meet lie at least one width apart, so
 interpolation at P nodes errs by about (3 + sqrt 8)^-P of the kernel's largest value, which is how ``tolerance`` sets P.
+Nodes pay only where buckets hold more points than nodes, so the finest buckets are doubled for as long as that makes fewer rows.
 
 ``exponential_sum`` is exact for exp(-rate distance): two running sums, carried over the buckets that still count.
 
@@ -43,12 +44,14 @@ def _place(bucket: Column, level: Column, width: float, angle: Column) -> Column
 
 
 def _share(place: Column, bucket: Column, level: Column, width: float, angle: Column, nodes: int) -> Column:
-    """The value at ``place`` of the interpolating polynomial that is 1 at the bucket's node at ``angle`` and 0 at its others."""
+    """The value at ``place`` of the interpolating polynomial that is 1 at the bucket's node at ``angle`` and 0 at its others: 2 / nodes times
+    1/2 + sum of cos(k x) cos(k angle) for k below ``nodes``, whose cosines sum up in closed form, so that the expression stays small."""
     x = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 2.0 * (place / (F.lit(width) * F.pow(F.lit(2.0), level)) - bucket) - 1.0)))
-    total = F.lit(0.5)
-    for k in range(1, nodes):
-        total = total + F.cos(k * x) * F.cos(k * angle)
-    return total * (2.0 / nodes)
+
+    def summed(turn: Column) -> Column:
+        return F.when(F.abs(turn) < 1e-12, F.lit(nodes - 0.5)).otherwise(F.sin((nodes - 0.5) * turn) / (2.0 * F.sin(0.5 * turn)))
+
+    return (summed(x - angle) + summed(x + angle)) / float(nodes)
 
 
 def nodes_for(tolerance: float) -> int:
@@ -56,10 +59,11 @@ def nodes_for(tolerance: float) -> int:
     return max(4, math.ceil(math.log(8 / tolerance) / math.log(_RATIO)))
 
 
-def smooth_sum(grid: DataFrame, sources: DataFrame, kernel: Callable[[Column], Column], width: float, tolerance: float = 1e-9, weight: str | None = None, by: list[str] = ["chrom"], pos: str = "pos") -> DataFrame:
+def smooth_sum(grid: DataFrame, sources: DataFrame, kernel: Callable[[Column], Column], width: float, tolerance: float = 1e-9, weight: str | None = None, by: list[str] = ["chrom"], pos: str = "pos", coarser: bool = True) -> DataFrame:
     """(key, pos, total): for each distinct grid point the sum over all sources of its key of weight times ``kernel`` of the distance.
 
-    ``width``: the finest bucket; pairs are made within three of them. One aggregate finds how many levels the axis needs.
+    ``width``: the finest bucket; pairs are made within three of them. It is doubled while that makes fewer rows of pairs and nodes, unless
+    ``coarser`` is False. Two aggregates find the ends of the axis and the rows of each level.
     """
     nodes = nodes_for(tolerance)
     points = _weighed(sources, by, pos, weight).withColumn("__b", _bucket(F.col("__y"), width))
@@ -67,6 +71,10 @@ def smooth_sum(grid: DataFrame, sources: DataFrame, kernel: Callable[[Column], C
     ends = points.agg(F.min("__b").alias("low"), F.max("__b").alias("high")).union(grid.agg(F.min("__b"), F.max("__b"))).agg(F.min("low").alias("low"), F.max("high").alias("high")).first()
     low, high = ends.low or 0, ends.high or 0
     levels = next(k for k in range(64) if (high >> k) - (low >> k) <= 1)  # from here on all buckets touch
+    if coarser and levels:
+        finest = _finest(grid, points, by, nodes, levels)
+        width, levels = width * 2.0**finest, levels - finest
+        points, grid = points.withColumn("__b", _bucket(F.col("__y"), width)), grid.withColumn("__b", _bucket(F.col("__x"), width))
     near = _near(grid, points, kernel, by, pos)
     if levels:
         far = _far(grid, points, kernel, width, nodes, levels, by)
@@ -77,6 +85,27 @@ def smooth_sum(grid: DataFrame, sources: DataFrame, kernel: Callable[[Column], C
     return near.groupBy(*by, pos).agg(F.sum("__t").alias("total"))
 
 
+def _finest(grid: DataFrame, points: DataFrame, by: list[str], nodes: int, levels: int) -> int:
+    """The level whose buckets, taken as the finest, make fewest rows: pairs of grid points and sources in three buckets, and pairs of nodes,
+    those of a bucket with sources at each level above, those of a bucket with grid points from three others and down again."""
+    none = F.lit(0).cast("long")
+    both = grid.select(*by, "__b", F.lit(1).cast("long").alias("g"), none.alias("p")).unionByName(points.select(*by, "__b", none.alias("g"), F.lit(1).cast("long").alias("p")))
+    held = both.groupBy(*by, "__b").agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("l")
+    held = held.select(*by, "__b", "g", "p", level).groupBy(*by, "l", F.floor(F.col("__b") / F.pow(F.lit(2.0), "l")).alias("__b")).agg(F.sum("g").cast("double").alias("g"), F.sum("p").cast("double").alias("p"))
+    found = held.groupBy("l").agg(F.sum(F.col("g") * F.col("p")).alias("pairs"), F.sum((F.col("p") > 0).cast("long")).alias("from"), F.sum((F.col("g") > 0).cast("long")).alias("to"), F.sum("p").alias("points")).collect()  # a row a level
+    at = {r.l: r for r in found}
+
+    def rows(k: int) -> float:
+        if k not in at:
+            return 0.0
+        above = range(k, levels)
+        far = at[k].points * nodes + nodes**2 * (levels - k) * (at[k]["from"] + at[k].to) + 3 * nodes**2 * sum(at[j].to for j in above)
+        return 3 * at[k].pairs + (far if k < levels else 0.0)
+
+    return min(range(levels + 1), key=rows)
+
+
 def _near(grid: DataFrame, points: DataFrame, kernel: Callable[[Column], Column], by: list[str], pos: str) -> DataFrame:
     beside = grid.withColumn("__b", F.explode(F.array(F.col("__b") - 1, F.col("__b"), F.col("__b") + 1)))
     sums = beside.join(points, [*by, "__b"]).groupBy(*by, pos).agg(F.sum(F.col("__w") * kernel(F.abs(F.col("__x") - F.col("__y")))).alias("__t"))

@@ -53,3 +53,20 @@ def test_empty(spark):
     one = spark.createDataFrame([("a", 1)], "chrom string, pos long")
     for f in (lambda a, b: smooth_sum(a, b, lambda d: 1 / (1 + d), 10), lambda a, b: exponential_sum(a, b, 0.1)):
         assert f(none, one).count() == 0 and [r.total for r in f(one, none).collect()] == [0.0] and f(one, one).first().total == 1.0
+
+
+@pytest.mark.parametrize("whole, span, width", [(True, 5000, 40), (False, 2.0, 0.01)])
+def test_far_buckets_equal_all_pairs_at_the_width_asked_for(spark, whole, span, width):
+    grid, sources, a, b = tables(spark, random.Random(5), 200, span, whole)
+    scale = 1.0 if whole else 2500.0
+    check(smooth_sum(a, b, lambda d: 1 / (20 + d * scale), width, 1e-9, "w", coarser=False), grid, sources, lambda d: 1 / (20 + d * scale), 1e-9 * 700)
+
+
+def test_width_follows_the_density(spark):
+    """Few points a key: their pairs, without nodes; many points a bucket: nodes. The plans stay small."""
+    few = spark.range(4000).select((F.col("id") % 200).alias("chrom"), (F.col("id") * 7919 % 100_000).alias("pos"))
+    many = spark.range(40_000).select(F.lit(0).alias("chrom"), (F.col("id") * 7919 % 100_000).alias("pos"))
+    plans = {n: smooth_sum(t, t, lambda d: 1 / (1 + d), 100, 1e-11)._jdf.queryExecution().optimizedPlan().toString() for n, t in (("few", few), ("many", many))}
+    assert "SIN(" not in plans["few"] and "SIN(" in plans["many"] and all(len(p) < 300_000 for p in plans.values())
+    sums = smooth_sum(many, many, lambda d: 1 / (1 + d), 100, 1e-9)
+    assert sums.where("pos = 0").first().total == pytest.approx(sum(1 / (1 + k * 7919 % 100_000) for k in range(40_000)), abs=1e-9 * 40_000)
