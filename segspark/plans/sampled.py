@@ -77,7 +77,7 @@ def coding_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("transcript", F.explode(F.when(F.col("both"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("both")
     letters = _changes(spark, sf_dir).select("chrom", "pos", F.col("ref").alias("q"), F.col("alt").alias("t"))
     found = coding.coding_changes(rows, letters)
-    return found.select("gene", "sites", "degeneracy", "syn", "nonsyn", *[F.round(c, 6).alias(c) for c in ("ds", "dn", "dnds")])
+    return found.select("gene", "sites", "degeneracy", "syn", "nonsyn", *[v.rounded(F.col(c), 6).alias(c) for c in ("ds", "dn", "dnds")])
 
 
 def sweep_map(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ the count of alternate alleles among 100. Orders are intervals of days; events a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ORIGIN = "1995-01-01"
@@ -21,6 +21,12 @@ def _day(column: str):
     return F.datediff(F.col(column), F.lit(ORIGIN).cast("date")).cast("long")
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Rounded as SQL rounds doubles: the nearest whole number of units. ``F.round`` goes by the decimal digits a double prints as, so a double just
+    below a half, that prints as one, goes up there and down here."""
+    return F.round(value * 10.0**digits) / 10.0**digits
+
+
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         (F.col("l_suppkey") % 5).alias("chrom"), (_day("l_shipdate") + 1).alias("pos"), F.lit(100).cast("long").alias("n"), F.col("l_quantity").cast("long").alias("alt"),

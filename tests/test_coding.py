@@ -62,3 +62,18 @@ def test_thinned_grid_and_sweeps(spark):
     assert got == keep and len(keep) < len(all_) / 2
     rates = sweep_map(df, df.where("pos % 50 = 0"), 0.05, 1e4, by=["chrom"]).collect()
     assert {r.chrom for r in rates} == {"a", "b"} and all(r.rate >= 0 for r in rates)
+
+
+def test_rates_are_rounded_as_in_sql(spark, monkeypatch):
+    """Ratios a hair below a half of the last digit print as that half."""
+    import duckdb
+
+    from segspark.plans import sampled
+
+    ratios = [(54, 34, 10, 19), (55, 37, 5, 9), (39, 37, 8, 9), (54, 32, 4, 7)]
+    rows = [(k, n, d, s, x, s / d, x / (3 * n - d), (x / (3 * n - d)) / (s / d)) for k, (n, d, s, x) in enumerate(ratios)]
+    found = spark.createDataFrame(rows, "gene long, sites long, degeneracy long, syn long, nonsyn long, ds double, dn double, dnds double")
+    monkeypatch.setattr(sampled.coding, "coding_changes", lambda *_: found)
+    got = {r.gene: (r.ds, r.dn, r.dnds) for r in sampled.coding_changes(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {r[0]: duckdb.execute("select round(?::double, 6), round(?::double, 6), round(?::double, 6)", r[5:]).fetchone() for r in rows}
+    assert got[0][2] == 0.504687
