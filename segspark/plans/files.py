@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,8 +88,7 @@ def gene_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts, ends = [o, o + 20, o + 50], [o + 5 + o % 10, o + 25 + c % 10, o + 57]
     listed = lambda xs: F.concat(*[y for x in xs for y in (x.cast("string"), F.lit(","))])
     line = [F.concat(F.lit("g"), o), F.lit("chr1"), F.when(c % 2 == 0, "+").otherwise("-"), o, o + 57, o + 3 + o % 5, o + 45 + c % 10, F.lit(3), listed(starts), listed(ends)]
-    genes = formats.known_genes(_lines(v.table(spark, sf_dir, "orders"), *line))
-    rows = reduce(DataFrame.unionByName, [formats.parts_of(genes, p).withColumn("part", F.lit(p)) for p in ("exons", "cds", "introns", "utr5", "utr3", "splice")])
+    rows = formats.all_parts(_lines(v.table(spark, sf_dir, "orders"), *line))
     return rows.groupBy("part", "strand").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("bases"), F.sum("start").alias("start"))
 
 

@@ -7,6 +7,8 @@ Coordinates come out 0-based and half-open whatever the file has.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -241,6 +243,34 @@ def parts_of(genes: DataFrame, part: str) -> DataFrame:
     return genes.select("name", "chrom", "strand", F.inline(part))
 
 
+def all_parts(lines: DataFrame) -> DataFrame:
+    """(name, chrom, strand, part, start, end): the rows that ``parts_of`` gives for every kind of part of ``known_genes``, by plain columns. Lines
+    are read once, and the generated code is short enough to be compiled: no filter, arrays of structs or functions on arrays repeat it."""
+    value = _value()
+    f, k, more = F.col("f"), F.col("k"), F.col("next").isNotNull()
+    rows = lines.select(F.when((F.length(F.trim(value)) > 0) & ~value.startswith("#"), F.split(value, "\t")).alias("f"))
+    listed = lambda x: F.array_remove(F.split(x, ","), "")
+    at = lambda j: F.get(f, F.lit(j))
+    rows = rows.select(at(0).alias("name"), at(1).alias("chrom"), at(2).alias("strand"), at(5).cast("long").alias("low"), at(6).cast("long").alias("high"), listed(at(8)).alias("starts"), listed(at(9)).alias("ends"))
+    rows = rows.select("name", "chrom", "strand", "low", "high", "starts", "ends", F.posexplode_outer("starts").alias("k", "s")).where(k.isNotNull())
+    rows = rows.select("name", "chrom", "strand", "low", "high", F.col("s").cast("long").alias("s"), F.get("ends", k).cast("long").alias("e"), F.get("starts", k + 1).cast("long").alias("next"))
+    s, e, low, high, after, plus = F.col("s"), F.col("e"), F.col("low"), F.col("high"), F.col("next"), F.col("strand") == "+"
+    first, last = F.when(plus, "utr5").otherwise("utr3"), F.when(plus, "utr3").otherwise("utr5")
+    kinds = [
+        (F.lit("exons"), s, e), (F.lit("cds"), F.greatest(s, low), F.least(e, high)), (first, s, F.least(e, low)), (last, F.greatest(s, high), e),
+        (F.lit("introns"), e, after), (F.lit("splice"), e, e + 2), (F.lit("splice"), after - 2, after),
+    ]
+    each = F.explode(F.array(*map(F.lit, range(len(kinds))))).alias("j")
+    rows = rows.select("name", "chrom", "strand", "low", "high", "s", "e", "next", each)
+
+    def pick(column: int) -> Column:
+        return reduce(lambda found, j: found.when(F.col("j") == j, kinds[j][column]), range(1, len(kinds)), F.when(F.col("j") == 0, kinds[0][column]))
+
+    rows = rows.select("name", "chrom", "strand", "j", more.alias("more"), pick(0).alias("part"), pick(1).alias("start"), pick(2).alias("end"))
+    kept = F.when(F.col("j") == 0, True).when(F.col("j") < 4, F.col("start") < F.col("end")).otherwise(F.col("more"))
+    return rows.where(kept).select("name", "chrom", "strand", "part", "start", "end")
+
+
 def longest_transcripts(genes: DataFrame, by: str) -> DataFrame:
     """Of each gene the transcript with most coding places, then by name."""
     size = F.aggregate("cds", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])

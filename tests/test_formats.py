@@ -61,6 +61,16 @@ def test_genes(spark):
     assert f.longest_transcripts(genes, "chrom").first()["size"] == 80
 
 
+def test_all_parts_equal_those_of_each_kind_and_read_lines_once(spark):
+    odd = ["g2\tchr1\t+\t0\t90\t30\t30\t3\t0,30,60,\t20,50,90,", "g3\tchr2\t-\t5\t9\t0\t99\t1\t5,\t9,", "g4\tchr2\t+\t5\t9\t6\t8\t2\t5,7\t7,7", "g5\tc\t+\t1\t2\t1\t2\t0\t\t"]
+    text = lines(spark, "g1\tchr1\t-\t100\t400\t150\t320\t3\t100,200,300,\t160,250,400,\n" + "\n".join(odd))
+    genes, got = f.known_genes(text), f.all_parts(lines(spark, "# a comment\n \n").union(text))
+    kinds = ("exons", "cds", "introns", "utr5", "utr3", "splice")
+    want = [(*r[:3], p, *r[3:]) for p in kinds for r in map(tuple, f.parts_of(genes, p).collect())]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 20
+    assert "Union" not in f.all_parts(text)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_maps(spark):
     rows = spark.createDataFrame([("c", 1.0, 0, 10), ("c", 2.0, 10, 30), ("c", 3.0, 20, 25), ("c", 4.0, 30, 40)], "chrom string, gpos double, start long, end long")
     assert [r.end for r in f.without_nested(rows).orderBy("gpos").collect()] == [10, 30, 40]
