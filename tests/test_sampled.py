@@ -93,3 +93,15 @@ def test_bootstrap_of_r_squared(spark):
     one = resample.compared(resample.bootstrap_r2(groups, 50, ["p", "q"]), "p", "q").first()
     gains = sum(r.q - r.p >= found[-1].q - found[-1].p for k, r in found.items() if k >= 0)
     assert math.isclose(one[-1], (gains + 1) / 51)
+
+
+def test_counts_of_large_segments_are_cut_and_drawn_from_one_distribution_a_segment(spark):
+    segments = spark.createDataFrame([(s, 0.05 + s / 10, n) for s, n in ((0, 1), (1, 7), (2, 1000), (3, 1001), (4, 0))], "seg long, pred double, sites long")
+    for n in (2, 3, 10):
+        got = simulate.neutral_counts(segments, "pred", n, F.col("seg"), ["seg"], piece=7)
+        u, p = simulate.uniform(F.col("seg"), F.col("k")), F.col("pred")
+        each = segments.where("sites > 0").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sites") - 1))).withColumn("a", simulate.binomial(u, 1, p) if n == 2 else simulate.beta_binomial(u, n, p, p))
+        want = each.groupBy("seg").agg(F.sum(F.col("a") * (n - F.col("a")) if n > 2 else F.col("a")).alias("het"), F.count("*").alias("m")).collect()
+        assert sorted(map(tuple, got.collect())) == sorted((r.seg, r.het, r.m * n * (n - 1) // 2 - r.het) for r in want)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "aggregate(" not in plan[: plan.rindex("RepartitionByExpression")] and "RepartitionByExpression" in plan
