@@ -11,8 +11,7 @@ from segspark.plans import views as v
 from segspark.plans.sites import draw_sql
 
 MODEL = Model(["b1", "b2"], unit=1.0)
-_BOUNDS = [(-6.0, 6.0), (0.01, 100.0)]  # a weight of a millionth does nothing
-_WEIGHTS = _BOUNDS[0]
+_WEIGHTS = (-6.0, 6.0)  # bounds of log10 weights; a weight of a millionth does nothing
 PARAMETERS = [0.3, 0.1, 0.25]  # log10 weights of the two maps, and tau
 
 
@@ -135,9 +134,9 @@ def jackknife_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _left_out(spark: SparkSession, sf_dir: str) -> tuple[Model, DataFrame, dict]:
-    """The model of one map, segments, and for each chromosome the fit without it."""
+    """The model of one map, segments, and for each chromosome the fit without it; a fit as in ``optimise_params``."""
     model, rows = Model(["b1"]), v.segments(spark, sf_dir)
-    return model, rows, model.leave_one_out(rows, [0.0, 0.25], "chrom", list(range(5)), _BOUNDS)
+    return model, rows, model.scored(rows, dict.fromkeys(range(5), [0.0, 0.25]), "chrom", _WEIGHTS)
 
 
 def leave_one_out_pred(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,6 +113,15 @@ def test_flat_likelihoods_end_where_sql_does(spark, tmp_path, seed, spread):
     assert differences(spark, connect(path), windows.optimise_params, windows.ORACLE_SQL["optimise_params"], path) is None
 
 
+def test_left_out_fits_end_where_sql_does(spark, tmp_path):
+    from compare import connect, differences
+    from segspark.plans import windows
+
+    path = flat_lines(tmp_path, 2, 0.004)
+    for name in ("leave_one_out_rsquared", "leave_one_out_pred", "leave_one_out_parameters"):
+        assert differences(spark, connect(path), windows.QUERIES[name], windows.ORACLE_SQL[name], path) is None, name
+
+
 def test_scoring_agrees_with_the_fit(data):
     found, fit = MODEL.scored(data, {None: [0.0, 0.0, 1.0]})[None], MODEL.fit(data, [0.0, 0.0, 1.0])
     assert found.converged and found.parameters == pytest.approx(fit.parameters, abs=1e-4) and found.value == pytest.approx(fit.value, rel=1e-9)
